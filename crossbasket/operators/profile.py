@@ -39,6 +39,23 @@ def customers_by(
     return ranked if n is None else ranked.limit(n)
 
 
+def customers_by_order_content(
+    lines: DataFrame,
+    raw: DataFrame,
+    order: str,
+    dims: Sequence[str],
+    key: str,
+    n: int | None = None,
+) -> DataFrame:
+    """Customers of ``lines`` by what the raw lines of the same orders contain.
+
+    Only distinct customers and distinct contents per order meet, not its lines squared.
+    """
+    buyers = lines.select(order, key).distinct()
+    contents = raw.select(order, *dims).distinct()
+    return customers_by(buyers.join(contents, [order], "left"), dims, key, n)
+
+
 def sow_by(sales: DataFrame, dim: str, amount: str = "amt") -> DataFrame:
     """Amount per value of ``dim`` as a share of the whole."""
     sums = sales.groupBy(dim).agg(F.sum(amount).alias("_amt"))

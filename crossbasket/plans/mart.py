@@ -164,9 +164,10 @@ class Mart:
 
     TABLES = ("members_a", "members_b", "sales_a", "sales_cos", "sales_b", "sales_c")
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, source: str):
         self.spark = spark
         self.root = root
+        self.source = source
         self.tables = read_datamart(spark, root, self.TABLES)
         self.n_unique = read_metrics(spark, f"{root}/n_unique")
 
@@ -260,7 +261,7 @@ def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope
         # the two labels most figures filter on become folders a scan can skip
         {f"sales_{chain}": [f"in_{o}" for o in OTHERS[chain][:2]] for chain in OTHERS},
     )
-    return Mart(spark, root)
+    return Mart(spark, root, roles.folder)
 
 
 def _source_version(spark: SparkSession, folder: str) -> str:
@@ -284,7 +285,7 @@ def mart_for(spark: SparkSession, folder: str) -> Mart:
     key = (spark.sparkContext.applicationId, folder, version)
     if key in _BUILT:
         try:
-            return Mart(spark, _BUILT[key])
+            return Mart(spark, _BUILT[key], folder)
         except AnalysisException:  # the shared folder was cleared meanwhile
             del _BUILT[key]
     name = f"{abs(hash(key)):x}"

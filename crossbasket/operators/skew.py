@@ -28,11 +28,11 @@ def hot_groups(df: DataFrame, on: Sequence[str], min_rows: int = MIN_HOT_ROWS) -
     partitions, there are at most as many of them as shuffle partitions, so the result is
     safe to broadcast however large ``df`` is.
     """
-    sizes = df.select(*on).dropna().groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     total = sizes.agg(F.sum("_rows").alias("_total")).scalar()
     fair = F.greatest(F.lit(min_rows).cast("double"), total / _partitions(df))
-    return sizes.filter(F.col("_rows") > fair).select(
-        *on, F.ceil(F.col("_rows") / fair).cast("int").alias("_salts")
+    return sizes.filter((F.col("_rows") > fair) & ~_any_null(on)).select(
+        *on, F.ceil(F.col("_rows") / fair).alias("_salts")
     )
 
 
@@ -64,9 +64,8 @@ def spread_join(
         .when(F.col("_salts").isNotNull(), F.pmod(deal, F.col("_salts")))
         .otherwise(0)
     )
-    dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    dealt = left.join(hot, on, "left").select(*left.columns, salt.alias("_salt"))
 
-    last_part = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1
-    every_part = F.explode(F.sequence(F.lit(0).cast("bigint"), last_part))
-    repeated = right.join(hot, on, "left").withColumn("_salt", every_part).drop("_salts")
+    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    repeated = right.join(hot, on, "left").select(*right.columns, F.explode(parts).alias("_salt"))
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")

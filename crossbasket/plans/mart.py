@@ -10,6 +10,7 @@ and a scan of a fiscal year's lines is far cheaper than a scan of all of them wi
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -275,21 +276,19 @@ def _source_version(spark: SparkSession, folder: str) -> str:
     return f"{row['n']}:{row['mark']}"
 
 
-_BUILT: dict[tuple[str, str, str], str] = {}
+_BUILT: dict[tuple[str, str, str], Mart] = {}
 
 
 def mart_for(spark: SparkSession, folder: str) -> Mart:
     """The datamart over the tables in ``folder``, built at its first use in an application
     and again when the tables change."""
-    version = _source_version(spark, folder)
-    key = (spark.sparkContext.applicationId, folder, version)
+    key = (spark.sparkContext.applicationId, folder, _source_version(spark, folder))
     if key in _BUILT:
         try:
-            return Mart(spark, _BUILT[key], folder)
+            read_metrics(spark, f"{_BUILT[key].root}/n_unique")
+            return _BUILT[key]
         except AnalysisException:  # the shared folder was cleared meanwhile
             del _BUILT[key]
-    name = f"{abs(hash(key)):x}"
-    root = f"{shared_dir(spark)}/crossbasket/{key[0]}/{name}"
-    mart = build_mart(spark, Roles(spark, folder), root)
-    _BUILT[key] = root
-    return mart
+    root = f"{shared_dir(spark)}/crossbasket/{key[0]}/{uuid.uuid4().hex}"
+    _BUILT[key] = build_mart(spark, Roles(spark, folder), root)
+    return _BUILT[key]

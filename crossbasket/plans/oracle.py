@@ -534,7 +534,8 @@ def _buyers(name: str, carved: bool, first: str, last: str) -> str:
     return (
         f"{name} AS (SELECT DISTINCT COALESCE(v.vip_main_no, r.vip_no) AS k FROM valid_b r"
         " LEFT JOIN vip v ON r.vip_no = v.vip_no WHERE region_key = 'HK'"
-        f" AND upper(prod_brand) = 'BRAND#2' AND order_date BETWEEN DATE '{first}' AND DATE '{last}'"
+        " AND upper(prod_brand) IN ('BRAND#1', 'BRAND#2', 'BRAND#3', 'BRAND#4', 'BRAND#5')"
+        f" AND order_date BETWEEN DATE '{first}' AND DATE '{last}'"
         f" AND sales_main_key {inside} (SELECT sales_main_key FROM c_keys))"
     )
 
@@ -566,7 +567,7 @@ _SELECTS: dict[str, str] = {
     "mapping_lookup": f"""
 SELECT COALESCE(m.arti_cate_name, 'others') AS arti_cate_name, m.bu_desc AS mapped_unit, {_LINES}
 FROM raw_a a LEFT JOIN map_b m ON a.category_desc = m.maincat_desc GROUP BY 1, 2""",
-    "category_mapping_dim": "SELECT arti_cate_code, item_subcat_desc, arti_cate_name FROM map_c",
+    "category_mapping_dim": "SELECT CAST(arti_cate_code AS INTEGER) AS arti_cate_code, item_subcat_desc, arti_cate_name FROM map_c",
     "datamart_roundtrip": " UNION ALL ".join(
         f"SELECT '{c}' AS chain, {_LINES} FROM sales_{c}" for c in ("a", "cos", "b", "c")
     ),

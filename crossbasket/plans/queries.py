@@ -44,6 +44,7 @@ EARLY_AS_OF = "1998-06-30"
 FASHION_UNITS = ("WW", "MW", "LSA", "MSA")
 BRAND = "Brand#2"
 BRAND_UPPER = "BRAND#2"
+COHORT_BRANDS = ("BRAND#1", "BRAND#2", "BRAND#3", "BRAND#4", "BRAND#5")
 SHOPS_C = ("1", "21", "41", "61", "81")
 FIRST_YEAR = ("1997-04-01", "1998-03-31")
 SECOND_YEAR = ("1998-04-01", "1999-03-31")
@@ -395,12 +396,15 @@ def match_customers(mart: Mart) -> DataFrame:
 
 @_on_mart("unique_customers")
 def unique_customers(mart: Mart) -> DataFrame:
-    counts = [
-        matching.unique_customers(mart.members(a), mart.members(b), key_of(a), key_of(b)).select(
-            F.lit(f"{a}_{b}").alias("pair"), "n"
+    """Unique customers of every pair; pairs with the same second chain share a join."""
+    counts = []
+    for b in ("b", "c"):
+        firsts = [a for a, second in PAIRS if second == b]
+        partners = matching.smallest_partners(
+            mart.members(b), key_of(b), {a: (mart.members(a), key_of(a)) for a in firsts}
         )
-        for a, b in PAIRS
-    ]
+        one_row = partners.agg(*[F.countDistinct(a).alias(f"{a}_{b}") for a in firsts])
+        counts.append(one_row.unpivot([], None, "pair", "n"))
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -454,15 +458,20 @@ def label_fanout(mart: Mart) -> DataFrame:
 
 @_on_mart("brand_segments")
 def brand_segments(mart: Mart) -> DataFrame:
+    """Customers who buy the brand in A only, in B only, or in both with a match."""
     a, of_b = mart.members("a"), _brand_buyers_b(mart)
     of_a = members.active_members(a, _brand_lines_a(mart), "vip_no")
-    matched_a = matching.overlap_keys(a, of_b, "vip_no")
-    matched_b = matching.overlap_keys(of_b, a, "vip_main_no")
-    only_a = labels.segment_keys(of_a, matched_a, "vip_no", inside=False)
-    only_b = labels.segment_keys(of_b, matched_b, "vip_main_no", inside=False)
-    both_a = matching.overlap_keys(of_a, of_b, "vip_no")
-    both_b = matching.overlap_keys(of_b, of_a, "vip_main_no")
-    segments = {"a_only": only_a, "b_only": only_b, "both_a": both_a, "both_b": both_b}
+    matched = matching.overlap_keys(of_a, of_b, "vip_no")
+    partners = matching.smallest_partners(
+        of_b, "vip_main_no", {"any": (a, "vip_no"), "buyer": (of_a, "vip_no")}
+    )
+    known = partners.filter(F.col("any").isNotNull()).select("vip_main_no")
+    segments = {
+        "a_only": labels.segment_keys(of_a, matched, "vip_no", inside=False),
+        "b_only": labels.segment_keys(of_b, known, "vip_main_no", inside=False),
+        "both_a": matched,
+        "both_b": partners.filter(F.col("buyer").isNotNull()),
+    }
     counts = [
         df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("segment"), "n")
         for name, df in segments.items()
@@ -806,14 +815,14 @@ def issue_right_join(mart: Mart) -> DataFrame:
 
 @_on_mart("cohort_retention")
 def cohort_retention(mart: Mart) -> DataFrame:
-    """Buyers of a brand in B and C over two years.
+    """Buyers of some brands in B and C over two years.
 
     Who bought when is needed once per chain and year, so it is written first.
     """
     roles = Roles(mart.spark, mart.source)
     lines = sales.scope(
         _keyed_sales_b(roles), "order_date", FIRST_YEAR[0], SECOND_YEAR[1], "region_key", ["HK"]
-    ).filter(F.upper("prod_brand") == BRAND_UPPER)
+    ).filter(F.upper("prod_brand").isin(*COHORT_BRANDS))
     lines = sales.mark_carveout(lines, marts.keys_of_c(roles))
     lines = sales.enrich_member(lines, roles.member_map(), "vip_no", "vip_main_no")
     second = F.col("order_date") >= F.lit(SECOND_YEAR[0]).cast("date")

@@ -23,28 +23,17 @@ def _flagged(members: DataFrame, key: str, buyers: DataFrame, flag: str) -> Data
 
 
 def _alone(
-    members: DataFrame,
-    key: str,
-    first: DataFrame,
-    second: DataFrame,
-    others: DataFrame,
-    other_first: DataFrame,
-    other_key: str,
+    members: DataFrame, key: str, first: DataFrame, second: DataFrame, others: DataFrame
 ) -> DataFrame:
-    """First-year buyers of one chain that a full outer join shows without a partner:
-    those with a match who did not buy, or with no match at all. Columns: key, ``stays``."""
+    """First-year buyers of one chain that a full outer join shows without a partner: those
+    with a match who did not buy (``_one`` false in ``others``), or with no match at all.
+    Columns: key, ``stays``."""
     buyers = first.select(F.col(first.columns[0]).alias(key)).dropna().distinct()
-    known = members.join(buyers, [key], "left_semi")
-    partners = others.join(
-        other_first.select(F.col(other_first.columns[0]).alias(other_key)).dropna().distinct(),
-        [other_key],
-        "left_semi",
-    )
-    every = pairs_per_member(known, others, key).withColumnRenamed("n_pairs", "_all")
-    bought = pairs_per_member(known, partners, key).withColumnRenamed("n_pairs", "_bought")
-    counted = buyers.join(every, [key], "left").join(bought, [key], "left")
-    none_or_other = F.col("_all").isNull() | (F.col("_all") > F.coalesce(F.col("_bought"), F.lit(0)))
-    return _flagged(counted.filter(none_or_other).select(key), key, second, "stays")
+    known = members.filter("_one")
+    pairs = pairs_per_member(known, others, key, {"n_idle": ~F.col("_one")})
+    counted = buyers.join(pairs, [key], "left")
+    alone = counted.filter(F.col("n_pairs").isNull() | (F.col("n_idle") > 0))
+    return _flagged(alone.select(key), key, second, "stays")
 
 
 def cohort_retention(
@@ -76,11 +65,11 @@ def cohort_retention(
         "n",
     )
     one = F.lit(1).cast("bigint")
-    a_alone = _alone(a, a_key, a_first, a_second, b, b_first, b_key).select(
+    a_alone = _alone(in_a, a_key, a_first, a_second, in_b).select(
         _label(yes, no).alias("label_first"), _label(F.col("stays"), no).alias("label_second"),
         one.alias("n"),
     )
-    b_alone = _alone(b, b_key, b_first, b_second, a, a_first, a_key).select(
+    b_alone = _alone(in_b, b_key, b_first, b_second, in_a).select(
         _label(no, yes).alias("label_first"), _label(no, F.col("stays")).alias("label_second"),
         one.alias("n"),
     )

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossbasket.functions.contact import usable
@@ -37,6 +37,10 @@ def _contacts(members: DataFrame, *kept: str) -> DataFrame:
     return rows.filter(usable(F.col("_value")))
 
 
+def _columns_but_contacts(members: DataFrame) -> list[str]:
+    return [name for name in members.columns if name not in ("email", "mobile")]
+
+
 def _links(members: DataFrame, *kept: str) -> DataFrame:
     """``_contacts`` plus one row per member with both contacts usable, of sign -1.
 
@@ -156,11 +160,24 @@ def unique_customers(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> Data
     return partners.agg(F.countDistinct("_partner").alias("n"))
 
 
-def pairs_per_member(members: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    """The number of distinct pairs each matched member is part of: ``key``, ``n_pairs``."""
-    groups = _links(others).groupBy(*_LINK).agg(F.count(F.lit(1)).alias("_n"))
+def pairs_per_member(
+    members: DataFrame,
+    others: DataFrame,
+    key: str,
+    among: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """The number of distinct pairs each matched member is part of: ``key``, ``n_pairs``.
+
+    ``among`` adds columns that count only the pairs whose other member meets a condition.
+    """
+    conditions = {"n_pairs": F.lit(True), **(among or {})}
+    groups = _links(others, *_columns_but_contacts(others)).groupBy(*_LINK).agg(
+        *[F.count(F.when(c, 1)).alias(name) for name, c in conditions.items()]
+    )
     joined = spread_join(_links(members, key), groups, _LINK)
-    return joined.groupBy(key).agg(F.sum(F.col("_sign") * F.col("_n")).alias("n_pairs"))
+    return joined.groupBy(key).agg(
+        *[F.sum(F.col("_sign") * F.col(name)).alias(name) for name in conditions]
+    )
 
 
 def pair_counts(

@@ -10,7 +10,6 @@ and a scan of a fiscal year's lines is far cheaper than a scan of all of them wi
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,7 +31,7 @@ from crossbasket.operators.sales import (
     mark_carveout,
     scope,
 )
-from crossbasket.session import shared_dir
+from crossbasket.session import scratch
 from crossbasket.sources.roles import (
     CARVEOUT_BRAND,
     DUMMY_ITEM,
@@ -165,11 +164,17 @@ class Mart:
 
     TABLES = ("members_a", "members_b", "sales_a", "sales_cos", "sales_b", "sales_c")
 
-    def __init__(self, spark: SparkSession, root: str, source: str):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        source: str,
+        tables: dict[str, DataFrame] | None = None,
+    ):
         self.spark = spark
         self.root = root
         self.source = source
-        self.tables = read_datamart(spark, root, self.TABLES)
+        self.tables = tables or read_datamart(spark, root, self.TABLES)
         self.n_unique = read_metrics(spark, f"{root}/n_unique")
 
     def members(self, chain: str) -> DataFrame:
@@ -192,12 +197,11 @@ class Mart:
 
 def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope()) -> Mart:
     """Builds all tables under ``root``; runs Spark jobs."""
-    write_datamart(
+    scoped = write_datamart(
         {"scope_a": scoped_sales_a(roles, what), "scope_bc": scoped_sales_bc(roles, what)},
         root,
         {"scope_bc": ["carved_out"]},
     )
-    scoped = read_datamart(spark, root, ["scope_a", "scope_bc"])
     sales = {
         "a": scoped["scope_a"],
         "cos": scoped["scope_a"].filter(F.col("bu_desc") == what.unit),
@@ -207,14 +211,13 @@ def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope
     without_brand = exclude_brand(sales["a"], "brand_desc", what.left_out_brand)
     buyers_a = {"active_a": sales["a"], "active_cos": sales["cos"], "active_exc": without_brand}
     buyers_b = {"active_b": sales["b"], "active_c": sales["c"]}
-    write_datamart(
+    active = write_datamart(
         {
             "active_a": _active(golden_a(roles), "vip_no", buyers_a),
             "active_b": _active(golden_b(roles), "vip_main_no", buyers_b),
         },
         root,
     )
-    active = read_datamart(spark, root, ["active_a", "active_b"])
 
     def members(chain: str) -> DataFrame:
         return _members_of(active, "active", chain)
@@ -229,14 +232,13 @@ def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope
         "vip_main_no",
         {f"in_{chain}": (members(chain), key_of(chain)) for chain in ("a", "cos", "exc", "b", "c")},
     )
-    write_datamart(
+    matched = write_datamart(
         {
             "members_a": active["active_a"].join(partners_a, ["vip_no"], "left"),
             "members_b": active["active_b"].join(partners_b, ["vip_main_no"], "left"),
         },
         root,
     )
-    matched = read_datamart(spark, root, ["members_a", "members_b"])
 
     def unique(a: str, b: str) -> DataFrame:
         """The distinct smallest A partners of a chain's members."""
@@ -254,15 +256,16 @@ def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope
         any_match = reduce(
             Column.__or__, [F.col(f"in_{other}") == 1 for other in OTHERS[chain]]
         )
-        return label_rows(sales[chain], key_of(chain), flags.filter(any_match))
+        # lines in scope are distinct already
+        return label_rows(sales[chain], key_of(chain), flags.filter(any_match), dedup_rows=False)
 
-    write_datamart(
+    marked_sales = write_datamart(
         {f"sales_{chain}": marked(chain) for chain in OTHERS},
         root,
         # the two labels most figures filter on become folders a scan can skip
         {f"sales_{chain}": [f"in_{o}" for o in OTHERS[chain][:2]] for chain in OTHERS},
     )
-    return Mart(spark, root, roles.folder)
+    return Mart(spark, root, roles.folder, {**matched, **marked_sales})
 
 
 def _source_version(spark: SparkSession, folder: str) -> str:
@@ -289,6 +292,5 @@ def mart_for(spark: SparkSession, folder: str) -> Mart:
             return _BUILT[key]
         except AnalysisException:  # the shared folder was cleared meanwhile
             del _BUILT[key]
-    root = f"{shared_dir(spark)}/crossbasket/{key[0]}/{uuid.uuid4().hex}"
-    _BUILT[key] = build_mart(spark, Roles(spark, folder), root)
+    _BUILT[key] = build_mart(spark, Roles(spark, folder), scratch(spark))
     return _BUILT[key]

@@ -10,6 +10,7 @@ from __future__ import annotations
 SHARED = r"""
 WITH base AS (
   SELECT l.l_orderkey, l.l_suppkey, l.l_partkey, l.l_linenumber, l.l_returnflag,
+    l.l_linestatus,
     CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18,4)) AS amt,
     CAST(l.l_quantity AS DECIMAL(18,0)) AS qty,
     o.o_custkey AS ck, CAST(o.o_orderdate AS DATE) AS order_date,
@@ -19,7 +20,7 @@ WITH base AS (
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN part p ON l.l_partkey = p.p_partkey),
 supp AS (
-  SELECT s_suppkey, s_name, r_name FROM supplier
+  SELECT s_suppkey, s_name, n_name, r_name FROM supplier
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 raw_a AS (
   SELECT CAST(2 + (ck - CASE WHEN ck % 5 = 4 THEN 4 ELSE 0 END) % 3 AS VARCHAR) || '0'
@@ -30,7 +31,7 @@ raw_a AS (
     p_type AS category_desc, p_type AS class_desc, noun AS subclass_desc,
     CASE p_size % 5 WHEN 0 THEN 'COS' WHEN 1 THEN 'WW' WHEN 2 THEN 'MW' WHEN 3 THEN 'HL'
       ELSE 'LSA' END AS bu_desc, amt, qty
-  FROM base WHERE l_suppkey % 2 = 0),
+  FROM base WHERE l_linestatus = 'F'),
 stores AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS store_id, r_name AS vat_region_name, s_name AS store_name
   FROM supp),
@@ -42,12 +43,12 @@ raw_b AS (
     CASE r_name WHEN 'ASIA' THEN 'HK' WHEN 'EUROPE' THEN 'IH' ELSE substr(r_name, 1, 2) END
       AS region_key,
     brand AS prod_brand, CAST(l_partkey AS VARCHAR) AS item_code, noun AS item_subcat_desc,
-    CASE WHEN l_suppkey % 10 = 1 THEN 'JB' ELSE 'IX' END AS shop_brand,
+    CASE WHEN n_name IN ('NATION_7', 'NATION_12') THEN 'CV' ELSE 'BX' END AS shop_brand,
     CASE WHEN l_linenumber % 2 = 0 THEN CAST(order_date AS VARCHAR) || ' pos' ELSE 'manual' END
       AS invoice_remark,
     CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 0 ELSE 1 END AS valid_tx_flag,
     CASE WHEN l_linenumber = 7 THEN 'V' END AS void_flag, amt, qty
-  FROM base JOIN supp ON l_suppkey = s_suppkey WHERE l_suppkey % 2 = 1),
+  FROM base JOIN supp ON l_suppkey = s_suppkey WHERE l_linestatus = 'O'),
 valid_b AS (SELECT * FROM raw_b WHERE valid_tx_flag = 1 AND void_flag IS NULL),
 brands AS (
   SELECT DISTINCT p_brand AS brand_code, upper(p_brand) AS brand_desc FROM part
@@ -206,11 +207,11 @@ enriched_b AS (
   LEFT JOIN map_b m ON c.maincat_desc = m.maincat_desc),
 c_keys AS (
   SELECT DISTINCT sales_main_key FROM valid_b
-  WHERE shop_brand = 'JB' AND region_key = 'HK' AND item_code <> '7'
+  WHERE shop_brand = 'CV' AND region_key = 'HK' AND item_code <> '7'
     AND order_date <> DATE '1998-05-01'
   UNION
   SELECT DISTINCT sales_main_key FROM valid_b
-  WHERE shop_brand = 'JB' AND region_key = 'HK' AND item_code <> '7'
+  WHERE shop_brand = 'CV' AND region_key = 'HK' AND item_code <> '7'
     AND order_date = DATE '1998-05-01' AND invoice_remark LIKE '1998-05-01%'),
 scope_bc AS (
   SELECT * FROM enriched_b
@@ -295,7 +296,7 @@ brand_both AS (
   JOIN lines_brand_a a ON a.vip_no = p.ak JOIN brand_b b ON b.vip_main_no = p.bk),
 issue AS (
   SELECT COALESCE(v.vip_main_no, r.vip_no) AS member_no, MIN(shop_code) AS issue_location
-  FROM raw_b r LEFT JOIN vip v ON r.vip_no = v.vip_no WHERE shop_brand = 'JB' GROUP BY 1)
+  FROM raw_b r LEFT JOIN vip v ON r.vip_no = v.vip_no WHERE shop_brand = 'CV' GROUP BY 1)
 """
 )
 
@@ -473,8 +474,8 @@ def _tier_side(side: str, key: str, other: str, order: tuple[str, ...]) -> str:
     )
 
 
-_SHOPS_C = "('1', '21', '41', '61', '81')"
-_SHOPS_B = "('3', '5', '7', '13')"
+_SHOPS_C = "('6', '22', '49', '50', '84', '94', '118', '132', '161', '169', '210')"
+_SHOPS_B = "('7', '9', '14', '18', '27')"
 _FASHION = "('WW', 'MW', 'LSA', 'MSA')"
 _FAN_A = (
     "(SELECT s.*, CASE WHEN p.bk IS NOT NULL THEN 1 ELSE 0 END AS in_b"

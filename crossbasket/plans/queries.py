@@ -32,7 +32,7 @@ from crossbasket.operators import cohort, kpi, labels, matching, members, profil
 from crossbasket.plans import mart as marts
 from crossbasket.plans.mart import PAIRS, Mart, Scope, key_of, mart_for
 from crossbasket.plans.reports import pair_report
-from crossbasket.session import shared_dir, stage
+from crossbasket.session import scratch, stage
 from crossbasket.sources.roles import Roles
 from crossbasket.sources.schemas import MAINCAT_MAPPING
 from crossbasket.sources.tables import mapping_with_codes, read_mapping
@@ -45,7 +45,8 @@ FASHION_UNITS = ("WW", "MW", "LSA", "MSA")
 BRAND = "Brand#2"
 BRAND_UPPER = "BRAND#2"
 COHORT_BRANDS = ("BRAND#1", "BRAND#2", "BRAND#3", "BRAND#4", "BRAND#5")
-SHOPS_C = ("1", "21", "41", "61", "81")
+SHOPS_C = ("6", "22", "49", "50", "84", "94", "118", "132", "161", "169", "210")
+SHOPS_B = ("7", "9", "14", "18", "27")
 FIRST_YEAR = ("1997-04-01", "1998-03-31")
 SECOND_YEAR = ("1998-04-01", "1999-03-31")
 
@@ -106,7 +107,7 @@ def _keyed_sales_b(roles: Roles) -> DataFrame:
 @_raw("mapping_lookup")
 def mapping_lookup(roles: Roles) -> DataFrame:
     """A mapping file, with a stray blank in its header, looked up for every line."""
-    path = f"{shared_dir(roles.spark)}/crossbasket/{roles.spark.sparkContext.applicationId}/mapping"
+    path = f"{scratch(roles.spark)}/mapping"
     stray = roles.mapping_b().withColumnRenamed("bu_desc", "bu_desc ")
     stray.write.mode("overwrite").csv(path, header=True)
     mapping = read_mapping(roles.spark, path, MAINCAT_MAPPING)
@@ -749,8 +750,8 @@ def store_in_out(mart: Mart) -> DataFrame:
 def store_intersect(mart: Mart) -> DataFrame:
     flagged = mart.chain("b").overlapping("in_a")
     return stores.shared_customers(
-        flagged.filter(F.col("shop_code").isin("3", "5", "7", "13")),
-        flagged.filter(~F.col("shop_code").isin("3", "5", "7", "13")),
+        flagged.filter(F.col("shop_code").isin(*SHOPS_B)),
+        flagged.filter(~F.col("shop_code").isin(*SHOPS_B)),
         "vip_main_no",
     )
 
@@ -794,7 +795,7 @@ def issue_intersect(mart: Mart) -> DataFrame:
         F.col("member_no").alias("vip_main_no")
     )
     lines = mart.tables["sales_b"].join(joined.distinct(), ["vip_main_no"], "left_semi")
-    inside = F.col("shop_code").isin("3", "5", "7", "13")
+    inside = F.col("shop_code").isin(*SHOPS_B)
     return stores.shared_customers(lines.filter(inside), lines.filter(~inside), "vip_main_no")
 
 
@@ -827,7 +828,7 @@ def cohort_retention(mart: Mart) -> DataFrame:
     lines = sales.enrich_member(lines, roles.member_map(), "vip_no", "vip_main_no")
     second = F.col("order_date") >= F.lit(SECOND_YEAR[0]).cast("date")
     bought = lines.select("vip_main_no", "carved_out", second.alias("second")).distinct()
-    bought = stage(bought, f"{mart.root}/brand_buyers")
+    bought = stage(bought, f"{scratch(mart.spark)}/brand_buyers")
 
     def buyers(carved_out: int, year: bool) -> DataFrame:
         rows = bought.filter((F.col("carved_out") == carved_out) & (F.col("second") == year))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder of its own for tables of this application."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/crossbasket/{application}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet and return a scan of what was written.
 

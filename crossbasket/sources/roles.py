@@ -1,8 +1,8 @@
 """Retail roles derived from a TPC-H-like star schema.
 
 The driver's tables hold no member files or contacts, so the two chains' inputs are derived
-from them, deterministically and over all rows: lines of even suppliers are chain A's sales,
-those of odd suppliers chain B's. Member numbers, e-mails and phones grow with the customers
+from them, deterministically and over all rows: lines of status F are chain A's sales, those
+of status O chain B's, and shops of two nations carry B's carve-out. Member numbers, e-mails and phones grow with the customers
 (no wrap-around), with a few rows per member and a few members per contact.
 """
 
@@ -17,7 +17,7 @@ from crossbasket.sources.tables import read_table
 
 ODD_DATE = "1998-05-01"
 DUMMY_ITEM = "7"
-CARVEOUT_BRAND = "JB"
+CARVEOUT_BRAND = "CV"
 HOME_REGION = "HK"
 
 # A member's number per chain out of the customer number ``ck``; some customers share one.
@@ -57,6 +57,7 @@ class Roles:
             "l_suppkey",
             "l_linenumber",
             "l_returnflag",
+            "l_linestatus",
             "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS amt",
             "CAST(l_quantity AS DECIMAL(18,0)) AS qty",
         )
@@ -70,7 +71,7 @@ class Roles:
     def sales_a(self) -> DataFrame:
         return (
             self._lines()
-            .where("l_suppkey % 2 = 0")
+            .where("l_linestatus = 'F'")
             .selectExpr(
                 f"{NUMBER_A} AS vip_no",
                 "CAST(l_orderkey AS STRING) AS order_no",
@@ -102,10 +103,12 @@ class Roles:
             "s_suppkey AS l_suppkey",
             """CASE r_name WHEN 'ASIA' THEN 'HK' WHEN 'EUROPE' THEN 'IH'
                ELSE substr(r_name, 1, 2) END AS region_key""",
+            f"""CASE WHEN n_name IN ('NATION_7', 'NATION_12') THEN '{CARVEOUT_BRAND}'
+               ELSE 'BX' END AS shop_brand""",
         )
         return (
             self._lines()
-            .where("l_suppkey % 2 = 1")
+            .where("l_linestatus = 'O'")
             .join(regions, "l_suppkey")
             .selectExpr(
                 "'V' || CAST(ck AS STRING) AS vip_no",
@@ -116,7 +119,7 @@ class Roles:
                 "' ' || brand || ' ' AS prod_brand",
                 "CAST(l_partkey AS STRING) AS item_code",
                 "noun AS item_subcat_desc",
-                f"CASE WHEN l_suppkey % 10 = 1 THEN '{CARVEOUT_BRAND}' ELSE 'IX' END AS shop_brand",
+                "shop_brand",
                 """CASE WHEN l_linenumber % 2 = 0 THEN CAST(order_date AS STRING) || ' pos'
                    ELSE 'manual' END AS invoice_remark""",
                 """CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 0 ELSE 1 END

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crossbasket.session import stage
 from crossbasket.sources.schemas import UNIQUE_CUSTOMERS
 
 
@@ -46,21 +47,20 @@ def write_datamart(
     root: str,
     partition_by: Mapping[str, Sequence[str]] | None = None,
     at_once: int = 4,
-) -> None:
-    """Each table as a Parquet directory under ``root``, replaced if there.
+) -> dict[str, DataFrame]:
+    """Each table as a Parquet directory under ``root``, replaced if there; returns the scans
+    of what was written.
 
     The writes are independent jobs; several run at a time so that the tail of one does not
     leave the cluster idle.
     """
     partition_by = partition_by or {}
 
-    def write(item: tuple[str, DataFrame]) -> None:
-        name, df = item
-        keys = partition_by.get(name, ())
-        df.write.mode("overwrite").partitionBy(*keys).parquet(f"{root}/{name}")
+    def write(name: str) -> DataFrame:
+        return stage(tables[name], f"{root}/{name}", tuple(partition_by.get(name, ())))
 
     with ThreadPoolExecutor(at_once) as pool:
-        list(pool.map(write, tables.items()))
+        return dict(zip(tables, pool.map(write, tables)))
 
 
 def read_datamart(

@@ -18,13 +18,14 @@ def trim_all(df: DataFrame, cols: Iterable[str] | None = None, stringify: bool =
     """
     wanted = set(df.columns if cols is None else cols)
 
-    def trimmed(field: T.StructField) -> Column:
+    def trimmed(field: T.StructField) -> str:
+        name = "`" + field.name.replace("`", "``") + "`"
         text = isinstance(field.dataType, T.StringType)
         if field.name in wanted and (text or stringify):
-            return F.trim(F.col(f"`{field.name}`").cast("string")).alias(field.name)
-        return F.col(f"`{field.name}`")
+            return f"trim(CAST({name} AS STRING)) AS {name}"
+        return name
 
-    return df.select([trimmed(field) for field in df.schema.fields])
+    return df.selectExpr(*[trimmed(field) for field in df.schema.fields])
 
 
 def category_default(mapped: Column, unit: Column | None = None, unit_value: str = "COS") -> Column:

@@ -21,19 +21,18 @@ def _any_null(on: Sequence[str]) -> Column:
 
 
 def hot_groups(df: DataFrame, on: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Key values with more rows than an average shuffle partition, and into how many parts
-    such a partition size would cut each.
+    """The largest groups of more than ``min_rows`` rows, and into how many parts to cut each.
 
-    The sizes are counted map-side first. As every listed group is larger than total rows /
-    partitions, there are at most as many of them as shuffle partitions, so the result is
-    safe to broadcast however large ``df`` is.
+    At most as many groups are listed as there are shuffle partitions, so the result is safe
+    to broadcast however large ``df`` is; and any further group is smaller than an average
+    partition, or it would be among the largest. Sizes are counted map-side first.
     """
+    parts = _partitions(df)
     sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.agg(F.sum("_rows").alias("_total")).scalar()
-    fair = F.greatest(F.lit(min_rows).cast("double"), total / _partitions(df))
-    return sizes.filter((F.col("_rows") > fair) & ~_any_null(on)).select(
-        *on, F.ceil(F.col("_rows") / fair).alias("_salts")
-    )
+    largest = sizes.filter((F.col("_rows") > min_rows) & ~_any_null(on))
+    largest = largest.orderBy(F.desc("_rows"), *on).limit(parts)
+    wanted = F.least(F.ceil(F.col("_rows") / min_rows), F.lit(parts).cast("bigint"))
+    return largest.select(*on, wanted.alias("_salts"))
 
 
 def spread_join(

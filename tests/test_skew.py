@@ -21,9 +21,12 @@ def looked_up(spark):
     return spark.createDataFrame(names, "k string, w int")
 
 
-def test_hot_groups_are_few_and_sized_by_share(spark, skewed):
-    hot = hot_groups(skewed, ["k"], min_rows=1).collect()
-    assert [(r["k"], r["_salts"]) for r in hot] == [("hot", 2)]
+def test_hot_groups_are_the_largest_and_bounded(spark, skewed):
+    hot = hot_groups(skewed, ["k"], min_rows=400).collect()
+    assert [(r["k"], r["_salts"]) for r in hot] == [("hot", 3)]
+    assert hot_groups(skewed, ["k"], min_rows=100).first()["_salts"] == 4
+    every = hot_groups(skewed, ["k"], min_rows=1).collect()
+    assert len(every) == 4 and every[0]["k"] == "hot"
     assert hot_groups(skewed, ["k"]).count() == 0
     assert hot_groups(skewed.limit(0), ["k"], min_rows=1).count() == 0
 

@@ -1,9 +1,9 @@
 """Sales lines: validity, enrichment, carve-out, scope.
 
-The lines are the left side of every join here, and the right side is either one row per key
-or a lookup, so a key that holds a large part of the lines is cut up by Spark's own skew
-join, which splits the left side of inner, left, semi and anti joins by measured size. Dims
-are not hinted: Spark broadcasts those whose size allows.
+A key that holds a large part of the lines must not leave them to one task. Joins to plain
+dims are split by Spark's own skew join, which cuts the lines by measured size, or broadcast
+where the dim's size allows; none is hinted. Joins to keys grouped beforehand are out of its
+reach and spread the lines explicitly.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossbasket.functions.text import category_default, transaction_key, trim_all
+from crossbasket.operators.skew import spread_join
 
 
 def is_valid(flag: str = "valid_tx_flag", void: str = "void_flag") -> Column:
@@ -84,10 +85,16 @@ def member_key(main: Column, number: Column) -> Column:
     return F.coalesce(main, number)
 
 
-def enrich_member(sales: DataFrame, member_map: DataFrame, number: str, main: str) -> DataFrame:
-    """Adds the resolved member key ``main`` to every line."""
+def enrich_member(
+    sales: DataFrame,
+    member_map: DataFrame,
+    number: str,
+    main: str,
+    like: DataFrame | None = None,
+) -> DataFrame:
+    """Adds the resolved member key ``main`` to every line (``like``: see ``spread_join``)."""
     resolved = resolve_member(trim_all(member_map), number, main).withColumnRenamed(main, "_main")
-    joined = sales.join(resolved, [number], "left")
+    joined = spread_join(sales, resolved, [number], "left", like)
     return joined.withColumn(main, member_key(F.col("_main"), F.col(number))).drop("_main")
 
 
@@ -110,13 +117,13 @@ def enrich_sales_b(
     brands = trim_all(brands).withColumnRenamed("brand_code", "prod_brand")
     lines = lines.join(brands.withColumn("_known", F.lit(True)), ["prod_brand"], "left")
     sku_key = F.when(F.col("_known"), F.col("item_code")) if sku_brand_match else F.col("item_code")
+    # what hangs on the SKU is joined to it first, not line by line
+    categories = trim_all(categories).withColumnRenamed("maincat_code", "item_cat")
     items = skus.drop("last_modified_date", "brand_code").withColumnRenamed("item_code", "_sku")
-    lines = lines.withColumn("_sku", sku_key).drop("_known").join(items, ["_sku"], "left")
-    lines = lines.drop("_sku")
-    lines = enrich_member(lines, member_map, "vip_no", "vip_main_no")
+    items = items.join(categories, ["item_cat"], "left").join(mapping, ["maincat_desc"], "left")
+    lines = lines.withColumn("_sku", sku_key).join(items, ["_sku"], "left").drop("_sku", "_known")
+    lines = enrich_member(lines, member_map, "vip_no", "vip_main_no", like=sales)
     lines = lines.join(trim_all(shops), ["shop_code"], "left")
-    categories = trim_all(categories).withColumnRenamed("maincat_code", "item_cat")
-    lines = lines.join(categories, ["item_cat"], "left").join(mapping, ["maincat_desc"], "left")
     return (
         lines.withColumn("sales_main_key", transaction_key(F.col("shop_code"), F.col("invoice_no")))
         .withColumn("arti_cate_name", category_default(F.col("arti_cate_name")))
@@ -172,28 +179,32 @@ def exclude_carveout(sales: DataFrame, keys: DataFrame, key: str = "sales_main_k
     no keys at all. The null-aware join Spark plans for ``NOT IN`` works by broadcasting
     the keys, which has no size bound, hence the plain anti join on non-NULL keys.
     """
-    facts = keys.agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(key).isNull(), 1)).alias("n_null")
-    )
-    no_null = facts.select("n_null").scalar() == 0
-    no_keys = facts.select("n").scalar() == 0
+    n_null = F.count(F.when(F.col(key).isNull(), 1))
+    verdict = F.when(n_null > 0, 0).when(F.count(F.lit(1)) > 0, 1).otherwise(2)
     known = keys.select(key).dropna().distinct()
-    outside = sales.join(known, [key], "left_anti")
-    return outside.filter(no_null & (F.col(key).isNotNull() | no_keys))
+    outside = spread_join(sales, known, [key], "left_anti")
+    # 0: none may stay, 1: those with a key may, 2: all may
+    may_stay = keys.agg(verdict.alias("verdict")).scalar() + F.col(key).isNotNull().cast("int")
+    return outside.filter(may_stay >= 2)
 
 
 def carveout_semi(sales: DataFrame, keys: DataFrame, key: str = "sales_main_key") -> DataFrame:
     """Lines whose key is in ``keys``."""
-    return sales.join(keys.select(key).dropna().distinct(), [key], "left_semi")
+    return spread_join(sales, keys.select(key).dropna().distinct(), [key], "left_semi")
 
 
 def mark_carveout(
-    sales: DataFrame, keys: DataFrame, key: str = "sales_main_key", label: str = "carved_out"
+    sales: DataFrame,
+    keys: DataFrame,
+    key: str = "sales_main_key",
+    label: str = "carved_out",
+    like: DataFrame | None = None,
 ) -> DataFrame:
     """Both sides of the carve-out from one join: 1 inside, 0 outside, NULL without a key."""
     marked = keys.select(key).dropna().distinct().withColumn("_in", F.lit(1))
     inside = F.when(F.col(key).isNotNull(), F.coalesce(F.col("_in"), F.lit(0)))
-    return sales.join(marked, [key], "left").withColumn(label, inside).drop("_in")
+    joined = spread_join(sales, marked, [key], "left", like)
+    return joined.withColumn(label, inside).drop("_in")
 
 
 def carveout_sales(

@@ -1,4 +1,10 @@
-"""Joins that stay even when one key holds a large part of the rows."""
+"""Joins that stay even when one key holds a large part of the rows.
+
+Spark splits a skewed join input by itself, but only where both inputs are shuffled for the
+join alone. Where the other side is grouped by the join key - distinct keys, one row per
+member - its grouping is reused, and a hot key's rows all go to one task. ``spread_join`` is
+for those joins and for the ones most likely to be skewed.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A group up to this many rows is left to one task, whatever its share.
-MIN_HOT_ROWS = 100_000
+# A group up to this many rows is left to one task, whatever its share; the setting of this
+# name overrides the number.
+HOT_ROWS_SETTING = "spark.crossbasket.hotRows"
+HOT_ROWS = 100_000
+
+
+def _hot_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
 
 
 def _partitions(df: DataFrame) -> int:
@@ -20,14 +32,14 @@ def _any_null(on: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.col(name).isNull() for name in on])
 
 
-def hot_groups(df: DataFrame, on: Sequence[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """The largest groups of more than ``min_rows`` rows, and into how many parts to cut each.
+def hot_groups(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The largest groups above the hot size, and into how many parts to cut each.
 
     At most as many groups are listed as there are shuffle partitions, so the result is safe
     to broadcast however large ``df`` is; and any further group is smaller than an average
     partition, or it would be among the largest. Sizes are counted map-side first.
     """
-    parts = _partitions(df)
+    parts, min_rows = _partitions(df), _hot_rows(df)
     sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     largest = sizes.filter((F.col("_rows") > min_rows) & ~_any_null(on))
     largest = largest.orderBy(F.desc("_rows"), *on).limit(parts)
@@ -40,7 +52,7 @@ def spread_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    min_rows: int = MIN_HOT_ROWS,
+    like: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join on the columns ``on`` in which ``left`` may hold very large groups.
 
@@ -49,12 +61,15 @@ def spread_join(
     NULL key never match and are dealt evenly. Neither side is hinted: Spark still
     broadcasts ``right`` where its measured size allows.
 
-    ``how`` may be any type that does not keep unmatched right rows.
+    ``how`` may be any type that does not keep unmatched right rows. Groups are counted on
+    ``left`` or on ``like``, a frame with much the same groups: where ``left`` comes out of a
+    chain of joins, the lines the chain starts from spare running it twice. The result does
+    not depend on what is counted.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join cannot do a {how} join")
     on = list(on)
-    hot = F.broadcast(hot_groups(left, on, min_rows))
+    hot = F.broadcast(hot_groups(left if like is None else like, on))
 
     # identical rows share their hash, so the map partition is mixed in to part copies too
     deal = F.xxhash64(*left.columns) + F.spark_partition_id()

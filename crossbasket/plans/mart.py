@@ -90,12 +90,15 @@ def enriched_sales_b(roles: Roles, sales: DataFrame) -> DataFrame:
     )
 
 
-def keys_of_c(roles: Roles) -> DataFrame:
-    """Transaction keys of chain C, over all dates."""
-    keyed = trim_all(roles.sales_b()).withColumn(
+def _keyed(sales: DataFrame) -> DataFrame:
+    return trim_all(sales).withColumn(
         "sales_main_key", transaction_key(F.col("shop_code"), F.col("invoice_no"))
     )
-    return carveout_keys(keyed, CARVEOUT_BRAND, HOME_REGION, ODD_DATE, DUMMY_ITEM)
+
+
+def keys_of_c(roles: Roles) -> DataFrame:
+    """Transaction keys of chain C, over all dates."""
+    return carveout_keys(_keyed(roles.sales_b()), CARVEOUT_BRAND, HOME_REGION, ODD_DATE, DUMMY_ITEM)
 
 
 def mapping_c(roles: Roles) -> DataFrame:
@@ -111,7 +114,7 @@ def scoped_sales_bc(roles: Roles, what: Scope) -> DataFrame:
     dated = scope(
         roles.sales_b(), "order_date", what.start, what.end, "region_key", what.regions_b
     )
-    lines = mark_carveout(enriched_sales_b(roles, dated), keys_of_c(roles))
+    lines = mark_carveout(enriched_sales_b(roles, dated), keys_of_c(roles), like=_keyed(dated))
     lines = lines.join(mapping_c(roles), ["item_subcat_desc"], "left")
     category = F.when(F.col("carved_out") == 1, F.col("c_cate_name"))
     return lines.withColumn(

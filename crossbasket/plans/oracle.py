@@ -364,7 +364,7 @@ def _tenure(date: str, as_of: str) -> str:
 
 
 def _demo_side(side: str, key: str, other: str) -> str:
-    tenure = f"floor(date_diff('day', first_purchase, DATE '2001-12-31') / 365)"
+    tenure = "floor(date_diff('day', first_purchase, DATE '2001-12-31') / 365)"
     groups = {
         "tenure1-2": "t <= 2",
         "tenure3-4": "t BETWEEN 3 AND 4",
@@ -386,6 +386,33 @@ def _demo_side(side: str, key: str, other: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+_KEYS = {"a": "vip_no", "cos": "vip_no", "b": "vip_main_no", "c": "vip_main_no"}
+_REPORT_PAIRS = (("a", "b"), ("a", "c"), ("b", "c"), ("cos", "b"), ("cos", "c"))
+
+
+def _wallet(a: str, b: str) -> str:
+    one = f"SELECT SUM(amt) FROM sales_{a} WHERE in_{b} = 1"
+    other = f"SELECT SUM(amt) FROM sales_{b} WHERE in_{a} = 1"
+    return f"""
+SELECT side, round(CAST(amt AS DOUBLE), 4) AS sales, {_percent("amt", "total")} AS share_pct
+FROM (SELECT '{a}' AS side, ({one}) AS amt, ({one}) + ({other}) AS total
+  UNION ALL SELECT '{b}', ({other}), ({one}) + ({other}))"""
+
+
+def _price_table(a: str, b: str) -> str:
+    def side(chain: str, other: str) -> str:
+        price = _ratio("SUM(amt)", "SUM(qty)", 2)
+        return (
+            f"(SELECT arti_cate_name AS c, {price} AS {chain}_price_point"
+            f" FROM sales_{chain} WHERE in_{other} = 1 GROUP BY 1)"
+        )
+
+    return (
+        f"SELECT COALESCE(x.c, y.c) AS category, {a}_price_point, {b}_price_point"
+        f" FROM {side(a, b)} x FULL JOIN {side(b, a)} y ON x.c = y.c"
+    )
+
+
 def _top(dim: str, rows: str, key: str, n: int | None) -> str:
     total = f"(SELECT COUNT(DISTINCT {key}) FROM {rows})"
     limit = "" if n is None else f" LIMIT {n}"
@@ -707,8 +734,20 @@ SELECT DISTINCT ak AS vip_no FROM pair_brand EXCEPT SELECT DISTINCT vip_no FROM
     ),
     "sales_behavior": _behavior("a", "b"),
     "pair_report": " UNION ALL ".join(
-        _behavior(a, b)
-        for a, b in (("a", "b"), ("a", "c"), ("b", "c"), ("cos", "b"), ("cos", "c"))
+        _behavior(a, b) for a, b in _REPORT_PAIRS
+    ),
+    "pair_demo_report": " UNION ALL ".join(
+        f"SELECT '{a}_{b}' AS pair, * FROM ({_demo_side(a, _KEYS[a], b)}"
+        f" UNION ALL {_demo_side(b, _KEYS[b], a)})"
+        for a, b in _REPORT_PAIRS
+    ),
+    "pair_wallet_report": " UNION ALL ".join(
+        f"SELECT '{a}_{b}' AS pair, * FROM ({_wallet(a, b)})" for a, b in _REPORT_PAIRS
+    ),
+    "pair_price_report": " UNION ALL ".join(
+        f"SELECT '{a}_{b}' AS pair, category, {a}_price_point AS first_price_point,"
+        f" {b}_price_point AS second_price_point FROM ({_price_table(a, b)})"
+        for a, b in _REPORT_PAIRS
     ),
     "overlap_penetration": " UNION ALL ".join(
         f"""SELECT '{side}' AS side, n_overlap, n_all, {_ratio("n_overlap", "n_all", 6)} AS penetration
@@ -719,13 +758,7 @@ FROM (SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT {key} FROM sales_{side} WHER
     "tenure_share": " UNION ALL ".join(
         [_demo_side("a", "vip_no", "b"), _demo_side("b", "vip_main_no", "a")]
     ),
-    "share_of_wallet": f"""
-SELECT side, round(CAST(amt AS DOUBLE), 4) AS sales, {_percent("amt", "(a.amt0 + b.amt0)")}
-  AS share_pct
-FROM (SELECT 'a' AS side, SUM(amt) AS amt FROM sales_a WHERE in_b = 1
-  UNION ALL SELECT 'b', SUM(amt) FROM sales_b WHERE in_a = 1)
-CROSS JOIN (SELECT SUM(amt) AS amt0 FROM sales_a WHERE in_b = 1) a
-CROSS JOIN (SELECT SUM(amt) AS amt0 FROM sales_b WHERE in_a = 1) b""",
+    "share_of_wallet": _wallet("a", "b"),
     "tier_percent": " UNION ALL ".join(
         [
             _tier_side(
@@ -743,13 +776,7 @@ CROSS JOIN (SELECT SUM(amt) AS amt0 FROM sales_b WHERE in_a = 1) b""",
 SELECT arti_cate_name AS category, round(CAST(SUM(amt) AS DOUBLE), 4) AS sum_sales,
   CAST(SUM(qty) AS DOUBLE) AS sum_qty, {_ratio("SUM(amt)", "SUM(qty)")} AS price_point
 FROM sales_a WHERE in_b = 1 GROUP BY arti_cate_name""",
-    "pricepoint_table": f"""
-SELECT COALESCE(a.c, b.c) AS category, a_price_point, b_price_point FROM
-  (SELECT arti_cate_name AS c, {_ratio("SUM(amt)", "SUM(qty)", 2)} AS a_price_point
-   FROM sales_a WHERE in_b = 1 GROUP BY 1) a
-FULL JOIN
-  (SELECT arti_cate_name AS c, {_ratio("SUM(amt)", "SUM(qty)", 2)} AS b_price_point
-   FROM sales_b WHERE in_a = 1 GROUP BY 1) b ON a.c = b.c""",
+    "pricepoint_table": _price_table("a", "b"),
     "top_brand": _top("brand_desc", _flagged("a")[0], "vip_no", 10),
     "top_brand_segment": _top(
         "brand_desc",

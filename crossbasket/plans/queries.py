@@ -30,8 +30,8 @@ from crossbasket.functions.tiers import (
 )
 from crossbasket.operators import cohort, kpi, labels, matching, members, profile, sales, stores
 from crossbasket.plans import mart as marts
+from crossbasket.plans import reports
 from crossbasket.plans.mart import PAIRS, Mart, Scope, key_of, mart_for
-from crossbasket.plans.reports import pair_report
 from crossbasket.session import scratch, stage
 from crossbasket.sources.roles import Roles
 from crossbasket.sources.schemas import MAINCAT_MAPPING
@@ -377,9 +377,10 @@ def brand_info_by_year(roles: Roles) -> DataFrame:
 
 
 def _brand_info(roles: Roles, by_year: bool) -> DataFrame:
-    kept = sales.exclude_carveout(_keyed_sales_b(roles), marts.keys_of_c(roles))
-    kept = kept.filter((F.col("region_key") == "HK") & F.col("prod_brand").isin(BRAND, "Brand#3"))
-    kept = sales.enrich_member(kept, roles.member_map(), "vip_no", "vip_main_no")
+    lines = _keyed_sales_b(roles)
+    lines = lines.filter((F.col("region_key") == "HK") & F.col("prod_brand").isin(BRAND, "Brand#3"))
+    kept = sales.exclude_carveout(lines, marts.keys_of_c(roles))
+    kept = sales.enrich_member(kept, roles.member_map(), "vip_no", "vip_main_no", like=lines)
     return profile.brand_info(
         kept, "prod_brand", "vip_main_no", "sales_main_key", "order_date", by_year
     )
@@ -532,7 +533,10 @@ def sales_behavior(mart: Mart) -> DataFrame:
     )
 
 
-_on_mart("pair_report")(pair_report)
+_on_mart("pair_report")(reports.pair_report)
+_on_mart("pair_demo_report")(lambda mart: reports.demo_report(mart, AS_OF))
+_on_mart("pair_wallet_report")(reports.wallet_report)
+_on_mart("pair_price_report")(reports.price_report)
 
 
 @_on_mart("overlap_penetration")
@@ -802,11 +806,13 @@ def issue_intersect(mart: Mart) -> DataFrame:
 @_on_mart("issue_right_join")
 def issue_right_join(mart: Mart) -> DataFrame:
     roles = Roles(mart.spark, mart.source)
+    lines = _keyed_sales_b(roles)
     history = sales.enrich_member(
-        sales.carveout_semi(_keyed_sales_b(roles), marts.keys_of_c(roles)),
+        sales.carveout_semi(lines, marts.keys_of_c(roles)),
         roles.member_map(),
         "vip_no",
         "vip_main_no",
+        like=lines,
     )
     window = F.col("order_date").between(*[F.lit(d).cast("date") for d in SECOND_YEAR])
     return stores.issue_right_join(
@@ -824,8 +830,10 @@ def cohort_retention(mart: Mart) -> DataFrame:
     lines = sales.scope(
         _keyed_sales_b(roles), "order_date", FIRST_YEAR[0], SECOND_YEAR[1], "region_key", ["HK"]
     ).filter(F.upper("prod_brand").isin(*COHORT_BRANDS))
-    lines = sales.mark_carveout(lines, marts.keys_of_c(roles))
-    lines = sales.enrich_member(lines, roles.member_map(), "vip_no", "vip_main_no")
+    marked = sales.mark_carveout(lines, marts.keys_of_c(roles))
+    lines = sales.enrich_member(
+        marked, roles.member_map(), "vip_no", "vip_main_no", like=lines
+    )
     second = F.col("order_date") >= F.lit(SECOND_YEAR[0]).cast("date")
     bought = lines.select("vip_main_no", "carved_out", second.alias("second")).distinct()
     bought = stage(bought, f"{scratch(mart.spark)}/brand_buyers")

@@ -1,27 +1,59 @@
-"""Reports over all chain pairs."""
+"""Reports over all chain pairs, in long form with a ``pair`` column."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossbasket.operators import kpi
+from crossbasket.operators.kpi import Chain
 from crossbasket.plans.mart import REPORT_PAIRS, Mart
 
 
-def pair_report(mart: Mart) -> DataFrame:
-    """Sales figures of every chain pair, in long form: pair, side, metric, value."""
+def over_pairs(mart: Mart, table: Callable[[Chain, Chain, str, str], DataFrame]) -> DataFrame:
+    """``table`` of every pair of chains and their labels, one below the other."""
     tables = [
-        kpi.sales_behavior(
-            mart.chain(a), mart.chain(b), f"in_{a}", f"in_{b}", mart.unique(a, b)
+        table(mart.chain(a), mart.chain(b), f"in_{a}", f"in_{b}").select(
+            F.lit(f"{a}_{b}").alias("pair"), "*"
         )
         for a, b in REPORT_PAIRS
     ]
     return reduce(DataFrame.unionByName, tables)
 
 
+def pair_report(mart: Mart) -> DataFrame:
+    """Sales figures: pair, side, metric, value."""
+
+    def table(a: Chain, b: Chain, a_label: str, b_label: str) -> DataFrame:
+        unique = mart.unique(a.name, b.name)
+        return kpi.sales_behavior(a, b, a_label, b_label, unique).drop("pair")
+
+    return over_pairs(mart, table)
+
+
+def demo_report(mart: Mart, as_of: str) -> DataFrame:
+    """Penetration and tenure shares: pair, side, metric, pct."""
+    return over_pairs(mart, lambda *pair: kpi.demo_table(*pair, as_of))
+
+
+def wallet_report(mart: Mart) -> DataFrame:
+    """Shares of wallet: pair, side, sales, share_pct."""
+    return over_pairs(mart, kpi.share_of_wallet)
+
+
+def price_report(mart: Mart) -> DataFrame:
+    """Price points by category: pair, category and one price per side."""
+
+    def table(a: Chain, b: Chain, a_label: str, b_label: str) -> DataFrame:
+        prices = kpi.pricepoint_table(a, b, a_label, b_label)
+        return prices.toDF("category", "first_price_point", "second_price_point")
+
+    return over_pairs(mart, table)
+
+
 def as_grid(report: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """A long report with one column per metric."""
     grouped = report.groupBy("pair", "side")

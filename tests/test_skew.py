@@ -1,7 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from crossbasket.operators.skew import hot_groups, spread_join
+from crossbasket.operators.skew import HOT_ROWS_SETTING, hot_groups, spread_join
+
+
+@pytest.fixture
+def hot_rows(spark):
+    """Sets the size from which a group is hot, for one test."""
+    yield lambda n: spark.conf.set(HOT_ROWS_SETTING, str(n))
+    spark.conf.unset(HOT_ROWS_SETTING)
 
 
 @pytest.fixture
@@ -21,41 +28,55 @@ def looked_up(spark):
     return spark.createDataFrame(names, "k string, w int")
 
 
-def test_hot_groups_are_the_largest_and_bounded(spark, skewed):
-    hot = hot_groups(skewed, ["k"], min_rows=400).collect()
+def test_hot_groups_are_the_largest_and_bounded(skewed, hot_rows):
+    assert hot_groups(skewed, ["k"]).count() == 0
+    hot_rows(400)
+    hot = hot_groups(skewed, ["k"]).collect()
     assert [(r["k"], r["_salts"]) for r in hot] == [("hot", 3)]
-    assert hot_groups(skewed, ["k"], min_rows=100).first()["_salts"] == 4
-    every = hot_groups(skewed, ["k"], min_rows=1).collect()
+    hot_rows(100)
+    assert hot_groups(skewed, ["k"]).first()["_salts"] == 4
+    hot_rows(1)
+    every = hot_groups(skewed, ["k"]).collect()
     assert len(every) == 4 and every[0]["k"] == "hot"
-    assert hot_groups(skewed, ["k"]).count() == 0
-    assert hot_groups(skewed.limit(0), ["k"], min_rows=1).count() == 0
+    assert hot_groups(skewed.limit(0), ["k"]).count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("min_rows", [1, 50, 10**6])
-def test_spread_join_equals_plain_join(skewed, looked_up, rows, how, min_rows):
-    got = spread_join(skewed, looked_up, ["k"], how, min_rows)
+@pytest.mark.parametrize("size", [1, 50, 10**6])
+def test_spread_join_equals_plain_join(skewed, looked_up, rows, hot_rows, how, size):
+    hot_rows(size)
+    got = spread_join(skewed, looked_up, ["k"], how)
     expected = skewed.join(looked_up, ["k"], how)
     assert got.columns == expected.columns
     assert rows(got) == rows(expected)
 
 
-def test_spread_join_on_two_columns(skewed, spark, rows):
+def test_spread_join_counted_on_another_frame(skewed, looked_up, rows, hot_rows):
+    """Whatever the groups are taken from, the result is the same."""
+    hot_rows(1)
+    expected = rows(skewed.join(looked_up, ["k"], "left"))
+    for like in (looked_up, skewed.limit(5), skewed.limit(0)):
+        assert rows(spread_join(skewed, looked_up, ["k"], "left", like)) == expected
+
+
+def test_spread_join_on_two_columns(skewed, rows, hot_rows):
+    hot_rows(1)
     other = skewed.distinct().withColumn("w", F.lit(1))
-    got = spread_join(skewed, other, ["k", "v"], "left", 1)
+    got = spread_join(skewed, other, ["k", "v"], "left")
     assert rows(got) == rows(skewed.join(other, ["k", "v"], "left"))
 
 
-def test_spread_join_deals_copies_and_null_keys_over_tasks(spark):
+def test_spread_join_deals_copies_and_null_keys_over_tasks(spark, hot_rows):
     """One group of identical rows, and keyless rows, must not end up in one partition."""
+    hot_rows(100)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         copies = spark.range(0, 4000, 1, 8).select(
             F.when(F.col("id") % 2 == 0, "hot").alias("k"), F.lit(0).alias("v")
         )
-        right = spark.createDataFrame([("hot", 1), ("b", 2)], "k string, w int")
-        joined = spread_join(copies, right, ["k"], "left", 1)
+        right = spark.createDataFrame([("hot", 1), ("b", 2)], "k string, w int").distinct()
+        joined = spread_join(copies, right, ["k"], "left")
         sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
         assert sum(r["count"] for r in sizes) == 4000
         assert max(r["count"] for r in sizes) < 3000

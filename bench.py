@@ -21,8 +21,6 @@ from crossbasket.sources.roles import Roles
 
 HEADLINE = (
     "golden_record_a",
-    "golden_record_b",
-    "latest_per_key",
     "enrich_sales",
     "exclude_carveout",
     "active_members",
@@ -30,12 +28,9 @@ HEADLINE = (
     "match_customers",
     "unique_customers",
     "label_overlap",
-    "label_fanout",
     "kpi_aov",
     "sales_behavior",
     "pair_report",
-    "overlap_penetration",
-    "tenure_share",
     "share_of_wallet",
     "pricepoint_table",
     "top_brand",

@@ -46,14 +46,16 @@ def customers_by_order_content(
     dims: Sequence[str],
     key: str,
     n: int | None = None,
+    own: Sequence[str] = (),
 ) -> DataFrame:
-    """Customers of ``lines`` by what the raw lines of the same orders contain.
+    """Customers of ``lines`` by what the raw lines of the same orders contain (``dims``) and,
+    if asked, by columns of the lines themselves (``own``).
 
     Only distinct customers and distinct contents per order meet, not its lines squared.
     """
-    buyers = lines.select(order, key).distinct()
+    buyers = lines.select(order, key, *own).distinct()
     contents = raw.select(order, *dims).distinct()
-    return customers_by(buyers.join(contents, [order], "left"), dims, key, n)
+    return customers_by(buyers.join(contents, [order], "left"), [*own, *dims], key, n)
 
 
 def sow_by(sales: DataFrame, dim: str, amount: str = "amt") -> DataFrame:

@@ -837,6 +837,14 @@ SELECT (SELECT COUNT(DISTINCT vip_no) FROM sales_a WHERE in_b = 1 AND upper(bran
             _prices("fashion", f"(SELECT * FROM {_FAN_A} WHERE in_b = 1 AND bu_desc IN {_FASHION})"),
         ]
     ),
+    "segment_spend_share": _sow(
+        "bu_desc", "(SELECT * FROM lines_brand_a WHERE vip_no NOT IN (SELECT ak FROM pair_brand))"
+    ),
+    "segment_subclass": """
+SELECT a.class_desc, s.subclass_desc, COUNT(DISTINCT a.vip_no) AS n_customers
+FROM lines_brand_a a LEFT JOIN raw_a s ON a.order_no = s.order_no
+WHERE a.vip_no NOT IN (SELECT ak FROM pair_brand)
+GROUP BY 1, 2 ORDER BY 3 DESC, 1 ASC NULLS LAST, 2 ASC NULLS LAST LIMIT 13""",
     "distinct_items": """
 SELECT DISTINCT item_desc, arti_cate_name, maincat_desc FROM scope_b
 WHERE prod_brand = 'Brand#2' AND arti_cate_name IN ('Makeup', 'Haircare')""",

@@ -29,6 +29,7 @@ from crossbasket.functions.tiers import (
     TIER_ORDER_B,
 )
 from crossbasket.operators import cohort, kpi, labels, matching, members, profile, sales, stores
+from crossbasket.operators.skew import spread_join
 from crossbasket.plans import mart as marts
 from crossbasket.plans import reports
 from crossbasket.plans.mart import PAIRS, Mart, Scope, key_of, mart_for
@@ -685,10 +686,8 @@ def brand_cross_shop(mart: Mart) -> DataFrame:
 def segment_pricepoint(mart: Mart) -> DataFrame:
     """Price points by category of three customer segments of a brand."""
     of_b = _brand_buyers_b(mart)
-    a, lines = mart.members("a"), _brand_lines_a(mart)
-    of_a = members.active_members(a, lines, "vip_no")
-    matched = matching.overlap_keys(a, of_b, "vip_no")
-    only = labels.segment_keys(lines, matched, "vip_no", inside=False)
+    lines = _brand_lines_a(mart)
+    of_a = members.active_members(mart.members("a"), lines, "vip_no")
     pairs = matching.pairs_per_member(of_a, of_b, "vip_no")
     both = labels.label_fanout(lines.drop("in_b", "in_c"), "vip_no", pairs, "both")
     units = sales.segment(_fanned_out_a(mart).filter("in_b = 1"), "bu_desc", FASHION_UNITS)
@@ -702,7 +701,7 @@ def segment_pricepoint(mart: Mart) -> DataFrame:
         )
 
     segments = {
-        "a_only": lines.join(only, ["vip_no"], "left_semi"),
+        "a_only": _only_a_lines(mart),
         "both": weighted(both.filter("both = 1")),
         "fashion": weighted(units),
     }
@@ -712,6 +711,27 @@ def segment_pricepoint(mart: Mart) -> DataFrame:
     )
 
 
+def _only_a_lines(mart: Mart) -> DataFrame:
+    """A's lines of the brand by customers without a match among B's buyers of it."""
+    lines = _brand_lines_a(mart)
+    matched = matching.overlap_keys(mart.members("a"), _brand_buyers_b(mart), "vip_no")
+    only = labels.segment_keys(lines, matched, "vip_no", inside=False)
+    return spread_join(lines, only, ["vip_no"], "left_semi")
+
+
+@_on_mart("segment_spend_share")
+def segment_spend_share(mart: Mart) -> DataFrame:
+    return profile.sow_by(_only_a_lines(mart), "bu_desc")
+
+
+@_on_mart("segment_subclass")
+def segment_subclass(mart: Mart) -> DataFrame:
+    raw = Roles(mart.spark, mart.source).sales_a().select("order_no", "subclass_desc")
+    return profile.customers_by_order_content(
+        _only_a_lines(mart), raw, "order_no", ["subclass_desc"], "vip_no", 13, ["class_desc"]
+    )
+
+
 @_on_mart("distinct_items")
 def distinct_items(mart: Mart) -> DataFrame:
     return profile.distinct_values(
@@ -798,7 +818,7 @@ def issue_intersect(mart: Mart) -> DataFrame:
     joined = issue.filter(F.col("issue_location").isin(*SHOPS_C)).select(
         F.col("member_no").alias("vip_main_no")
     )
-    lines = mart.tables["sales_b"].join(joined.distinct(), ["vip_main_no"], "left_semi")
+    lines = spread_join(mart.tables["sales_b"], joined.distinct(), ["vip_main_no"], "left_semi")
     inside = F.col("shop_code").isin(*SHOPS_B)
     return stores.shared_customers(lines.filter(inside), lines.filter(~inside), "vip_main_no")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbasket.llm import decontaminate, shards
+from crossbasket.llm import byte_bpe, decontaminate, shards, token_counts
 from crossbasket.llm.shared import table
 
 
@@ -15,9 +16,24 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(found)
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(table(spark, folder, "documents"), model)
+
+
 def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.report(table(spark, folder, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.byte_bpe(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op4_shards": op4_shards}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_token_counts": op2_token_counts,
+        "op4_shards": op4_shards,
+        "op8_byte_bpe": op8_byte_bpe,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbasket.llm import byte_bpe, decontaminate, shards, token_counts
+from crossbasket.llm import byte_bpe, decontaminate, near_duplicates, shards, token_counts
 from crossbasket.llm.shared import table
 
 
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), model)
 
 
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.report(table(spark, folder, "documents"))
 
@@ -34,6 +38,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_token_counts": op2_token_counts,
+        "op3_near_duplicates": op3_near_duplicates,
         "op4_shards": op4_shards,
         "op8_byte_bpe": op8_byte_bpe,
     }

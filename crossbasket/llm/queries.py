@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbasket.llm import byte_bpe, decontaminate, near_duplicates, shards, token_counts
+from crossbasket.llm import byte_bpe, decontaminate, near_duplicates, quality, shards, token_counts
 from crossbasket.llm.shared import table
 
 
@@ -29,6 +29,10 @@ def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.report(table(spark, folder, "documents"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(table(spark, folder, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.byte_bpe(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -40,5 +44,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_near_duplicates": op3_near_duplicates,
         "op4_shards": op4_shards,
+        "op5_quality": op5_quality,
         "op8_byte_bpe": op8_byte_bpe,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbasket.llm import byte_bpe, decontaminate, near_duplicates, quality, shards, token_counts
+from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, quality, shards, token_counts
 from crossbasket.llm.shared import table
 
 
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(table(spark, folder, "documents"))
 
 
+def op6_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.report(table(spark, folder, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.byte_bpe(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -45,5 +49,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": op3_near_duplicates,
         "op4_shards": op4_shards,
         "op5_quality": op5_quality,
+        "op6_languages": op6_languages,
         "op8_byte_bpe": op8_byte_bpe,
     }

@@ -136,8 +136,8 @@ def transition_counts(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(secret: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """How much each transition speaks for a random string. Random strings of the whole alphabet are
-    mixed into the secret side, as the samples need not hold all kinds of them."""
+    """How much each transition speaks for a random string. Strings of the whole alphabet are mixed into
+    both sides, into the secret one by half, as the samples need not hold all kinds of either."""
 
     def model(counts: np.ndarray, prior: float) -> np.ndarray:
         table = counts.reshape(_STATES, _STATES)[:, 1:].astype(np.float64)
@@ -145,7 +145,8 @@ def log_ratios(secret: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
 
     uniform = 1 / len(ALPHABET)
     table = np.zeros((_STATES, _STATES))
-    table[:, 1:] = np.log(0.5 * model(secret, 1.0) + 0.5 * uniform) - np.log(model(ordinary, 0.5))
+    random, plain = model(secret, 1.0), model(ordinary, 0.5)
+    table[:, 1:] = np.log(0.5 * random + 0.5 * uniform) - np.log(0.9 * plain + 0.1 * uniform)
     return table.reshape(-1)
 
 

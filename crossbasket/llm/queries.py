@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, quality, secrets, shards, token_counts
+from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, quality, secrets, shards, token_counts, toxicity
 from crossbasket.llm.shared import table
 
 
@@ -42,6 +42,10 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.byte_bpe(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
@@ -55,5 +59,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_languages": op6_languages,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_toxicity": op9_toxicity,
         "op10_secrets": op10_secrets,
     }

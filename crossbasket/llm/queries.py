@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, quality, secrets, shards, token_counts, toxicity
+from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, personal, quality, secrets, shards, token_counts, toxicity
 from crossbasket.llm.shared import table
 
 
@@ -37,6 +37,10 @@ def op6_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages.report(table(spark, folder, "documents"))
 
 
+def op7_personal(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.report(table(spark, folder, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.byte_bpe(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -58,6 +62,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_shards": op4_shards,
         "op5_quality": op5_quality,
         "op6_languages": op6_languages,
+        "op7_personal": op7_personal,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_secrets": op10_secrets,

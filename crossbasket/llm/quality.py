@@ -353,7 +353,8 @@ def judged(measured: DataFrame, spread: float = SPREAD, noise: float = NOISE) ->
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
     width = spread * (quartiles[2] - quartiles[0]) + noise / F.sqrt(q["n_points"].cast("double"))
     inside = F.abs(q["log_p"] - quartiles[1]) <= width
-    joined = measured.join(bands(measured), q["model"] == F.col("_model"))
+    # at most one row for each of MAX_LANGUAGES languages and one for the others
+    joined = measured.join(F.broadcast(bands(measured)), q["model"] == F.col("_model"))
     more = q.withField("base_failed", failed).withField("perplexity", F.exp(-q["log_p"])).withField("kept", ~failed & inside)
     return joined.select(*[name for name in measured.columns if name != "quality"], more.alias("quality"))
 

@@ -6,13 +6,13 @@ by 1, 2, 3 and so on, gives every coordinate of the signature. With 32 bands of
 coordinates, two documents of similarity 0.75 meet in no band with probability 5e-6.
 
 Copies of one word sequence are one class from the start, whatever their number. Buckets (classes
-that agree in a band) never give all their pairs: each round compares a bucket's classes with
-one of them, the hub, and only those not yet in the hub's component; links join components, and a
-bucket within one component is done. After ``HUB_ROUNDS`` rounds buckets of up to ``SMALL`` classes
-compare what is left of them pair by pair. Larger ones are full of documents that share some
-passage without being similar: their classes are bucketed anew by a prefix filter. Ordered from
-rarest to commonest, two sets of similarity 0.75 share a shingle among the first quarter of each,
-and the shingles of a common passage are last. Those buckets go through rounds until none is left,
+that agree in a band) never give all their pairs: a round compares a bucket's classes with a few
+of them, the hubs, and only across components; links join components, a hub that has met its whole
+bucket leaves it, and a bucket within one component is done. Rounds take four times as many hubs
+each. After ``REFINE_ROUND`` rounds the buckets left are full of documents that share some passage
+without being similar: their classes are bucketed anew by a prefix filter. Ordered from rarest to
+commonest, two sets of similarity 0.75 share a shingle among the first quarter of each, and
+the shingles of a common passage are last. Those buckets go through rounds until none is left,
 so no link is given up. Links are confirmed on full sets of 64-bit shingle hashes.
 
 Signatures, classes, sets and pairs are written to the shared folder between steps. Joins on hot
@@ -33,16 +33,16 @@ from pyspark.sql import types as T
 
 from crossbasket.llm import wordhash
 from crossbasket.llm.batches import arrow_schema, pieces
-from crossbasket.llm.shared import written
+from crossbasket.llm.shared import broadcast_if, written
 
 SHINGLE = 5
 PERCENT = 75
 BANDS = 32
 ROWS = 4
 UNIVERSE_BITS = 20
-HUB_ROUNDS = 2
-SMALL = 32
-REFINE_ROUND = 4
+REFINE_ROUND = 2
+MORE_HUBS = 4
+BROADCAST_PAIRS = 200_000
 _AT_ONCE = 4096  # shingles whose coordinates are laid out at the same time
 
 
@@ -149,19 +149,24 @@ def components(links: DataFrame) -> DataFrame:
     """``class`` and ``label``, the smallest class it is connected with, of all classes in ``links``.
 
     Each step takes the smallest label among the neighbours and then the label's own label, so
-    paths halve; labels are written after each step.
+    paths halve; labels are written after every two steps.
     """
     both = links.select("a", "b").union(links.select("b", "a"))
-    labels = written(both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
-    while True:
+    labels = both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
+    labels = written(labels, "labels")
+
+    def step(labels: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("class").alias("b"), "label"), "b")
         near = near.groupBy(F.col("a").alias("class")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "class").select("class", "label", F.least("label", "near").alias("least"))
+        least = labels.join(near, "class").select("class", F.least("label", "near").alias("least"))
         above = labels.select(F.col("class").alias("least"), F.col("label").alias("above"))
-        jumped = least.join(above, "least").select("class", "label", F.least("least", "above").alias("next"))
-        jumped = written(jumped, "labels")
-        labels = jumped.select("class", F.col("next").alias("label"))
-        if jumped.filter(F.col("next") != F.col("label")).isEmpty():
+        return least.join(above, "least").select("class", F.least("least", "above").alias("label"))
+
+    while True:
+        twice = step(step(labels)).join(labels.withColumnRenamed("label", "before"), "class")
+        twice = written(twice, "labels")
+        labels = twice.select("class", "label")
+        if twice.filter(F.col("before") != F.col("label")).isEmpty():
             return labels
 
 
@@ -170,15 +175,19 @@ def _long_enough(n_a: Column, n_b: Column, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (``a``, ``b``) whose full sets are similar enough."""
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b"))
+    """The ``pairs`` (``a``, ``b``; written) whose full sets are similar enough.
+
+    Each end meets its set by itself, then the ends meet by pair, where no key is hot. Few pairs are
+    broadcast to the sets, many are shuffled with them.
+    """
+    known = broadcast_if(pairs, pairs.count(), BROADCAST_PAIRS)
+    left = sets.withColumnsRenamed({"class": "a", "shingles": "set_a"}).join(known, "a")
+    right = sets.withColumnsRenamed({"class": "b", "shingles": "set_b"}).join(known, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.withColumn("_common", common).filter(
-        F.col("_common") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("_common")) * percent
-    ).select("a", "b")
+    joined = left.join(right, ["a", "b"]).select(
+        "a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("total")
+    )
+    return joined.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b")
 
 
 def _prefix_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,51 +204,42 @@ def _prefix_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return listed.select(F.explode(F.transform(first, lambda s: s["shingle"])).alias("key"), "class", "n")
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Confirmed links between classes that share a bucket (``key``, ``class``, ``n``), enough of them
-    to give the same components as all."""
-    links, labels, members, number = None, None, buckets, 0
+def linked_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """``class`` and ``label`` of the classes linked with any other, by component; None without links.
+
+    ``buckets`` (``key``, ``class``, ``n``) hold every pair that may be similar enough. Not all links
+    are looked up, but enough of them to give the same components.
+    """
+    links, labels, members, number, hubs = None, None, buckets, 0, 1
     while True:
         if labels is None:
             placed = members.withColumn("label", F.col("class"))
         else:
             placed = members.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        state = placed.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"),
-            F.min(F.struct("class", "n", "label")).alias("hub"),
-        )
-        live = state.filter(F.col("low") != F.col("high")).select("key", "size", "hub")
+        state = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        live = state.filter(F.col("low") != F.col("high")).select("key")
         placed = written(placed.join(live, "key"), "members")
         if placed.isEmpty():
-            return links
+            return labels
         if number == REFINE_ROUND:
-            large = placed.filter(F.col("size") > SMALL)
-            if not large.isEmpty():
-                anew = _prefix_buckets(large, sets, percent).select("key", "class", "n")
-                placed = placed.filter(F.col("size") <= SMALL).select("key", "class", "n").unionByName(anew)
-                members, number = written(placed, "members"), number + 1
-                continue
-        small = (F.col("size") <= SMALL) & F.lit(number >= HUB_ROUNDS)
-        hubs = placed.filter(~small & (F.col("label") != F.col("hub.label"))).select(
-            F.col("hub.class").alias("a"), F.col("hub.n").alias("n_a"), F.col("class").alias("b"), F.col("n").alias("n_b")
+            members, number = written(_prefix_buckets(placed, sets, percent), "buckets"), number + 1
+            continue
+        # the smallest set of each part of a bucket is a hub: it is likeliest to be in the others
+        part = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(hubs))
+        chosen = placed.groupBy("key", part.alias("part")).agg(F.min(F.struct("n", "class", "label")).alias("hub"))
+        chosen = written(chosen.select("key", "hub"), "hubs")
+        met = placed.join(chosen, "key").filter(
+            (F.col("label") != F.col("hub.label")) & _long_enough(F.col("n"), F.col("hub.n"), percent)
         )
-        rest = placed.filter(~small & (F.col("class") != F.col("hub.class"))).select("key", "class", "n")
-        found = hubs
-        if number >= HUB_ROUNDS:
-            left = placed.filter(small).select(
-                "key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")
-            )
-            right = placed.filter(small).select(
-                "key", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b")
-            )
-            cross = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
-            found = hubs.unionByName(cross.select("a", "n_a", "b", "n_b"))
-        pairs = found.filter(_long_enough(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
+        ends = F.least("class", "hub.class"), F.greatest("class", "hub.class")
+        pairs = met.select(ends[0].alias("a"), ends[1].alias("b")).distinct()
         new = written(_confirmed(written(pairs, "pairs"), sets, percent), "links")
+        done = chosen.select("key", F.col("hub.class").alias("class"))
+        members = placed.select("key", "class", "n").join(done, ["key", "class"], "left_anti")
+        number, hubs = number + 1, hubs * MORE_HUBS
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             labels = components(links)
-        members, number = rest, number + 1
 
 
 def near_duplicates(
@@ -268,13 +268,12 @@ def near_duplicates(
     buckets = written(buckets.join(shared, "key"), "buckets")
     wanted = classes.select("class", "doc_id").join(buckets.select("class").distinct(), "class")
     sets = written(_class_sets(documents, wanted, width), "sets")
-    links = _links(buckets.select("key", "class", "n"), sets, percent)
+    labels = linked_classes(buckets.select("key", "class", "n"), sets, percent)
 
     first = classes.select("class", "doc_id")
-    if links is None:
+    if labels is None:
         named = first.withColumnRenamed("doc_id", "component_id")
     else:
-        labels = components(links)
         smallest = labels.join(first, "class").groupBy("label").agg(F.min("doc_id").alias("smallest"))
         linked = written(labels.join(smallest, "label").select("class", "smallest"), "linked")
         named = first.join(linked, "class", "left").select(

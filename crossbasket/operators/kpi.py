@@ -84,14 +84,39 @@ def avg_spend_per_cust(chain: Chain, label: str, n_customers: DataFrame) -> Data
     return spend.select(ratio(F.col("amt"), n_customers.scalar()).alias("avg_spend_per_cust"))
 
 
-def _behavior(chain: Chain, label: str, n_customers: DataFrame, pair: str) -> DataFrame:
-    totals = chain.overlapping(label).agg(
-        _amount(chain).alias("amt"), _units(chain).alias("qty"), _orders(chain).alias("orders")
-    ).withColumn("n", n_customers.scalar())
+# The figures of ``sales_behavior``, in display order.
+BEHAVIOR_METRICS = [
+    "n_customers", "aov", "upt", "avg_trans_per_cust", "avg_spend_per_cust", "avg_price_point",
+]
+
+
+def totals_if(df: DataFrame, chain: Chain, conditions: Mapping[str, Column]) -> DataFrame:
+    """Amount, units and number of orders of the lines that meet each condition: ``name``, ``amt``,
+    ``qty``, ``orders``. One scan and one shuffle of one row per order, whatever the number."""
+    cases = list(conditions.items())
+    per_order = df.groupBy(chain.order).agg(
+        *[F.sum(F.when(c, F.col(chain.amount))).alias(f"amt_{i}") for i, (_, c) in enumerate(cases)],
+        *[F.sum(F.when(c, F.col(chain.qty))).alias(f"qty_{i}") for i, (_, c) in enumerate(cases)],
+        *[F.max(F.coalesce(c, F.lit(False))).alias(f"met_{i}") for i, (_, c) in enumerate(cases)],
+    )
+    known = F.col(chain.order).isNotNull()
+    one_row = per_order.agg(
+        *[F.sum(f"{kind}_{i}").alias(f"{kind}_{i}") for kind in ("amt", "qty") for i in range(len(cases))],
+        *[F.count(F.when(known & F.col(f"met_{i}"), 1)).alias(f"orders_{i}") for i in range(len(cases))],
+    )
+    entries = [
+        F.struct(F.lit(name).alias("name"), *[F.col(f"{k}_{i}").alias(k) for k in ("amt", "qty", "orders")])
+        for i, (name, _) in enumerate(cases)
+    ]
+    return one_row.select(F.inline(F.array(*entries)))
+
+
+def behavior_metrics(totals: DataFrame) -> DataFrame:
+    """The six sales figures of rows (``pair``, ``side``, ``amt``, ``qty``, ``orders``, ``n``), in long form."""
     amt, qty, orders, n = (F.col(c) for c in ("amt", "qty", "orders", "n"))
     return totals.select(
-        F.lit(pair).alias("pair"),
-        F.lit(chain.name).alias("side"),
+        "pair",
+        "side",
         n.cast("double").alias("n_customers"),
         ratio(amt, orders).alias("aov"),
         ratio(qty, orders).alias("upt"),
@@ -101,6 +126,15 @@ def _behavior(chain: Chain, label: str, n_customers: DataFrame, pair: str) -> Da
     ).unpivot(["pair", "side"], None, "metric", "value")
 
 
+def _behavior(chain: Chain, label: str, n_customers: DataFrame, pair: str) -> DataFrame:
+    totals = chain.overlapping(label).agg(
+        _amount(chain).alias("amt"), _units(chain).alias("qty"), _orders(chain).alias("orders")
+    ).withColumn("n", n_customers.scalar())
+    return behavior_metrics(
+        totals.withColumns({"pair": F.lit(pair), "side": F.lit(chain.name)})
+    )
+
+
 def sales_behavior(
     a: Chain, b: Chain, a_label: str, b_label: str, n_customers: DataFrame
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossbasket.functions.contact import usable
-from crossbasket.operators.skew import spread_join
+from crossbasket.operators.skew import pair_join, spread_join
 
 _CONTACT = ["_channel", "_value"]
 _LINK = ["_channel", "_value", "_value2"]
@@ -78,8 +78,9 @@ def match_customers(
 ) -> DataFrame:
     """All distinct matched pairs, as two equi-joins with disjoint results.
 
-    The mobile branch leaves out the pairs the e-mail branch has, so the pairs need no
-    de-duplication of their own.
+    A contact's pairs are dealt by their number, n_a times n_b, so one that is shared by very many
+    members on both sides fills all tasks. The mobile branch leaves out the pairs the e-mail
+    branch has, so the pairs need no de-duplication of their own.
     """
 
     def side(members: DataFrame, key: str, tag: str) -> DataFrame:
@@ -91,10 +92,12 @@ def match_customers(
     def branch(contact: str) -> DataFrame:
         keyed_left = left.withColumn("_value", F.col(f"_a_{contact}"))
         keyed_right = right.withColumn("_value", F.col(f"_b_{contact}"))
-        return spread_join(
+        return pair_join(
             keyed_left.filter(usable(F.col("_value"))),
             keyed_right.filter(usable(F.col("_value"))),
             ["_value"],
+            ["_a_key"],
+            ["_b_key"],
         )
 
     same_email = F.coalesce(
@@ -134,14 +137,14 @@ def smallest_partners(
     groups = tagged.groupBy(*_CONTACT).agg(
         *[F.min(F.when(F.col("_label") == label, F.col("_other"))).alias(label) for label in others]
     )
-    joined = spread_join(_contacts(members, key), groups, _CONTACT)
+    joined = spread_join(_contacts(members, key), groups, _CONTACT, by=[key])
     return joined.groupBy(key).agg(*[F.min(label).alias(label) for label in others])
 
 
 def overlap_keys(members: DataFrame, others: DataFrame, key: str) -> DataFrame:
     """Distinct keys of the members who match anybody among ``others``."""
     known = _contacts(others).distinct()
-    return spread_join(_contacts(members, key), known, _CONTACT, "left_semi").select(key).distinct()
+    return spread_join(_contacts(members, key), known, _CONTACT, "left_semi", by=[key]).select(key).distinct()
 
 
 def count_unique_customers(pairs: DataFrame, a_key: str, b_key: str) -> DataFrame:
@@ -174,7 +177,7 @@ def pairs_per_member(
     groups = _links(others, *_columns_but_contacts(others)).groupBy(*_LINK).agg(
         *[F.count(F.when(c, 1)).alias(name) for name, c in conditions.items()]
     )
-    joined = spread_join(_links(members, key), groups, _LINK)
+    joined = spread_join(_links(members, key), groups, _LINK, by=[key])
     return joined.groupBy(key).agg(
         *[F.sum(F.col("_sign") * F.col(name)).alias(name) for name in conditions]
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crossbasket.functions.dates import tenure_group, tenure_labels, tenure_years
 from crossbasket.operators.kpi import percent, ratio
 from crossbasket.operators.matching import pair_counts
+from crossbasket.operators.skew import spread_join
 
 
 def top_by(sales: DataFrame, dim: str, key: str, n: int | None = None) -> DataFrame:
@@ -47,14 +48,17 @@ def customers_by_order_content(
     key: str,
     n: int | None = None,
     own: Sequence[str] = (),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Customers of ``lines`` by what the raw lines of the same orders contain (``dims``) and,
     if asked, by columns of the lines themselves (``own``).
 
-    Only distinct customers and distinct contents per order meet, not its lines squared.
+    Only distinct customers and distinct contents per order meet, not its lines squared; raw
+    lines of other orders are left out before that.
     """
     buyers = lines.select(order, key, *own).distinct()
-    contents = raw.select(order, *dims).distinct()
+    wanted = buyers.select(order).distinct()
+    contents = spread_join(raw.select(order, *dims), wanted, [order], "left_semi", hot, dims).distinct()
     return customers_by(buyers.join(contents, [order], "left"), [*own, *dims], key, n)
 
 

@@ -90,11 +90,12 @@ def enrich_member(
     member_map: DataFrame,
     number: str,
     main: str,
-    like: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Adds the resolved member key ``main`` to every line (``like``: see ``spread_join``)."""
+    """Adds the resolved member key ``main`` to every line (``hot``, ``by``: see ``spread_join``)."""
     resolved = resolve_member(trim_all(member_map), number, main).withColumnRenamed(main, "_main")
-    joined = spread_join(sales, resolved, [number], "left", like)
+    joined = spread_join(sales, resolved, [number], "left", hot, by)
     return joined.withColumn(main, member_key(F.col("_main"), F.col(number))).drop("_main")
 
 
@@ -107,11 +108,12 @@ def enrich_sales_b(
     categories: DataFrame,
     mapping: DataFrame,
     sku_brand_match: bool = True,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Valid lines with brand, SKU, member key, shop, category and transaction key; distinct.
 
     ``skus`` holds the current versions (``latest_per_key``). With ``sku_brand_match`` a line
-    only meets its SKU if its brand code is known to ``brands``.
+    only meets its SKU if its brand code is known to ``brands``. ``hot``: see ``spread_join``.
     """
     lines = trim_all(valid_transactions(sales))
     brands = trim_all(brands).withColumnRenamed("brand_code", "prod_brand")
@@ -122,7 +124,7 @@ def enrich_sales_b(
     items = skus.drop("last_modified_date", "brand_code").withColumnRenamed("item_code", "_sku")
     items = items.join(categories, ["item_cat"], "left").join(mapping, ["maincat_desc"], "left")
     lines = lines.withColumn("_sku", sku_key).join(items, ["_sku"], "left").drop("_sku", "_known")
-    lines = enrich_member(lines, member_map, "vip_no", "vip_main_no", like=sales)
+    lines = enrich_member(lines, member_map, "vip_no", "vip_main_no", hot, ["invoice_no", "item_code"])
     lines = lines.join(trim_all(shops), ["shop_code"], "left")
     return (
         lines.withColumn("sales_main_key", transaction_key(F.col("shop_code"), F.col("invoice_no")))
@@ -172,7 +174,13 @@ def carveout_keys(
     )
 
 
-def exclude_carveout(sales: DataFrame, keys: DataFrame, key: str = "sales_main_key") -> DataFrame:
+def exclude_carveout(
+    sales: DataFrame,
+    keys: DataFrame,
+    key: str = "sales_main_key",
+    hot: DataFrame | None = None,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Lines whose key is not in ``keys``, with the three-valued logic of SQL ``NOT IN``.
 
     A NULL among the keys empties the result; a line without a key stays only if there are
@@ -182,15 +190,21 @@ def exclude_carveout(sales: DataFrame, keys: DataFrame, key: str = "sales_main_k
     n_null = F.count(F.when(F.col(key).isNull(), 1))
     verdict = F.when(n_null > 0, 0).when(F.count(F.lit(1)) > 0, 1).otherwise(2)
     known = keys.select(key).dropna().distinct()
-    outside = spread_join(sales, known, [key], "left_anti")
+    outside = spread_join(sales, known, [key], "left_anti", hot, by)
     # 0: none may stay, 1: those with a key may, 2: all may
     may_stay = keys.agg(verdict.alias("verdict")).scalar() + F.col(key).isNotNull().cast("int")
     return outside.filter(may_stay >= 2)
 
 
-def carveout_semi(sales: DataFrame, keys: DataFrame, key: str = "sales_main_key") -> DataFrame:
+def carveout_semi(
+    sales: DataFrame,
+    keys: DataFrame,
+    key: str = "sales_main_key",
+    hot: DataFrame | None = None,
+    by: Sequence[str] = (),
+) -> DataFrame:
     """Lines whose key is in ``keys``."""
-    return spread_join(sales, keys.select(key).dropna().distinct(), [key], "left_semi")
+    return spread_join(sales, keys.select(key).dropna().distinct(), [key], "left_semi", hot, by)
 
 
 def mark_carveout(
@@ -198,12 +212,13 @@ def mark_carveout(
     keys: DataFrame,
     key: str = "sales_main_key",
     label: str = "carved_out",
-    like: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Both sides of the carve-out from one join: 1 inside, 0 outside, NULL without a key."""
     marked = keys.select(key).dropna().distinct().withColumn("_in", F.lit(1))
     inside = F.when(F.col(key).isNotNull(), F.coalesce(F.col("_in"), F.lit(0)))
-    joined = spread_join(sales, marked, [key], "left", like)
+    joined = spread_join(sales, marked, [key], "left", hot, by)
     return joined.withColumn(label, inside).drop("_in")
 
 
@@ -213,6 +228,8 @@ def carveout_sales(
     mapping: DataFrame,
     key: str = "sales_main_key",
     item: str = "item_subcat_desc",
+    hot: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """The carve-out's lines under its own category mapping, one empty line per key unsold.
 
@@ -220,21 +237,30 @@ def carveout_sales(
     side without order (the lines) may hold very large groups.
     """
     wanted = keys.select(key).distinct()
-    lines = carveout_semi(sales, wanted, key).drop("arti_cate_name").join(mapping, [item], "left")
+    lines = carveout_semi(sales, wanted, key, hot, by).drop("arti_cate_name").join(mapping, [item], "left")
     unsold = wanted.join(sales.select(key).distinct(), [key], "left_anti")
     return lines.unionByName(unsold, allowMissingColumns=True)
 
 
 def order_line_rejoin(
-    lines: DataFrame, raw: DataFrame, key: str, col: str, copies: str = "copies"
+    lines: DataFrame,
+    raw: DataFrame,
+    key: str,
+    col: str,
+    copies: str = "copies",
+    hot: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Each line with every value of ``col`` found in the raw lines of its transaction.
 
     ``copies`` tells how many raw lines carry the value, i.e. how often the plain line-to-line
     join repeats the row; sums weighted by it equal the sums over that join, without writing
-    a transaction's lines squared. Without a raw line the value is NULL, in one copy.
+    a transaction's lines squared. Without a raw line the value is NULL, in one copy. Raw lines of
+    other transactions are left out before anything is counted.
     """
-    values = raw.groupBy(key, col).agg(F.count(F.lit(1)).alias(copies))
+    wanted = lines.select(key).distinct()
+    kept = spread_join(raw, wanted, [key], "left_semi", hot, by)
+    values = kept.groupBy(key, col).agg(F.count(F.lit(1)).alias(copies))
     joined = lines.drop(col).join(values, [key], "left")
     return joined.withColumn(copies, F.coalesce(F.col(copies), F.lit(1)))
 

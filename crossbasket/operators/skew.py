@@ -3,7 +3,11 @@
 Spark splits a skewed join input by itself, but only where both inputs are shuffled for the
 join alone. Where the other side is grouped by the join key - distinct keys, one row per
 member - its grouping is reused, and a hot key's rows all go to one task. ``spread_join`` is
-for those joins and for the ones most likely to be skewed.
+for those joins; ``pair_join`` is for joins whose result grows with the product of a key's rows.
+
+A key is hot if it holds more than one task's even share, of the rows or of the pairs. There are fewer
+such keys than shuffle partitions, whatever the size of the data, so a table of them is safe to
+broadcast. Where a join's left side is costly, that table is written once and handed in.
 """
 
 from __future__ import annotations
@@ -14,14 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A group up to this many rows is left to one task, whatever its share; the setting of this
-# name overrides the number.
-HOT_ROWS_SETTING = "spark.crossbasket.hotRows"
-HOT_ROWS = 100_000
-
-
-def _hot_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+# Cells per task that a hot key's pairs are cut into, so that their hashes fill all tasks.
+CELLS_PER_TASK = 8
 
 
 def _partitions(df: DataFrame) -> int:
@@ -32,19 +30,25 @@ def _any_null(on: Sequence[str]) -> Column:
     return reduce(Column.__or__, [F.col(name).isNull() for name in on])
 
 
+def _deal(by: Sequence[str], parts: Column) -> Column:
+    """A part for each row; without columns to tell rows apart, by the task that holds it."""
+    return F.pmod(F.xxhash64(*by) if by else F.spark_partition_id().cast("bigint"), parts)
+
+
+def _numbers(parts: Column) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.coalesce(parts, F.lit(1).cast("bigint")) - 1)
+
+
 def hot_groups(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The largest groups above the hot size, and into how many parts to cut each.
+    """The groups larger than a shuffle partition's even share, and into how many parts to cut each.
 
-    At most as many groups are listed as there are shuffle partitions, so the result is safe
-    to broadcast however large ``df`` is; and any further group is smaller than an average
-    partition, or it would be among the largest. Sizes are counted map-side first.
+    Fewer than there are shuffle partitions; sizes are counted on the map side first.
     """
-    parts, min_rows = _partitions(df), _hot_rows(df)
-    sizes = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = sizes.filter((F.col("_rows") > min_rows) & ~_any_null(on))
-    largest = largest.orderBy(F.desc("_rows"), *on).limit(parts)
-    wanted = F.least(F.ceil(F.col("_rows") / min_rows), F.lit(parts).cast("bigint"))
-    return largest.select(*on, wanted.alias("_salts"))
+    parts = _partitions(df)
+    sizes = df.filter(~_any_null(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    total = sizes.agg(F.sum("_rows").alias("n")).scalar()
+    share = F.col("_rows") * F.lit(parts) / total
+    return sizes.filter(share > 1).select(*on, F.ceil(share).cast("bigint").alias("_salts"))
 
 
 def spread_join(
@@ -52,34 +56,68 @@ def spread_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    like: DataFrame | None = None,
+    hot: DataFrame | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Equi-join on the columns ``on`` in which ``left`` may hold very large groups.
 
-    Rows of a hot group are dealt to as many parts as its size asks for; the rows of
-    ``right`` with that key are repeated once per part and no other rows are. Rows with a
-    NULL key never match and are dealt evenly. Neither side is hinted: Spark still
-    broadcasts ``right`` where its measured size allows.
+    Rows of a hot group are dealt to as many parts as its size asks for, by a hash of the few
+    columns ``by`` that tell its rows apart; the rows of ``right`` with that key are repeated once
+    per part and no other rows are. Rows with a NULL key never match and are dealt evenly. No
+    other column is read for this, and filters on the result reach both inputs. Neither side
+    is hinted: Spark still broadcasts ``right`` where its measured size allows.
 
-    ``how`` may be any type that does not keep unmatched right rows. Groups are counted on
-    ``left`` or on ``like``, a frame with much the same groups: where ``left`` comes out of a
-    chain of joins, the lines the chain starts from spare running it twice. The result does
-    not depend on what is counted.
+    ``hot`` is a table from ``hot_groups``, written before, of ``left`` or of a frame with much the
+    same groups; the result does not depend on it. Without one, groups are counted on ``left``,
+    which must then be repeatable. ``how`` may be any type that keeps no unmatched right rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join cannot do a {how} join")
     on = list(on)
-    hot = F.broadcast(hot_groups(left if like is None else like, on))
-
-    # identical rows share their hash, so the map partition is mixed in to part copies too
-    deal = F.xxhash64(*left.columns) + F.spark_partition_id()
-    salt = (
-        F.when(_any_null(on), F.pmod(deal, F.lit(_partitions(left))))
-        .when(F.col("_salts").isNotNull(), F.pmod(deal, F.col("_salts")))
-        .otherwise(0)
+    hot = F.broadcast(hot_groups(left, on) if hot is None else hot.select(*on, "_salts"))
+    salts = F.when(_any_null(on), F.lit(_partitions(left)).cast("bigint")).otherwise(F.coalesce("_salts", F.lit(1)))
+    dealt = left.join(hot, on, "left").select(*left.columns, _deal(by, salts).alias("_salt"))
+    repeated = right.join(hot, on, "left").select(
+        *right.columns, F.explode(_numbers(F.col("_salts"))).alias("_salt")
     )
-    dealt = left.join(hot, on, "left").select(*left.columns, salt.alias("_salt"))
-
-    parts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    repeated = right.join(hot, on, "left").select(*right.columns, F.explode(parts).alias("_salt"))
     return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+def hot_pairs(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The keys with more pairs than a task's even share, and the grid to cut each into.
+
+    The side with more rows is cut into more parts, ``_p`` of the left and ``_q`` of the right.
+    """
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.filter(~_any_null(on)).groupBy(*on).agg(F.count(F.lit(1)).cast("double").alias(name))
+
+    both = sizes(left, "_l").join(sizes(right, "_r"), list(on)).withColumn("_n", F.col("_l") * F.col("_r"))
+    total = both.agg(F.sum("_n").alias("n")).scalar()
+    parts = _partitions(left)
+    share = F.col("_n") * F.lit(parts) / total
+    cells = F.ceil(share * CELLS_PER_TASK)
+    p = F.least(F.col("_l"), F.greatest(F.lit(1.0), F.ceil(F.sqrt(cells * F.col("_l") / F.col("_r")))))
+    hot = both.filter(share > 1).withColumn("_p", p.cast("bigint")).withColumn("_cells", cells)
+    q = F.least(F.col("_r"), F.ceil(F.col("_cells") / F.col("_p")))
+    return hot.select(*on, "_p", F.greatest(F.lit(1.0), q).cast("bigint").alias("_q"))
+
+
+def pair_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], by_left: Sequence[str], by_right: Sequence[str]
+) -> DataFrame:
+    """Inner equi-join whose pairs are dealt evenly even if one key has most of them.
+
+    A hot key's left rows are cut into parts, its right rows too, and every part of one side meets
+    every part of the other once, each meeting in a cell of its own.
+    """
+    on = list(on)
+    hot = F.broadcast(hot_pairs(left, right, on))
+    one = F.lit(1).cast("bigint")
+    p, q = F.coalesce("_p", one), F.coalesce("_q", one)
+    rows = left.join(hot, on, "left").select(
+        *left.columns, _deal(by_left, p).alias("_i"), F.explode(_numbers(F.col("_q"))).alias("_j")
+    )
+    others = right.join(hot, on, "left").select(
+        *right.columns, _deal(by_right, q).alias("_j"), F.explode(_numbers(F.col("_p"))).alias("_i")
+    )
+    return rows.join(others, [*on, "_i", "_j"]).drop("_i", "_j")

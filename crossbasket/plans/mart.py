@@ -10,6 +10,8 @@ and a scan of a fiscal year's lines is far cheaper than a scan of all of them wi
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,14 +26,17 @@ from crossbasket.operators.matching import smallest_partners
 from crossbasket.operators.members import golden_record_a, golden_record_b
 from crossbasket.operators.sales import (
     carveout_keys,
+    enrich_member,
     enrich_sales_a,
     enrich_sales_b,
     exclude_brand,
     latest_per_key,
     mark_carveout,
     scope,
+    valid_transactions,
 )
-from crossbasket.session import scratch
+from crossbasket.operators.skew import hot_groups
+from crossbasket.session import shared_dir
 from crossbasket.sources.roles import (
     CARVEOUT_BRAND,
     DUMMY_ITEM,
@@ -42,6 +47,7 @@ from crossbasket.sources.roles import (
 from crossbasket.sources.tables import (
     mapping_with_codes,
     read_datamart,
+    read_list,
     read_metrics,
     write_datamart,
     write_metrics,
@@ -63,7 +69,8 @@ class Scope:
 
 UNIT_SLICE = "cos"
 PAIRS = (("a", "b"), ("a", "c"), ("b", "c"), (UNIT_SLICE, "b"), (UNIT_SLICE, "c"), ("exc", "b"))
-REPORT_PAIRS = PAIRS[:5]
+REPORT_PAIRS = (("a", "b"), ("a", "c"), ("b", "c"), (UNIT_SLICE, "b"), (UNIT_SLICE, "c"))
+LINE_A, LINE_B = ["order_no", "loc_code"], ["invoice_no", "item_code"]  # tell sales lines apart
 
 
 def scoped_sales_a(roles: Roles, what: Scope) -> DataFrame:
@@ -78,7 +85,7 @@ def current_skus(roles: Roles) -> DataFrame:
     return latest_per_key(roles.sku_versions(), "item_code", "last_modified_date")
 
 
-def enriched_sales_b(roles: Roles, sales: DataFrame) -> DataFrame:
+def enriched_sales_b(roles: Roles, sales: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     return enrich_sales_b(
         sales,
         roles.brands(),
@@ -87,6 +94,7 @@ def enriched_sales_b(roles: Roles, sales: DataFrame) -> DataFrame:
         roles.shops(),
         roles.categories(),
         roles.mapping_b(),
+        hot=hot,
     )
 
 
@@ -96,6 +104,20 @@ def _keyed(sales: DataFrame) -> DataFrame:
     )
 
 
+def valid_sales_b(roles: Roles) -> DataFrame:
+    """Valid raw lines of chain B, trimmed, with their transaction key."""
+    return _keyed(valid_transactions(roles.sales_b()))
+
+
+def history_b(roles: Roles, keys: DataFrame, hot: dict[str, DataFrame]) -> DataFrame:
+    """Who bought which brand when in chain B, over all dates, with the carve-out marked."""
+    lines = mark_carveout(valid_sales_b(roles), keys, hot=hot["hot_key"], by=LINE_B)
+    lines = enrich_member(lines, roles.member_map(), "vip_no", "vip_main_no", hot["hot_number"], LINE_B)
+    return lines.select(
+        "sales_main_key", "vip_main_no", "prod_brand", "region_key", "order_date", "carved_out"
+    ).distinct()
+
+
 def keys_of_c(roles: Roles) -> DataFrame:
     """Transaction keys of chain C, over all dates."""
     return carveout_keys(_keyed(roles.sales_b()), CARVEOUT_BRAND, HOME_REGION, ODD_DATE, DUMMY_ITEM)
@@ -106,16 +128,22 @@ def mapping_c(roles: Roles) -> DataFrame:
     return mapping.select("item_subcat_desc", F.col("arti_cate_name").alias("c_cate_name"))
 
 
-def scoped_sales_bc(roles: Roles, what: Scope) -> DataFrame:
+def scoped_sales_bc(
+    roles: Roles, what: Scope, keys: DataFrame, hot: Mapping[str, DataFrame | None]
+) -> DataFrame:
     """Lines of B and C in scope; ``carved_out`` tells them apart.
 
-    Chain C's lines have their category from their own mapping.
+    Chain C's lines have their category from their own mapping, which B's never meet: a line of C
+    is there once for each category its subcategory has, however often the mapping says so.
     """
     dated = scope(
         roles.sales_b(), "order_date", what.start, what.end, "region_key", what.regions_b
     )
-    lines = mark_carveout(enriched_sales_b(roles, dated), keys_of_c(roles), like=_keyed(dated))
-    lines = lines.join(mapping_c(roles), ["item_subcat_desc"], "left")
+    lines = enriched_sales_b(roles, dated, hot.get("hot_number"))
+    lines = mark_carveout(lines, keys, hot=hot.get("hot_key"), by=LINE_B)
+    mapping = mapping_c(roles).distinct().withColumnRenamed("item_subcat_desc", "_subcat")
+    lines = lines.withColumn("_subcat", F.when(F.col("carved_out") == 1, F.col("item_subcat_desc")))
+    lines = lines.join(mapping, ["_subcat"], "left").drop("_subcat")
     category = F.when(F.col("carved_out") == 1, F.col("c_cate_name"))
     return lines.withColumn(
         "arti_cate_name", category.otherwise(F.col("arti_cate_name"))
@@ -165,21 +193,26 @@ def _labelled_members(tables: dict[str, DataFrame], chain: str) -> DataFrame:
 class Mart:
     """A written datamart; the attributes are scans of its tables."""
 
-    TABLES = ("members_a", "members_b", "sales_a", "sales_cos", "sales_b", "sales_c")
+    TABLES = (
+        "members_a", "members_b", "sales_a", "sales_b", "sales_c", "keys_c", "history_b",
+        "hot_number", "hot_key", "hot_order", "hot_a", "hot_b",
+    )
 
-    def __init__(
-        self,
-        spark: SparkSession,
-        root: str,
-        source: str,
-        tables: dict[str, DataFrame] | None = None,
-    ):
+    def __init__(self, spark: SparkSession, root: str, source: str, what: Scope = Scope()):
         self.spark = spark
         self.root = root
         self.source = source
-        self.tables = tables or read_datamart(spark, root, self.TABLES)
+        self.tables = read_datamart(spark, root, self.TABLES)
+        self.tables["sales_cos"] = self.tables["sales_a"].filter(F.col("bu_desc") == what.unit)
         self.n_unique = read_metrics(spark, f"{root}/n_unique")
 
+    @property
+    def roles(self) -> Roles:
+        return Roles(self.spark, self.source)
+
+    def issue_list(self) -> DataFrame:
+        return read_list(self.spark, f"{self.root}/issue_list")
+
     def members(self, chain: str) -> DataFrame:
         """Active members of a chain, with the labels of its sales."""
         return _labelled_members(self.tables, chain)
@@ -199,12 +232,42 @@ class Mart:
 
 
 def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope()) -> Mart:
-    """Builds all tables under ``root``; runs Spark jobs."""
+    """Builds all tables under ``root``; runs Spark jobs.
+
+    What later plans need of the whole history - the carve-out's keys, the hot keys, who bought
+    which brand when - is written first, so that no figure scans the raw lines for it again.
+    """
+    lines_b = valid_sales_b(roles)
+    first = write_datamart(
+        {
+            "keys_c": keys_of_c(roles),
+            "hot_number": hot_groups(lines_b, ["vip_no"]),
+            "hot_key": hot_groups(lines_b, ["sales_main_key"]),
+            "hot_order": hot_groups(roles.sales_a(), ["order_no"]),
+        },
+        root,
+    )
+    listed = roles.issue_list(first["hot_number"])
+    listed = listed.withColumnsRenamed({"member_no": "Member No", "issue_location": "Issue Location "})
+    listed.write.mode("overwrite").csv(f"{root}/issue_list", header=True)
+    mapping = roles.mapping_b().withColumnRenamed("bu_desc", "bu_desc ")  # a stray blank
+    mapping.write.mode("overwrite").csv(f"{root}/mapping", header=True)
     scoped = write_datamart(
-        {"scope_a": scoped_sales_a(roles, what), "scope_bc": scoped_sales_bc(roles, what)},
+        {
+            "scope_a": scoped_sales_a(roles, what),
+            "scope_bc": scoped_sales_bc(roles, what, first["keys_c"], first),
+            "history_b": history_b(roles, first["keys_c"], first),
+        },
         root,
         {"scope_bc": ["carved_out"]},
     )
+    hot = write_datamart(
+        {
+            "hot_a": hot_groups(scoped["scope_a"], ["vip_no"]),
+            "hot_b": hot_groups(scoped["scope_bc"], ["vip_main_no"]),
+        },
+        root,
+    )
     sales = {
         "a": scoped["scope_a"],
         "cos": scoped["scope_a"].filter(F.col("bu_desc") == what.unit),
@@ -260,15 +323,20 @@ def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope
             Column.__or__, [F.col(f"in_{other}") == 1 for other in OTHERS[chain]]
         )
         # lines in scope are distinct already
-        return label_rows(sales[chain], key_of(chain), flags.filter(any_match), dedup_rows=False)
+        groups, by = (hot["hot_b"], LINE_B) if chain in ("b", "c") else (hot["hot_a"], LINE_A)
+        return label_rows(
+            sales[chain], key_of(chain), flags.filter(any_match), dedup_rows=False, hot=groups, by=by
+        )
 
-    marked_sales = write_datamart(
-        {f"sales_{chain}": marked(chain) for chain in OTHERS},
+    # the unit's sales have the labels of chain A's
+    written = ("a", "b", "c")
+    write_datamart(
+        {f"sales_{chain}": marked(chain) for chain in written},
         root,
         # the two labels most figures filter on become folders a scan can skip
-        {f"sales_{chain}": [f"in_{o}" for o in OTHERS[chain][:2]] for chain in OTHERS},
+        {f"sales_{chain}": [f"in_{o}" for o in OTHERS[chain][:2]] for chain in written},
     )
-    return Mart(spark, root, roles.folder, {**matched, **marked_sales})
+    return Mart(spark, root, roles.folder, what)
 
 
 def _source_version(spark: SparkSession, folder: str) -> str:
@@ -282,18 +350,26 @@ def _source_version(spark: SparkSession, folder: str) -> str:
     return f"{row['n']}:{row['mark']}"
 
 
-_BUILT: dict[tuple[str, str, str], Mart] = {}
+# Part of a datamart's name; raise it when its tables or their rules change.
+LAYOUT = 2
+_VERSIONS: dict[tuple[str, str], str] = {}
 
 
 def mart_for(spark: SparkSession, folder: str) -> Mart:
-    """The datamart over the tables in ``folder``, built at its first use in an application
-    and again when the tables change."""
-    key = (spark.sparkContext.applicationId, folder, _source_version(spark, folder))
-    if key in _BUILT:
-        try:
-            read_metrics(spark, f"{_BUILT[key].root}/n_unique")
-            return _BUILT[key]
-        except AnalysisException:  # the shared folder was cleared meanwhile
-            del _BUILT[key]
-    _BUILT[key] = build_mart(spark, Roles(spark, folder), scratch(spark))
-    return _BUILT[key]
+    """The datamart over the tables in ``folder``, loaded from the shared folder if an application
+    has built it there from the same files, and built otherwise.
+
+    Files are listed once per application. The root is named after them; a manifest, written
+    last, tells that it is complete.
+    """
+    application = (spark.sparkContext.applicationId, folder)
+    if application not in _VERSIONS:
+        _VERSIONS[application] = _source_version(spark, folder)
+    name = hashlib.sha256(f"{LAYOUT} {folder} {_VERSIONS[application]}".encode()).hexdigest()[:16]
+    root = f"{shared_dir(spark)}/crossbasket/mart-{name}"
+    try:
+        read_metrics(spark, f"{root}/manifest")
+    except AnalysisException:  # none yet, or cleared meanwhile
+        build_mart(spark, Roles(spark, folder), root)
+        write_metrics(spark.range(1).selectExpr("'complete' AS pair", "id AS n"), f"{root}/manifest")
+    return Mart(spark, root, folder)

@@ -72,9 +72,12 @@ map_b AS (
   SELECT * FROM (VALUES ('STANDARD', 'Skincare', 'WW'), ('SMALL', 'Makeup', 'MW'),
     ('LARGE', 'Fragrance', 'WW'), ('PROMO', 'Haircare', 'WW'))
     AS t(maincat_desc, arti_cate_name, bu_desc)),
-subcats AS (
+subcat AS (
   SELECT DISTINCT split_part(p_name, ' ', 2) AS item_subcat_desc,
     length(split_part(p_name, ' ', 2)) AS arti_cate_code FROM part),
+subcats AS (
+  SELECT * FROM subcat UNION ALL SELECT item_subcat_desc, 15 FROM subcat WHERE arti_cate_code = 5
+  UNION ALL SELECT * FROM subcat WHERE arti_cate_code = 4),
 map_c AS (
   SELECT item_subcat_desc, arti_cate_code,
     CASE WHEN arti_cate_code <> 6 THEN 'Group ' || CAST(arti_cate_code AS VARCHAR) END
@@ -101,7 +104,7 @@ members_a AS (
     CASE WHEN ck % 11 = 0 THEN '' WHEN ck % 13 = 0 THEN NULL
       WHEN ck % 19 = 0 THEN ' User' || CAST(ck AS VARCHAR) || '@x.com '
       ELSE 'User' || CAST(ck AS VARCHAR) || '@x.com' END AS email,
-    CASE WHEN ck % 7 = 0 THEN NULL ELSE
+    CASE WHEN ck % 7 = 0 THEN NULL WHEN ck % 50 = 8 THEN '852-00000000' ELSE
       CASE ck % 4 WHEN 0 THEN '+852' WHEN 1 THEN '852-' WHEN 2 THEN ' ' ELSE '+86' END
       || CAST(50000000 + ck - ck % 3 AS VARCHAR) END AS phone_no,
     CASE ck % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS sex,
@@ -120,7 +123,9 @@ members_b AS (
       WHEN ck % 4 = 1 THEN 'uSER' || CAST(ck AS VARCHAR) || '@X.com'
       WHEN ck % 4 = 2 THEN 'uSER' || CAST(ck - 1 AS VARCHAR) || '@X.com'
       ELSE 'other' || CAST(ck AS VARCHAR) || '@x.com' END AS vip_email,
-    CASE WHEN ck % 10 = 0 THEN '' WHEN ck % 2 = 0 THEN '852' || CAST(50000000 + ck AS VARCHAR)
+    CASE WHEN ck % 10 = 0 THEN '' WHEN ck % 12 = 9 THEN '85200000000'
+      WHEN ck % 8 = 1 THEN '852' || CAST(50000000 + ck - ck % 3 AS VARCHAR)
+      WHEN ck % 2 = 0 THEN '852' || CAST(50000000 + ck AS VARCHAR)
       ELSE '9' || CAST(50000000 + ck AS VARCHAR) END AS vip_tel_2,
     CASE ck % 2 WHEN 0 THEN 'F' ELSE 'M' END AS vip_sex,
     CAST(ck % 6 AS VARCHAR) AS vip_type,
@@ -683,7 +688,7 @@ WHERE sales_main_key IN (SELECT sales_main_key FROM c_keys) GROUP BY 1, 2""",
     "carveout_sales": """
 SELECT k.sales_main_key, s.item_code, s.item_subcat_desc, m.arti_cate_name,
   round(CAST(s.amt AS DOUBLE), 4) AS amt
-FROM (SELECT * FROM valid_b WHERE order_date BETWEEN DATE '1998-04-01' AND DATE '1999-03-31') s
+FROM (SELECT * FROM valid_b WHERE prod_brand IS NOT NULL) s
 LEFT JOIN map_c m ON s.item_subcat_desc = m.item_subcat_desc
 RIGHT JOIN c_keys k ON s.sales_main_key = k.sales_main_key""",
     "brand_info": f"SELECT prod_brand, {_BRAND_INFO} GROUP BY prod_brand",
@@ -899,6 +904,28 @@ SELECT (SELECT COUNT(DISTINCT member_no) FROM issue) AS n_listed,
     WHERE order_date BETWEEN DATE '1998-04-01' AND DATE '1999-03-31' AND {_JOINED_IN})
     AS n_sold_at_shops_in_window""",
     "cohort_retention": _COHORT,
+    "cohort_retention_pivot": _COHORT.replace(
+        "\nSELECT label_first, label_second, COUNT(*) AS n FROM (",
+        ", retained AS (SELECT label_first, label_second, COUNT(*) AS n FROM (",
+    )
+    + """)
+SELECT label_first, MAX(CASE WHEN label_second = 'both' THEN n END) AS "both",
+  MAX(CASE WHEN label_second = 'a_only' THEN n END) AS a_only,
+  MAX(CASE WHEN label_second = 'b_only' THEN n END) AS b_only,
+  MAX(CASE WHEN label_second = 'inactive' THEN n END) AS inactive
+FROM retained GROUP BY label_first""",
+    "pair_report_grid": "SELECT pair, side, "
+    + ", ".join(
+        f"MAX(CASE WHEN metric = '{m}' THEN value END) AS {m}"
+        for m in (
+            "n_customers", "aov", "upt", "avg_trans_per_cust", "avg_spend_per_cust", "avg_price_point",
+        )
+    )
+    + " FROM ("
+    + " UNION ALL ".join(_behavior(a, b) for a, b in _REPORT_PAIRS)
+    + ") GROUP BY pair, side",
+    "issue_list": "SELECT member_no, issue_location FROM issue",
+    "sales_view": f"SELECT bu_desc, in_b, {_LINES} FROM sales_a GROUP BY bu_desc, in_b",
 }
 
 

@@ -32,11 +32,10 @@ from crossbasket.operators import cohort, kpi, labels, matching, members, profil
 from crossbasket.operators.skew import spread_join
 from crossbasket.plans import mart as marts
 from crossbasket.plans import reports
-from crossbasket.plans.mart import PAIRS, Mart, Scope, key_of, mart_for
-from crossbasket.session import scratch, stage
+from crossbasket.plans.mart import LINE_A, LINE_B, PAIRS, Mart, Scope, key_of, mart_for
 from crossbasket.sources.roles import Roles
 from crossbasket.sources.schemas import MAINCAT_MAPPING
-from crossbasket.sources.tables import mapping_with_codes, read_mapping
+from crossbasket.sources.tables import mapping_with_codes, read_mapping, register_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,30 +93,19 @@ def _sides(**frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
-def _keyed_sales_b(roles: Roles) -> DataFrame:
-    """Valid raw lines of chain B, trimmed, with their transaction key."""
-    lines = trim_all(sales.valid_transactions(roles.sales_b()))
-    return lines.withColumn(
-        "sales_main_key", transaction_key(F.col("shop_code"), F.col("invoice_no"))
-    )
-
-
 # --- sources and sinks
 
 
-@_raw("mapping_lookup")
-def mapping_lookup(roles: Roles) -> DataFrame:
+@_on_mart("mapping_lookup")
+def mapping_lookup(mart: Mart) -> DataFrame:
     """A mapping file, with a stray blank in its header, looked up for every line."""
-    path = f"{scratch(roles.spark)}/mapping"
-    stray = roles.mapping_b().withColumnRenamed("bu_desc", "bu_desc ")
-    stray.write.mode("overwrite").csv(path, header=True)
-    mapping = read_mapping(roles.spark, path, MAINCAT_MAPPING)
+    mapping = read_mapping(mart.spark, f"{mart.root}/mapping", MAINCAT_MAPPING)
     mapping = mapping.select(
         F.col("maincat_desc").alias("category_desc"),
         "arti_cate_name",
         F.col("bu_desc").alias("mapped_unit"),
     )
-    mapped = roles.sales_a().join(mapping, ["category_desc"], "left")
+    mapped = mart.roles.sales_a().join(mapping, ["category_desc"], "left")
     mapped = mapped.withColumn("arti_cate_name", category_default(F.col("arti_cate_name")))
     return _lines(mapped, "arti_cate_name", "mapped_unit")
 
@@ -137,6 +125,24 @@ def datamart_roundtrip(mart: Mart) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+@_on_mart("issue_list")
+def issue_list(mart: Mart) -> DataFrame:
+    """A list of keys from a CSV file with blanks in its header."""
+    return mart.issue_list()
+
+
+@_on_mart("sales_view")
+def sales_view(mart: Mart) -> DataFrame:
+    """A figure in SQL over a registered view of the datamart."""
+    register_views({"crossbasket_sales_a": mart.tables["sales_a"]})
+    return mart.spark.sql(
+        """
+        SELECT bu_desc, in_b, count(*) AS n_lines, round(CAST(sum(amt) AS DOUBLE), 4) AS amt
+        FROM crossbasket_sales_a GROUP BY bu_desc, in_b
+        """
+    )
+
+
 # --- scalar functions
 
 
@@ -208,9 +214,16 @@ def defaulted_categories(roles: Roles) -> DataFrame:
 
 
 
-@_raw("member_key_resolve")
-def member_key_resolve(roles: Roles) -> DataFrame:
-    lines = sales.enrich_member(roles.sales_b(), roles.member_map(), "vip_no", "vip_main_no")
+@_on_mart("member_key_resolve")
+def member_key_resolve(mart: Mart) -> DataFrame:
+    lines = sales.enrich_member(
+        mart.roles.sales_b().select("vip_no", "invoice_no", "item_code", "amt"),
+        mart.roles.member_map(),
+        "vip_no",
+        "vip_main_no",
+        mart.tables["hot_number"],
+        LINE_B,
+    )
     return _lines(lines, "vip_no", "vip_main_no")
 
 
@@ -274,7 +287,7 @@ def sales_scope(roles: Roles) -> DataFrame:
     bounds = (what.start, what.end)
     of_a = sales.scope(located, "order_date", *bounds, "vat_region_name", what.regions_a)
     of_b = sales.scope(
-        _keyed_sales_b(roles), "order_date", *bounds, "region_key", what.regions_b
+        marts.valid_sales_b(roles), "order_date", *bounds, "region_key", what.regions_b
     )
     both = _sides(
         a=of_a.select(F.col("vat_region_name").alias("region"), "order_date", "amt"),
@@ -313,9 +326,9 @@ def active_members(roles: Roles) -> DataFrame:
     return members.active_members(golden, marts.scoped_sales_a(roles, Scope()), "vip_no")
 
 
-@_raw("enrich_sales")
-def enrich_sales(roles: Roles) -> DataFrame:
-    lines = marts.enriched_sales_b(roles, roles.sales_b())
+@_on_mart("enrich_sales")
+def enrich_sales(mart: Mart) -> DataFrame:
+    lines = marts.enriched_sales_b(mart.roles, mart.roles.sales_b(), mart.tables["hot_number"])
     return lines.groupBy("brand_desc", "maincat_desc", "arti_cate_name", "bu_desc").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.countDistinct("vip_main_no").alias("n_members"),
@@ -338,26 +351,30 @@ def carveout_keys(roles: Roles) -> DataFrame:
     return marts.keys_of_c(roles)
 
 
-@_raw("exclude_carveout")
-def exclude_carveout(roles: Roles) -> DataFrame:
-    kept = sales.exclude_carveout(_keyed_sales_b(roles), marts.keys_of_c(roles))
+def _carveout(mart: Mart) -> dict:
+    """The written keys of the carve-out and how to deal the lines of a hot one."""
+    return {"keys": mart.tables["keys_c"], "hot": mart.tables["hot_key"], "by": LINE_B}
+
+
+@_on_mart("exclude_carveout")
+def exclude_carveout(mart: Mart) -> DataFrame:
+    kept = sales.exclude_carveout(marts.valid_sales_b(mart.roles), **_carveout(mart))
     return _lines(kept, "shop_code", "region_key")
 
 
-@_raw("carveout_semi")
-def carveout_semi(roles: Roles) -> DataFrame:
-    kept = sales.carveout_semi(_keyed_sales_b(roles), marts.keys_of_c(roles))
+@_on_mart("carveout_semi")
+def carveout_semi(mart: Mart) -> DataFrame:
+    kept = sales.carveout_semi(marts.valid_sales_b(mart.roles), **_carveout(mart))
     return _lines(kept, "shop_code", "region_key")
 
 
-@_raw("carveout_sales")
-def carveout_sales(roles: Roles) -> DataFrame:
-    """Chain C's lines of a year, and its transactions of other years without lines."""
-    what = Scope()
-    lines = sales.scope(_keyed_sales_b(roles), "order_date", what.start, what.end)
+@_on_mart("carveout_sales")
+def carveout_sales(mart: Mart) -> DataFrame:
+    """Chain C's lines with a brand, over all dates, and its transactions that have none."""
+    lines = marts.valid_sales_b(mart.roles).filter(F.col("prod_brand").isNotNull())
     lines = lines.withColumn("arti_cate_name", F.lit("b's own"))
-    mapping = marts.mapping_c(roles).withColumnRenamed("c_cate_name", "arti_cate_name")
-    rows = sales.carveout_sales(lines, marts.keys_of_c(roles), mapping)
+    mapping = marts.mapping_c(mart.roles).withColumnRenamed("c_cate_name", "arti_cate_name")
+    rows = sales.carveout_sales(lines, mapping=mapping, **_carveout(mart))
     return rows.select(
         "sales_main_key",
         "item_code",
@@ -367,21 +384,22 @@ def carveout_sales(roles: Roles) -> DataFrame:
     )
 
 
-@_raw("brand_info")
-def brand_info(roles: Roles) -> DataFrame:
-    return _brand_info(roles, by_year=False)
+@_on_mart("brand_info")
+def brand_info(mart: Mart) -> DataFrame:
+    return _brand_info(mart, by_year=False)
 
 
-@_raw("brand_info_by_year")
-def brand_info_by_year(roles: Roles) -> DataFrame:
-    return _brand_info(roles, by_year=True)
+@_on_mart("brand_info_by_year")
+def brand_info_by_year(mart: Mart) -> DataFrame:
+    return _brand_info(mart, by_year=True)
 
 
-def _brand_info(roles: Roles, by_year: bool) -> DataFrame:
-    lines = _keyed_sales_b(roles)
+def _brand_info(mart: Mart, by_year: bool) -> DataFrame:
+    lines = mart.tables["history_b"]
     lines = lines.filter((F.col("region_key") == "HK") & F.col("prod_brand").isin(BRAND, "Brand#3"))
-    kept = sales.exclude_carveout(lines, marts.keys_of_c(roles))
-    kept = sales.enrich_member(kept, roles.member_map(), "vip_no", "vip_main_no", like=lines)
+    kept = sales.exclude_carveout(
+        lines, mart.tables["keys_c"], hot=mart.tables["hot_key"], by=["vip_main_no", "prod_brand"]
+    )
     return profile.brand_info(
         kept, "prod_brand", "vip_main_no", "sales_main_key", "order_date", by_year
     )
@@ -419,7 +437,8 @@ def label_overlap(mart: Mart) -> DataFrame:
         "in_b": matching.overlap_keys(a, b, "vip_no"),
         "in_c": matching.overlap_keys(a, c, "vip_no"),
     }
-    return labels.label_overlap(lines, "vip_no", overlaps).select(
+    marked = labels.label_overlap(lines, "vip_no", overlaps, hot=mart.tables["hot_a"], by=LINE_A)
+    return marked.select(
         "vip_no", "order_no", "loc_code", "prod_desc", _double(F.col("amt")).alias("amt"),
         "in_b", "in_c",
     )
@@ -442,11 +461,12 @@ def brand_pairs(mart: Mart) -> DataFrame:
     )
 
 
-def _fanned_out_a(mart: Mart) -> DataFrame:
+def _fanned_out_a(mart: Mart, lines: DataFrame | None = None, how: str = "left") -> DataFrame:
     """A's lines marked by, and weighted with, their matches among B's brand buyers."""
     pairs = matching.pairs_per_member(mart.members("a"), _brand_buyers_b(mart), "vip_no")
+    lines = mart.tables["sales_a"] if lines is None else lines
     return labels.label_fanout(
-        mart.tables["sales_a"].drop("in_b", "in_c"), "vip_no", pairs, "in_b"
+        lines.drop("in_b", "in_c"), "vip_no", pairs, "in_b", "copies", how, mart.tables["hot_a"], LINE_A
     )
 
 
@@ -535,6 +555,9 @@ def sales_behavior(mart: Mart) -> DataFrame:
 
 
 _on_mart("pair_report")(reports.pair_report)
+_on_mart("pair_report_grid")(
+    lambda mart: reports.as_grid(reports.pair_report(mart), kpi.BEHAVIOR_METRICS)
+)
 _on_mart("pair_demo_report")(lambda mart: reports.demo_report(mart, AS_OF))
 _on_mart("pair_wallet_report")(reports.wallet_report)
 _on_mart("pair_price_report")(reports.price_report)
@@ -596,12 +619,12 @@ def top_subclass(mart: Mart) -> DataFrame:
     """What else overlapping customers bought in orders with a line of the unit."""
     lines = mart.chain("a").overlapping("in_b").filter(F.col("bu_desc") == "COS")
     lines = lines.filter(~F.lower("class_desc").like("%promo%"))
-    raw = Roles(mart.spark, mart.source).sales_a().select(
+    raw = mart.roles.sales_a().select(
         "order_no",
         labelled(F.col("class_desc"), F.col("subclass_desc")).alias("class_subclass"),
     )
     return profile.customers_by_order_content(
-        lines, raw, "order_no", ["class_subclass"], "vip_no", 10
+        lines, raw, "order_no", ["class_subclass"], "vip_no", 10, hot=mart.tables["hot_order"]
     )
 
 
@@ -689,8 +712,11 @@ def segment_pricepoint(mart: Mart) -> DataFrame:
     lines = _brand_lines_a(mart)
     of_a = members.active_members(mart.members("a"), lines, "vip_no")
     pairs = matching.pairs_per_member(of_a, of_b, "vip_no")
-    both = labels.label_fanout(lines.drop("in_b", "in_c"), "vip_no", pairs, "both")
-    units = sales.segment(_fanned_out_a(mart).filter("in_b = 1"), "bu_desc", FASHION_UNITS)
+    both = labels.label_fanout(
+        lines.drop("in_b", "in_c"), "vip_no", pairs, "both", "copies", "inner", mart.tables["hot_a"], LINE_A
+    )
+    units = sales.segment(mart.tables["sales_a"], "bu_desc", FASHION_UNITS)
+    units = _fanned_out_a(mart, units, "inner")
 
     def weighted(df: DataFrame) -> DataFrame:
         copies = F.col("copies")
@@ -702,7 +728,7 @@ def segment_pricepoint(mart: Mart) -> DataFrame:
 
     segments = {
         "a_only": _only_a_lines(mart),
-        "both": weighted(both.filter("both = 1")),
+        "both": weighted(both),
         "fashion": weighted(units),
     }
     tables = {name: kpi.pricepoint_by_cat(df) for name, df in segments.items()}
@@ -716,7 +742,7 @@ def _only_a_lines(mart: Mart) -> DataFrame:
     lines = _brand_lines_a(mart)
     matched = matching.overlap_keys(mart.members("a"), _brand_buyers_b(mart), "vip_no")
     only = labels.segment_keys(lines, matched, "vip_no", inside=False)
-    return spread_join(lines, only, ["vip_no"], "left_semi")
+    return spread_join(lines, only, ["vip_no"], "left_semi", mart.tables["hot_a"], LINE_A)
 
 
 @_on_mart("segment_spend_share")
@@ -726,9 +752,16 @@ def segment_spend_share(mart: Mart) -> DataFrame:
 
 @_on_mart("segment_subclass")
 def segment_subclass(mart: Mart) -> DataFrame:
-    raw = Roles(mart.spark, mart.source).sales_a().select("order_no", "subclass_desc")
+    raw = mart.roles.sales_a().select("order_no", "subclass_desc")
     return profile.customers_by_order_content(
-        _only_a_lines(mart), raw, "order_no", ["subclass_desc"], "vip_no", 13, ["class_desc"]
+        _only_a_lines(mart),
+        raw,
+        "order_no",
+        ["subclass_desc"],
+        "vip_no",
+        13,
+        ["class_desc"],
+        mart.tables["hot_order"],
     )
 
 
@@ -752,14 +785,14 @@ def brand_list(mart: Mart) -> DataFrame:
 @_on_mart("store_lookup")
 def store_lookup(mart: Mart) -> DataFrame:
     flagged = mart.chain("a").overlapping("in_c")
-    return stores.store_lookup(flagged, Roles(mart.spark, mart.source).stores(), "loc_code")
+    return stores.store_lookup(flagged, mart.roles.stores(), "loc_code")
 
 
 @_on_mart("customers_by_store")
 def customers_by_store(mart: Mart) -> DataFrame:
     flagged = mart.chain("a").overlapping("in_b").drop("store_name")
     named = stores.with_store(
-        flagged, Roles(mart.spark, mart.source).stores(), "loc_code", "store_name"
+        flagged, mart.roles.stores(), "loc_code", "store_name"
     )
     return profile.customers_by(named, ["loc_code", "store_name"], "vip_no")
 
@@ -783,9 +816,14 @@ def store_intersect(mart: Mart) -> DataFrame:
 @_on_mart("order_line_rejoin")
 def order_line_rejoin(mart: Mart) -> DataFrame:
     """Price points of chain C by the subcategories found in the raw transaction."""
-    raw = _keyed_sales_b(Roles(mart.spark, mart.source))
+    raw = marts.valid_sales_b(mart.roles)
     lines = sales.order_line_rejoin(
-        mart.tables["sales_c"], raw, "sales_main_key", "item_subcat_desc"
+        mart.tables["sales_c"],
+        raw,
+        "sales_main_key",
+        "item_subcat_desc",
+        hot=mart.tables["hot_key"],
+        by=["item_code"],
     )
     copies = F.col("copies")
     weighted = lines.select(
@@ -798,9 +836,8 @@ def order_line_rejoin(mart: Mart) -> DataFrame:
 
 @_on_mart("issue_counts")
 def issue_counts(mart: Mart) -> DataFrame:
-    issue = Roles(mart.spark, mart.source).issue_list()
     return stores.issue_counts(
-        issue,
+        mart.issue_list(),
         mart.tables["sales_c"],
         "member_no",
         "issue_location",
@@ -814,49 +851,33 @@ def issue_counts(mart: Mart) -> DataFrame:
 @_on_mart("issue_intersect")
 def issue_intersect(mart: Mart) -> DataFrame:
     """Members who joined in one of the shops and shop both there and elsewhere."""
-    issue = Roles(mart.spark, mart.source).issue_list()
-    joined = issue.filter(F.col("issue_location").isin(*SHOPS_C)).select(
+    joined = mart.issue_list().filter(F.col("issue_location").isin(*SHOPS_C)).select(
         F.col("member_no").alias("vip_main_no")
     )
-    lines = spread_join(mart.tables["sales_b"], joined.distinct(), ["vip_main_no"], "left_semi")
+    lines = mart.tables["sales_b"].select("vip_main_no", "shop_code", *LINE_B)
+    lines = spread_join(
+        lines, joined.distinct(), ["vip_main_no"], "left_semi", mart.tables["hot_b"], LINE_B
+    )
     inside = F.col("shop_code").isin(*SHOPS_B)
     return stores.shared_customers(lines.filter(inside), lines.filter(~inside), "vip_main_no")
 
 
 @_on_mart("issue_right_join")
 def issue_right_join(mart: Mart) -> DataFrame:
-    roles = Roles(mart.spark, mart.source)
-    lines = _keyed_sales_b(roles)
-    history = sales.enrich_member(
-        sales.carveout_semi(lines, marts.keys_of_c(roles)),
-        roles.member_map(),
-        "vip_no",
-        "vip_main_no",
-        like=lines,
-    )
+    history = mart.tables["history_b"].filter(F.col("carved_out") == 1)
     window = F.col("order_date").between(*[F.lit(d).cast("date") for d in SECOND_YEAR])
     return stores.issue_right_join(
-        roles.issue_list(), history, "member_no", "issue_location", "vip_main_no", SHOPS_C, window
+        mart.issue_list(), history, "member_no", "issue_location", "vip_main_no", SHOPS_C, window
     )
 
 
 @_on_mart("cohort_retention")
 def cohort_retention(mart: Mart) -> DataFrame:
-    """Buyers of some brands in B and C over two years.
-
-    Who bought when is needed once per chain and year, so it is written first.
-    """
-    roles = Roles(mart.spark, mart.source)
-    lines = sales.scope(
-        _keyed_sales_b(roles), "order_date", FIRST_YEAR[0], SECOND_YEAR[1], "region_key", ["HK"]
+    """Buyers of some brands in B and C over two years."""
+    bought = sales.scope(
+        mart.tables["history_b"], "order_date", FIRST_YEAR[0], SECOND_YEAR[1], "region_key", ["HK"]
     ).filter(F.upper("prod_brand").isin(*COHORT_BRANDS))
-    marked = sales.mark_carveout(lines, marts.keys_of_c(roles))
-    lines = sales.enrich_member(
-        marked, roles.member_map(), "vip_no", "vip_main_no", like=lines
-    )
-    second = F.col("order_date") >= F.lit(SECOND_YEAR[0]).cast("date")
-    bought = lines.select("vip_main_no", "carved_out", second.alias("second")).distinct()
-    bought = stage(bought, f"{scratch(mart.spark)}/brand_buyers")
+    bought = bought.withColumn("second", F.col("order_date") >= F.lit(SECOND_YEAR[0]).cast("date"))
 
     def buyers(carved_out: int, year: bool) -> DataFrame:
         rows = bought.filter((F.col("carved_out") == carved_out) & (F.col("second") == year))
@@ -872,3 +893,8 @@ def cohort_retention(mart: Mart) -> DataFrame:
         buyers(0, True),
         buyers(1, True),
     )
+
+
+@_on_mart("cohort_retention_pivot")
+def cohort_retention_pivot(mart: Mart) -> DataFrame:
+    return cohort.pivot_retention(cohort_retention(mart))

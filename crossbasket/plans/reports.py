@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossbasket.operators import kpi
 from crossbasket.operators.kpi import Chain
-from crossbasket.plans.mart import REPORT_PAIRS, Mart
+from crossbasket.plans.mart import REPORT_PAIRS, UNIT_SLICE, Mart, Scope
 
 
 def over_pairs(mart: Mart, table: Callable[[Chain, Chain, str, str], DataFrame]) -> DataFrame:
@@ -24,14 +24,30 @@ def over_pairs(mart: Mart, table: Callable[[Chain, Chain, str, str], DataFrame])
     return reduce(DataFrame.unionByName, tables)
 
 
-def pair_report(mart: Mart) -> DataFrame:
-    """Sales figures: pair, side, metric, value."""
+def pair_totals(mart: Mart) -> DataFrame:
+    """Amount, units and orders of the overlapping customers: pair, side, amt, qty, orders.
 
-    def table(a: Chain, b: Chain, a_label: str, b_label: str) -> DataFrame:
-        unique = mart.unique(a.name, b.name)
-        return kpi.sales_behavior(a, b, a_label, b_label, unique).drop("pair")
+    The labels of all pairs are counted in one pass over each sales table; the unit's sales
+    are lines of chain A.
+    """
+    unit = Scope().unit
+    cases: dict[str, dict[str, Column]] = {"a": {}, "b": {}, "c": {}}
+    for a, b in REPORT_PAIRS:
+        for side, other in ((a, b), (b, a)):
+            condition = F.col(f"in_{other}") == 1
+            if side == UNIT_SLICE:
+                condition = condition & (F.col("bu_desc") == unit)
+            cases["a" if side == UNIT_SLICE else side][f"{a}_{b}/{side}"] = condition
+    tables = [kpi.totals_if(mart.tables[f"sales_{t}"], mart.chain(t), cases[t]) for t in cases]
+    named = F.split("name", "/")
+    return reduce(DataFrame.unionByName, tables).select(
+        named[0].alias("pair"), named[1].alias("side"), "amt", "qty", "orders"
+    )
 
-    return over_pairs(mart, table)
+
+def pair_report(mart: Mart) -> DataFrame:
+    """Sales figures: pair, side, metric, value."""
+    return kpi.behavior_metrics(pair_totals(mart).join(mart.n_unique, ["pair"], "left"))
 
 
 def demo_report(mart: Mart, as_of: str) -> DataFrame:
@@ -41,7 +57,14 @@ def demo_report(mart: Mart, as_of: str) -> DataFrame:
 
 def wallet_report(mart: Mart) -> DataFrame:
     """Shares of wallet: pair, side, sales, share_pct."""
-    return over_pairs(mart, kpi.share_of_wallet)
+    totals = pair_totals(mart)
+    both = totals.groupBy("pair").agg(F.when(F.count("amt") == 2, F.sum("amt")).alias("both"))
+    return totals.join(both, ["pair"]).select(
+        "pair",
+        "side",
+        F.round(F.col("amt").cast("double"), 4).alias("sales"),
+        kpi.percent(F.col("amt"), F.col("both")).alias("share_pct"),
+    )
 
 
 def price_report(mart: Mart) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +31,13 @@ def build_session(app: str = "crossbasket", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting; it then gets a scratch folder of its own.
+    Where that is unset it is a folder of the warehouse, which driver and executors share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="crossbasket-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/crossbasket-stages"
     return folder.rstrip("/")
 
 
@@ -55,7 +51,9 @@ def stage(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataF
     """Write ``df`` as Parquet and return a scan of what was written.
 
     Unlike a cached frame this survives lost executors, and unlike a checkpointed one
-    later plans still prune its columns and partitions.
+    later plans still prune its columns and partitions. Rows for the same folder are gathered
+    into files of even size first, so that not every task writes one for every folder.
     """
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -3,7 +3,8 @@
 The driver's tables hold no member files or contacts, so the two chains' inputs are derived
 from them, deterministically and over all rows: lines of status F are chain A's sales, those
 of status O chain B's, and shops of two nations carry B's carve-out. Member numbers, e-mails and phones grow with the customers
-(no wrap-around), with a few rows per member and a few members per contact.
+(no wrap-around), with a few rows per member and a few members per contact; one placeholder phone
+is shared by a fixed part of the members of both chains.
 """
 
 from __future__ import annotations
@@ -179,11 +180,14 @@ class Roles:
         ).where("arti_cate_name IS NOT NULL").distinct()
 
     def subcat_codes(self) -> DataFrame:
-        """Subcategory to category code, one code per length of the word."""
-        return self._table("part").selectExpr(
+        """Subcategory to category code by the length of the word: one code for most, a second
+        one for words of five letters, the same row twice for words of four."""
+        codes = self._table("part").selectExpr(
             "split_part(p_name, ' ', 2) AS item_subcat_desc",
             "length(split_part(p_name, ' ', 2)) AS arti_cate_code",
         ).distinct()
+        second = codes.where("arti_cate_code = 5").withColumn("arti_cate_code", F.lit(15))
+        return codes.unionByName(second).unionByName(codes.where("arti_cate_code = 4"))
 
     def category_codes(self) -> DataFrame:
         """Category codes with names; code 6 is missing."""
@@ -206,7 +210,7 @@ class Roles:
             """CASE WHEN ck % 11 = 0 THEN '' WHEN ck % 13 = 0 THEN NULL
                WHEN ck % 19 = 0 THEN ' User' || CAST(ck AS STRING) || '@x.com '
                ELSE 'User' || CAST(ck AS STRING) || '@x.com' END AS email""",
-            """CASE WHEN ck % 7 = 0 THEN NULL ELSE
+            """CASE WHEN ck % 7 = 0 THEN NULL WHEN ck % 50 = 8 THEN '852-00000000' ELSE
                CASE ck % 4 WHEN 0 THEN '+852' WHEN 1 THEN '852-' WHEN 2 THEN ' ' ELSE '+86' END
                || CAST(50000000 + ck - ck % 3 AS STRING) END AS phone_no""",
             "CASE ck % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' END AS sex",
@@ -228,7 +232,8 @@ class Roles:
                WHEN ck % 4 = 1 THEN 'uSER' || CAST(ck AS STRING) || '@X.com'
                WHEN ck % 4 = 2 THEN 'uSER' || CAST(ck - 1 AS STRING) || '@X.com'
                ELSE 'other' || CAST(ck AS STRING) || '@x.com' END AS vip_email""",
-            """CASE WHEN ck % 10 = 0 THEN ''
+            """CASE WHEN ck % 10 = 0 THEN '' WHEN ck % 12 = 9 THEN '85200000000'
+               WHEN ck % 8 = 1 THEN '852' || CAST(50000000 + ck - ck % 3 AS STRING)
                WHEN ck % 2 = 0 THEN '852' || CAST(50000000 + ck AS STRING)
                ELSE '9' || CAST(50000000 + ck AS STRING) END AS vip_tel_2""",
             "CASE ck % 2 WHEN 0 THEN 'F' ELSE 'M' END AS vip_sex",
@@ -266,10 +271,12 @@ class Roles:
             """
         )
 
-    def issue_list(self) -> DataFrame:
+    def issue_list(self, hot: DataFrame | None = None) -> DataFrame:
         """Every carve-out customer with the place of joining: the smallest shop code they
         bought at."""
         sales = self.sales_b().filter(F.col("shop_brand") == CARVEOUT_BRAND)
-        lines = enrich_member(trim_all(sales), self.member_map(), "vip_no", "vip_main_no")
+        lines = enrich_member(
+            trim_all(sales), self.member_map(), "vip_no", "vip_main_no", hot, ["invoice_no"]
+        )
         first = lines.groupBy("vip_main_no").agg(F.min("shop_code").alias("issue_location"))
         return first.withColumnRenamed("vip_main_no", "member_no")

@@ -37,6 +37,11 @@ def snake_case(df: DataFrame) -> DataFrame:
     return df.toDF(*["_".join(name.split()).lower() for name in df.columns])
 
 
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV list of keys, all text, under the names of its header made plain."""
+    return snake_case(spark.read.csv(path, header=True))
+
+
 def mapping_with_codes(mapping: DataFrame, codes: DataFrame, on: str) -> DataFrame:
     """A mapping by code with the names of its codes; unknown codes keep a NULL name."""
     return mapping.join(codes, [on], "left")

@@ -1,14 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from crossbasket.operators.skew import HOT_ROWS_SETTING, hot_groups, spread_join
-
-
-@pytest.fixture
-def hot_rows(spark):
-    """Sets the size from which a group is hot, for one test."""
-    yield lambda n: spark.conf.set(HOT_ROWS_SETTING, str(n))
-    spark.conf.unset(HOT_ROWS_SETTING)
+from crossbasket.operators import matching
+from crossbasket.operators.skew import hot_groups, hot_pairs, pair_join, spread_join
 
 
 @pytest.fixture
@@ -28,47 +22,82 @@ def looked_up(spark):
     return spark.createDataFrame(names, "k string, w int")
 
 
-def test_hot_groups_are_the_largest_and_bounded(skewed, hot_rows):
-    assert hot_groups(skewed, ["k"]).count() == 0
-    hot_rows(400)
+def test_hot_groups_are_those_above_an_even_share_and_bounded(spark, skewed):
+    """4 partitions of 2,500 rows with a key: a share is 625, which only one group exceeds."""
     hot = hot_groups(skewed, ["k"]).collect()
-    assert [(r["k"], r["_salts"]) for r in hot] == [("hot", 3)]
-    hot_rows(100)
-    assert hot_groups(skewed, ["k"]).first()["_salts"] == 4
-    hot_rows(1)
-    every = hot_groups(skewed, ["k"]).collect()
-    assert len(every) == 4 and every[0]["k"] == "hot"
+    assert [(r["k"], r["_salts"]) for r in hot] == [("hot", 2)]
+    many = spark.range(1000).selectExpr("CAST(id % 3 AS STRING) AS k")
+    assert hot_groups(many, ["k"]).count() <= 4
     assert hot_groups(skewed.limit(0), ["k"]).count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("size", [1, 50, 10**6])
-def test_spread_join_equals_plain_join(skewed, looked_up, rows, hot_rows, how, size):
-    hot_rows(size)
-    got = spread_join(skewed, looked_up, ["k"], how)
+@pytest.mark.parametrize("by", [(), ("v",)])
+def test_spread_join_equals_plain_join(skewed, looked_up, rows, how, by):
     expected = skewed.join(looked_up, ["k"], how)
-    assert got.columns == expected.columns
-    assert rows(got) == rows(expected)
+    for hot in (None, hot_groups(skewed, ["k"])):
+        got = spread_join(skewed, looked_up, ["k"], how, hot, by)
+        assert got.columns == expected.columns
+        assert rows(got) == rows(expected)
 
 
-def test_spread_join_counted_on_another_frame(skewed, looked_up, rows, hot_rows):
+def test_spread_join_with_the_groups_of_another_frame(spark, skewed, looked_up, rows):
     """Whatever the groups are taken from, the result is the same."""
-    hot_rows(1)
     expected = rows(skewed.join(looked_up, ["k"], "left"))
-    for like in (looked_up, skewed.limit(5), skewed.limit(0)):
-        assert rows(spread_join(skewed, looked_up, ["k"], "left", like)) == expected
+    odd = spark.createDataFrame([("2", 3), ("absent", 2), ("hot", 7)], "k string, _salts long")
+    for hot in (hot_groups(looked_up, ["k"]), hot_groups(skewed.limit(0), ["k"]), odd):
+        assert rows(spread_join(skewed, looked_up, ["k"], "left", hot, ["v"])) == expected
 
 
-def test_spread_join_on_two_columns(skewed, rows, hot_rows):
-    hot_rows(1)
+def test_spread_join_on_two_columns(skewed, rows):
     other = skewed.distinct().withColumn("w", F.lit(1))
     got = spread_join(skewed, other, ["k", "v"], "left")
     assert rows(got) == rows(skewed.join(other, ["k", "v"], "left"))
 
 
-def test_spread_join_deals_copies_and_null_keys_over_tasks(spark, hot_rows):
+def test_spread_join_reads_and_filters_no_more_than_a_plain_one(spark, tmp_path):
+    spark.range(100).selectExpr("id % 5 AS k", "id AS v", "id * 2 AS unused", "id % 3 AS f").write.parquet(f"{tmp_path}/l")
+    spark.range(5).selectExpr("id AS k", "id AS w").write.parquet(f"{tmp_path}/r")
+    left, right = (spark.read.parquet(f"{tmp_path}/{x}") for x in "lr")
+    hot = spark.createDataFrame([(1, 2)], "k long, _salts long")
+    joined = spread_join(left, right.distinct(), ["k"], "left", hot, ["v"]).filter("f = 1").select("v", "w")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "unused" not in plan
+    assert "EqualTo(f,1)" in plan
+
+
+def test_pair_join_equals_plain_join(spark, rows):
+    left = spark.range(300).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE CAST(id % 20 AS STRING) END AS k", "id AS a")
+    right = spark.range(200).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' ELSE CAST(id % 30 AS STRING) END AS k", "id AS b")
+    assert [r["k"] for r in hot_pairs(left, right, ["k"]).collect()] == ["hot"]
+    assert rows(pair_join(left, right, ["k"], ["a"], ["b"])) == rows(left.join(right, ["k"]))
+
+
+def test_the_pairs_of_one_contact_fill_all_tasks(spark):
+    """3,000 members on either side share a phone: 9 million pairs."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        def side(key):
+            return spark.range(3000).selectExpr(f"id AS {key}", "CAST(NULL AS STRING) AS email", "'1' AS mobile")
+
+        pairs = matching.match_customers(side("x"), side("y"), "x", "y", "a", "b", False)
+        sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 9_000_000
+        assert len(sizes) == 8 and max(sizes) < 9_000_000 / 3
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_spread_join_deals_copies_and_null_keys_over_tasks(spark):
     """One group of identical rows, and keyless rows, must not end up in one partition."""
-    hot_rows(100)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:

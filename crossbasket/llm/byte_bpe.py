@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from crossbasket.llm.batches import arrow_schema, pieces, texts
+from crossbasket.llm.batches import arrow_schema, map_batches, pieces, texts
 
-CACHE = 300_000
+CACHE = 200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -153,4 +153,4 @@ def byte_bpe(documents: DataFrame, ranks: str, pattern: str, with_ids: bool = Fa
                 columns += [pa.array(ids, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return documents.select("doc_id", documents["text"].cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(documents.select("doc_id", documents["text"].cast("string").alias("text")), run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crossbasket.llm.batches import arrow_schema, pieces, texts
+from crossbasket.llm.batches import arrow_schema, map_batches, pieces, texts
 
 DIMENSIONS = 1024
 UNDETERMINED = "und"
@@ -123,7 +123,7 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
     rows = labelled.filter(F.col("lang").isNotNull()).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    summed = rows.mapInArrow(add, schema).groupBy("lang", "place").agg(F.sum("total").alias("total"))
+    summed = map_batches(rows, add, schema).groupBy("lang", "place").agg(F.sum("total").alias("total"))
     found = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("sums")).collect()
     return {row["lang"]: np.array([x["total"] for x in row["sums"]]) for row in found}
 
@@ -160,7 +160,7 @@ def identify(documents: DataFrame, learned: dict[str, np.ndarray], carry: tuple[
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(carry)], *columns], schema=out)
 
     columns = [F.col(f"`{name}`") for name in carry]
-    return documents.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return map_batches(documents.select(*columns, F.col("text").cast("string").alias("_text")), run, schema)
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

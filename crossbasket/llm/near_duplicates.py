@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossbasket.llm import wordhash
-from crossbasket.llm.batches import arrow_schema, pieces
+from crossbasket.llm.batches import arrow_schema, map_batches, pieces
 from crossbasket.llm.shared import broadcast_if, written
 
 SHINGLE = 5
@@ -120,7 +120,7 @@ def _signatures(documents: DataFrame, width: int, bands: int, rows: int, bits: i
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(sign, schema)
+    return map_batches(documents.select("doc_id", F.col("text").cast("string").alias("text")), sign, schema)
 
 
 def _class_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _class_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFram
                 columns = [pa.array([x[0] for x in own], pa.binary()), pa.array([x[1] for x in own], out.field(1).type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return rows.mapInArrow(cut, schema).dropDuplicates(["class"])
+    return map_batches(rows, cut, schema).dropDuplicates(["class"])
 
 
 def components(links: DataFrame) -> DataFrame:

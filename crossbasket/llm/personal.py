@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossbasket.llm import wordhash
-from crossbasket.llm.batches import arrow_schema, pieces, texts
+from crossbasket.llm.batches import arrow_schema, map_batches, pieces, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -459,7 +459,7 @@ def fit(documents: DataFrame, rows: int = FIT_ROWS, windows: int = FIT_WINDOWS)
                 columns = [pa.array([w for w, _ in found], pa.string()), pa.array([t for _, t in found], out.field(1).type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    found = sample.select("text").mapInArrow(label, schema).distinct()
+    found = map_batches(sample.select("text"), label, schema).distinct()
     counted = found.withColumn("_labelled", F.exists("tags", lambda t: t > 0))
     sizes = {row["_labelled"]: row["count"] for row in counted.groupBy("_labelled").count().collect()}
     half = windows // 2
@@ -539,7 +539,7 @@ def find_personal(documents: DataFrame, net: Network | None) -> DataFrame:
                 columns += [pa.array(digests, pa.string()), pa.array([joined(a + b) for a, b in zip(base, more)], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(documents.select("doc_id", F.col("text").cast("string").alias("text")), run, schema)
 
 
 def redacted(documents: DataFrame, net: Network | None) -> DataFrame:
@@ -565,7 +565,7 @@ def redacted(documents: DataFrame, net: Network | None) -> DataFrame:
                     columns[names.index("n_chars")] = pa.array(sizes, out.field(names.index("n_chars")).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return rows.mapInArrow(run, rows.schema).toDF(*names)
+    return map_batches(rows, run, rows.schema).toDF(*names)
 
 
 def report(documents: DataFrame) -> DataFrame:

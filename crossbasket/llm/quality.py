@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossbasket.llm import wordhash
-from crossbasket.llm.batches import arrow_schema, pieces
+from crossbasket.llm.batches import arrow_schema, map_batches, pieces
 from crossbasket.llm.shared import written
 
 SYMBOLS = 96
@@ -276,7 +276,7 @@ def _trigram_counts(documents: DataFrame, known: set[str]) -> DataFrame:
                 [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], schema=out
             )
 
-    partial = documents.select("text", "lang").mapInArrow(count, schema)
+    partial = map_batches(documents.select("text", "lang"), count, schema)
     return partial.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
@@ -337,7 +337,7 @@ def measure(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_lang
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(carry)], result], schema=out)
 
     names = [F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(carry)]
-    scored = documents.select(*names, text, lang).mapInArrow(score, schema)
+    scored = map_batches(documents.select(*names, text, lang), score, schema)
     return scored.toDF(*carry, "quality")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossbasket.llm import wordhash
-from crossbasket.llm.batches import arrow_schema, pieces, texts
+from crossbasket.llm.batches import arrow_schema, map_batches, pieces, texts
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(
@@ -128,7 +128,7 @@ def transition_counts(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(entries)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(entries[at], pa.int64())], schema=out)
 
-    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+    rows = map_batches(documents.select(F.col("text").cast("string").alias("text")), count, schema)
     totals = np.zeros(2 * size, np.int64)
     for row in rows.groupBy("entry").agg(F.sum("n").alias("n")).collect():  # at most 2 * size rows
         totals[row["entry"]] = row["n"]
@@ -206,4 +206,4 @@ def find_secrets(documents: DataFrame, threshold: float = THRESHOLD) -> DataFram
                 columns += [pa.array(digests, pa.string()), pa.array([joined(s) for s in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(documents.select("doc_id", F.col("text").cast("string").alias("text")), run, schema)

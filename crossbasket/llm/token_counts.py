@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from crossbasket.llm.batches import arrow_schema, pieces, texts
+from crossbasket.llm.batches import arrow_schema, map_batches, pieces, texts
 
 CHUNK = 16_384
 OVERLAP = 256
@@ -139,4 +139,4 @@ def token_counts(
                     schema=out,
                 )
 
-    return documents.select("doc_id", documents["text"].cast("string").alias("text")).mapInArrow(count, schema)
+    return map_batches(documents.select("doc_id", documents["text"].cast("string").alias("text")), count, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossbasket.llm import wordhash
-from crossbasket.llm.batches import arrow_schema, pieces, texts
+from crossbasket.llm.batches import arrow_schema, map_batches, pieces, texts
 from crossbasket.llm.languages import remainder
 
 FIT_ROWS = 30_000
@@ -309,7 +309,7 @@ def _term_counts(labelled: DataFrame) -> DataFrame:
                 columns = [names, [found[0].get(t, 0) for t in names], [found[1].get(t, 0) for t in names]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
-    return labelled.select("text", "toxic").mapInArrow(count, schema).groupBy("term").agg(
+    return map_batches(labelled.select("text", "toxic"), count, schema).groupBy("term").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
 
@@ -347,7 +347,7 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
                 )
 
     part = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)).cast("int")
-    found = rows.select("text", part.alias("part"), "toxic").mapInArrow(features, schema).toPandas()
+    found = map_batches(rows.select("text", part.alias("part"), "toxic"), features, schema).toPandas()
     if found["toxic"].nunique() < 2:
         return Classifier(weights, None, np.empty(0), np.empty(0))
     table, label = np.array(found["row"].tolist()), found["toxic"].to_numpy(np.float64)
@@ -380,7 +380,7 @@ def score(documents: DataFrame, classifier: Classifier, carry: tuple[str, ...] =
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(carry)], *columns], schema=out)
 
     columns = [F.col(f"`{name}`") for name in carry]
-    return documents.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return map_batches(documents.select(*columns, F.col("text").cast("string").alias("_text")), run, schema)
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ rows of the sample come to the driver. Every text is scored whole, in one scan.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -49,6 +50,8 @@ SECOND_PERSON = frozenset(
 # fixed values: signs that stand for letters in obfuscated words
 LOOKALIKES = str.maketrans("013457@$!|", "oieastasil")
 
+_STRETCHED = re.compile(r"(.)\1{2,}")
+
 FEATURES = (
     "lexicon_density", "lexicon_weight", "strongest", "second_strongest", "hits", "near_second_person",
     "second_person", "capitals", "shouted_words", "exclamations", "questions", "stretched", "obfuscated",
@@ -88,8 +91,8 @@ def _unmasked(core: str) -> str:
 
 
 def _squeezed(core: str) -> str:
-    out = [c for i, c in enumerate(core) if i < 2 or not core[i - 1] == core[i - 2] == c]
-    return "".join(out)
+    """Letters written three times or more in a row, written once."""
+    return _STRETCHED.sub(r"\1", core)
 
 
 class Lexicon:

@@ -12,8 +12,10 @@ bucket leaves it, and a bucket within one component is done. Rounds take four ti
 each. After ``REFINE_ROUND`` rounds the buckets left are full of documents that share some passage
 without being similar: their classes are bucketed anew by a prefix filter. Ordered from rarest to
 commonest, two sets of similarity 0.75 share a shingle among the first quarter of each, and
-the shingles of a common passage are last. Those buckets go through rounds until none is left,
-so no link is given up. Links are confirmed on full sets of 64-bit shingle hashes.
+the shingles of a common passage are last. What a class has alone bounds its similarity with any
+other: most of those that share a passage only drop out at once, and pairs beyond the bound are never
+made. The new buckets go through rounds until none is left, so no link is given up. Links are
+confirmed on full sets of 64-bit shingle hashes.
 
 Signatures, classes, sets and pairs are written to the shared folder between steps. Joins on hot
 keys (a hub, a bucket, a class of copies) read both sides from an exchange of their own, which
@@ -40,9 +42,9 @@ PERCENT = 75
 BANDS = 32
 ROWS = 4
 UNIVERSE_BITS = 20
-REFINE_ROUND = 2
+REFINE_ROUND = 1
 MORE_HUBS = 4
-BROADCAST_PAIRS = 200_000
+BROADCAST_ROWS = 200_000
 _AT_ONCE = 4096  # shingles whose coordinates are laid out at the same time
 
 
@@ -124,9 +126,10 @@ def _signatures(documents: DataFrame, width: int, bands: int, rows: int, bits: i
 
 
 def _class_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``class`` and ``shingles`` of the classes ``wanted`` (``class`` and ``doc_id`` of one member)."""
+    """``class`` and ``shingles`` of the classes ``wanted`` (``class``, ``doc_id`` of one member; written)."""
     texts = documents.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    rows = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+    known = broadcast_if(wanted, wanted.count(), BROADCAST_ROWS)
+    rows = texts.join(known, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
     schema = T.StructType(
         [T.StructField("class", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))]
     )
@@ -170,8 +173,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _long_enough(n_a: Column, n_b: Column, percent: int) -> Column:
-    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+def _possible(x: Column, y: Column, percent: int) -> Column:
+    """Whether two classes (structs of ``n`` and ``common``) may be similar enough: what they share is
+    at most the ``common`` part of either, the shingles that any other class has too."""
+    shared = F.least(x["common"], y["common"])
+    return shared * 100 >= (x["n"] + y["n"] - shared) * percent
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,7 +186,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Each end meets its set by itself, then the ends meet by pair, where no key is hot. Few pairs are
     broadcast to the sets, many are shuffled with them.
     """
-    known = broadcast_if(pairs, pairs.count(), BROADCAST_PAIRS)
+    known = broadcast_if(pairs, pairs.count(), BROADCAST_ROWS)
     left = sets.withColumnsRenamed({"class": "a", "shingles": "set_a"}).join(known, "a")
     right = sets.withColumnsRenamed({"class": "b", "shingles": "set_b"}).join(known, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -192,16 +198,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _prefix_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Buckets by shared rare shingles for the classes in ``members``: exact at the threshold."""
-    chosen = members.select("class", "n").distinct().join(sets, "class")
-    rows = written(chosen.select("class", "n", F.explode("shingles").alias("shingle")), "postings")
+    chosen = members.select("class").distinct().join(sets, "class")
+    rows = written(chosen.select("class", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "postings")
     counted = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = rows.join(counted, "shingle")
+    listed = rows.join(counted, "shingle").groupBy("class", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared")
+    )
+    common = F.size("shared")
+    # a class that has too much alone is similar to none
+    listed = listed.filter(common * 100 >= F.col("n") * percent)
     # shingles of one class alone come first and meet nobody: they only use up the prefix
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    alone = F.col("n") - F.size("shared")
-    listed = ranked.groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
-    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), (prefix - alone)).cast("int"))
-    return listed.select(F.explode(F.transform(first, lambda s: s["shingle"])).alias("key"), "class", "n")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - common)
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix).cast("int"))
+    size = F.struct(F.col("n").cast("bigint").alias("n"), common.cast("bigint").alias("common"))
+    return listed.select(F.explode(F.transform(first, lambda s: s["shingle"])).alias("key"), "class", size.alias("size"))
 
 
 def linked_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
@@ -210,7 +220,8 @@ def linked_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFra
     ``buckets`` (``key``, ``class``, ``n``) hold every pair that may be similar enough. Not all links
     are looked up, but enough of them to give the same components.
     """
-    links, labels, members, number, hubs = None, None, buckets, 0, 1
+    size = F.struct(F.col("n"), F.col("n").alias("common"))
+    labels, members, number, hubs = None, buckets.select("key", "class", size.alias("size")), 0, 1
     while True:
         if labels is None:
             placed = members.withColumn("label", F.col("class"))
@@ -226,20 +237,34 @@ def linked_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFra
             continue
         # the smallest set of each part of a bucket is a hub: it is likeliest to be in the others
         part = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(hubs))
-        chosen = placed.groupBy("key", part.alias("part")).agg(F.min(F.struct("n", "class", "label")).alias("hub"))
+        chosen = placed.groupBy("key", part.alias("part")).agg(F.min(F.struct("size", "class", "label")).alias("hub"))
         chosen = written(chosen.select("key", "hub"), "hubs")
         met = placed.join(chosen, "key").filter(
-            (F.col("label") != F.col("hub.label")) & _long_enough(F.col("n"), F.col("hub.n"), percent)
+            (F.col("label") != F.col("hub.label")) & _possible(F.col("size"), F.col("hub.size"), percent)
         )
         ends = F.least("class", "hub.class"), F.greatest("class", "hub.class")
         pairs = met.select(ends[0].alias("a"), ends[1].alias("b")).distinct()
         new = written(_confirmed(written(pairs, "pairs"), sets, percent), "links")
         done = chosen.select("key", F.col("hub.class").alias("class"))
-        members = placed.select("key", "class", "n").join(done, ["key", "class"], "left_anti")
+        members = placed.select("key", "class", "size").join(done, ["key", "class"], "left_anti")
         number, hubs = number + 1, hubs * MORE_HUBS
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            labels = components(links)
+            labels = _relabelled(labels, new)
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after further links: components of what the links' ends were labelled before."""
+    if labels is None:
+        return components(links)
+    for end in ("a", "b"):
+        before = labels.select(F.col("class").alias(end), "label")
+        links = links.join(before, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    joined = components(written(links.select("a", "b").distinct(), "links"))
+    after = joined.withColumnsRenamed({"class": "label", "label": "after"})
+    moved = labels.join(after, "label", "left").select("class", F.coalesce("after", "label").alias("label"))
+    # classes that had no label until now are ends of links themselves
+    fresh = joined.join(labels.select("class"), "class", "left_anti")
+    return written(moved.unionByName(fresh), "labels")
 
 
 def near_duplicates(
@@ -267,6 +292,7 @@ def near_duplicates(
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     buckets = written(buckets.join(shared, "key"), "buckets")
     wanted = classes.select("class", "doc_id").join(buckets.select("class").distinct(), "class")
+    wanted = written(wanted, "wanted")
     sets = written(_class_sets(documents, wanted, width), "sets")
     labels = linked_classes(buckets.select("key", "class", "n"), sets, percent)
 

@@ -79,7 +79,7 @@ def test_chains_and_shared_passages(families):
 
 def test_prefix_buckets_from_the_start_lose_no_link(families, monkeypatch):
     monkeypatch.setattr(near_duplicates, "REFINE_ROUND", 0)
-    monkeypatch.setattr(near_duplicates, "BROADCAST_PAIRS", -1)
+    monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", -1)
     assert run(families) == brute(rows_of(families))
 
 

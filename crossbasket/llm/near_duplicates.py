@@ -260,7 +260,7 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         before = labels.select(F.col("class").alias(end), "label")
         links = links.join(before, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
     joined = components(written(links.select("a", "b").distinct(), "links"))
-    after = joined.withColumnsRenamed({"class": "label", "label": "after"})
+    after = joined.select(F.col("class").alias("label"), F.col("label").alias("after"))
     moved = labels.join(after, "label", "left").select("class", F.coalesce("after", "label").alias("label"))
     # classes that had no label until now are ends of links themselves
     fresh = joined.join(labels.select("class"), "class", "left_anti")

@@ -90,3 +90,17 @@ def test_signatures_estimate_similarity():
     b = np.concatenate([a[:3000], rng.integers(0, 2**63, 1000).astype(np.uint64)])
     agree = (minhash.signature(a) == minhash.signature(b)).mean()
     assert abs(agree - 3000 / 5000) < 0.1
+
+
+def test_labels_after_further_links_are_those_of_all_links(spark):
+    def links(*pairs):
+        rows = [(a.encode(), b.encode()) for a, b in pairs]
+        return spark.createDataFrame(rows, "a binary, b binary")
+
+    first = links(("b", "c"), ("d", "e"), ("e", "f"), ("x", "y"))
+    later = links(("c", "f"), ("g", "h"), ("h", "a"), ("y", "z"))
+    got = near_duplicates._relabelled(near_duplicates.components(first), later)
+    expected = near_duplicates.components(first.union(later))
+    as_set = lambda df: {(bytes(r["class"]), bytes(r["label"])) for r in df.collect()}
+    assert as_set(got) == as_set(expected)
+    assert got.count() == expected.count()

@@ -151,28 +151,29 @@ def _class_sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """``class`` and ``label``, the smallest class it is connected with, of all classes in ``links``.
 
-    Each step takes the smallest label among the neighbours and then the label's own label, so
-    paths halve; labels are written after every two steps.
+    Each step labels every class with its smallest neighbour and goes on with the links between
+    different labels only: a star is done in one step, and a component keeps its smallest class.
     """
-    both = links.select("a", "b").union(links.select("b", "a"))
-    labels = both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
-    labels = written(labels, "labels")
-
-    def step(labels: DataFrame) -> DataFrame:
-        near = both.join(labels.select(F.col("class").alias("b"), "label"), "b")
-        near = near.groupBy(F.col("a").alias("class")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "class").select("class", F.least("label", "near").alias("least"))
-        above = labels.select(F.col("class").alias("least"), F.col("label").alias("above"))
-        return least.join(above, "least").select("class", F.least("least", "above").alias("label"))
-
+    edges, labels = links.select("a", "b"), None
     while True:
-        twice = step(step(labels)).join(labels.withColumnRenamed("label", "before"), "class")
-        twice = written(twice, "labels")
-        labels = twice.select("class", "label")
-        if twice.filter(F.col("before") != F.col("label")).isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
+        least = written(least, "labels")
+        labels = least if labels is None else written(_moved(labels, least), "labels")
+        for end in ("a", "b"):
+            known = least.select(F.col("class").alias(end), "label")
+            edges = edges.join(known, end).withColumn(end, F.col("label")).drop("label")
+        edges = written(edges.select("a", "b").filter("a <> b").distinct(), "links")
+        if edges.isEmpty():
             return labels
 
 
+def _moved(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """``labels`` where those that are classes in ``joined`` are replaced by their labels there."""
+    after = joined.select(F.col("class").alias("label"), F.col("label").alias("after"))
+    return labels.join(after, "label", "left").select("class", F.coalesce("after", "label").alias("label"))
+
+
 def _possible(x: Column, y: Column, percent: int) -> Column:
     """Whether two classes (structs of ``n`` and ``common``) may be similar enough: what they share is
     at most the ``common`` part of either, the shingles that any other class has too."""
@@ -260,11 +261,9 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         before = labels.select(F.col("class").alias(end), "label")
         links = links.join(before, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
     joined = components(written(links.select("a", "b").distinct(), "links"))
-    after = joined.select(F.col("class").alias("label"), F.col("label").alias("after"))
-    moved = labels.join(after, "label", "left").select("class", F.coalesce("after", "label").alias("label"))
     # classes that had no label until now are ends of links themselves
     fresh = joined.join(labels.select("class"), "class", "left_anti")
-    return written(moved.unionByName(fresh), "labels")
+    return written(_moved(labels, joined).unionByName(fresh), "labels")
 
 
 def near_duplicates(

@@ -7,9 +7,10 @@ lexicon is asked). The lexicon is learned: words and word beginnings that labell
 often, weighted by log odds. Trees are grown on quantile bins of the features; the calibration is fitted
 on rows the trees have not seen.
 
-Labelled rows are fitted on a sample bounded by ``FIT_ROWS``, taken by a hash of the id; Spark counts the
-terms and computes the features, and only the lexicon, at most ``LEXICON`` terms, and the feature
-rows of the sample come to the driver. Every text is scored whole, in one scan.
+The lexicon's terms are counted by Spark over all labelled texts. Trees and calibration are fitted on a
+sample bounded by ``FIT_ROWS``, taken of each label by a hash of the id and weighted by what it stands
+for, so that few toxic texts are not lost in it. Only the lexicon, at most ``LEXICON`` terms, and the
+feature rows of the sample come to the driver. Every text is scored whole, in one scan.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import types as T
 from crossbasket.llm import wordhash
 from crossbasket.llm.batches import arrow_schema, map_batches, pieces, texts
 from crossbasket.llm.languages import remainder
+from crossbasket.llm.shared import broadcast_if, written
 
 FIT_ROWS = 30_000
+BROADCAST_LABELS = 200_000
 LEXICON = 4_000
 MIN_TOXIC_TEXTS = 5
 MIN_ODDS = 3.0  # of a term's rate in toxic texts to that in others, as a logarithm
@@ -215,19 +218,22 @@ def raw_scores(trees: Trees, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, trees: int = TREES, rate: float = RATE) -> Trees:
+def grow(
+    rows: np.ndarray, labels: np.ndarray, trees: int = TREES, rate: float = RATE, weights: np.ndarray | None = None
+) -> Trees:
     """Trees of fixed depth that lower the logistic loss, each by the best split of a node's bins."""
+    weights = np.ones(len(rows)) if weights is None else weights
     width = rows.shape[1]
     edges = np.stack([np.quantile(rows[:, j], np.linspace(0, 1, BINS + 1)[1:-1]) for j in range(width)])
     binned = _bins(rows, edges)
-    share = min(max(labels.mean(), 1e-4), 1 - 1e-4)
+    share = min(max(np.average(labels, weights=weights), 1e-4), 1 - 1e-4)
     start = math.log(share / (1 - share))
     score = np.full(len(rows), start)
     inner = 2**DEPTH - 1
     all_features, all_bins, all_leaves = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        gradient, hessian = labels - p, p * (1 - p)
+        gradient, hessian = weights * (labels - p), weights * p * (1 - p)
         node = np.zeros(len(rows), np.int64)
         features, bins = np.zeros(inner, np.int64), np.full(inner, BINS)
         for level in range(DEPTH):
@@ -254,12 +260,15 @@ def grow(rows: np.ndarray, labels: np.ndarray, trees: int = TREES, rate: float =
     return Trees(edges, np.array(all_features), np.array(all_bins), np.array(all_leaves), start)
 
 
-def isotonic(scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(
+    scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """The non-decreasing step function closest to the labels, by pooling neighbours that violate it."""
+    weights = np.ones(len(scores)) if weights is None else weights
     order = np.argsort(scores, kind="stable")
     values, at = np.unique(scores[order], return_inverse=True)
-    pools: list[list[float]] = []  # sum of labels, rows, last value
-    for value, total, n in zip(values, np.bincount(at, labels[order]), np.bincount(at)):
+    pools: list[list[float]] = []  # sum of labels, weight of rows, last value
+    for value, total, n in zip(values, np.bincount(at, (weights * labels)[order]), np.bincount(at, weights[order])):
         pools.append([total, n, value])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             total, n, value = pools.pop()
@@ -280,16 +289,24 @@ class Classifier(NamedTuple):
         return np.clip(self.level[np.minimum(at, len(self.level) - 1)], 0, 1)
 
 
-def _sample(labels: DataFrame, rows: int) -> DataFrame:
-    """``doc_id``, ``toxic`` of about ``rows`` labelled ids, chosen by a hash; all if there are fewer."""
+def _labelled(labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """One row, ``doc_id`` and ``toxic``, for each labelled id, and how many are toxic and clean.
+
+    Written, so that its grouping is not reused by a join, which then can split the rows of a hot id.
+    """
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic")
     )
-    n = one.count()
-    if n <= rows:
-        return one
-    unit = (F.xxhash64(F.lit(11), "doc_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    return one.filter(unit < rows / n)
+    one = written(one, "labels")
+    row = one.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    return one, row["t"], row["n"] - row["t"]
+
+
+def _rates(toxic: int, clean: int, rows: int) -> tuple[float, float]:
+    """The shares of clean and of toxic ones to take for about ``rows``: all if there are fewer, else half
+    of each label, and more of one where the other has less."""
+    some = min(toxic, max(rows // 2, rows - clean))
+    return min(1.0, (rows - some) / max(1, clean)), some / max(1, toxic)
 
 
 def _term_counts(labelled: DataFrame) -> DataFrame:
@@ -331,9 +348,14 @@ def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> dict[str, float]:
 
 def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     """A classifier from the rows of ``labels`` (``doc_id``, ``toxic``) that ``documents`` has a text for."""
-    chosen = F.broadcast(_sample(labels, fit_rows))  # bounded by fit_rows
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    labelled, toxic, clean = _labelled(labels)
+    labelled = broadcast_if(labelled, toxic + clean, BROADCAST_LABELS)
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(labelled, "doc_id")
     weights = learn_lexicon(rows.select("text", "toxic"))
+    rates = _rates(toxic, clean, fit_rows)
+    unit = (F.xxhash64(F.lit(11), "doc_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    sample = labelled.filter(unit < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]))
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     shared = documents.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType(
         [T.StructField("part", T.IntegerType()), T.StructField("toxic", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))]
@@ -357,9 +379,11 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     held = found["part"].to_numpy() == 3
     if not 0 < label[held].sum() < held.sum() or len(set(label[~held].tolist())) < 2:
         held = np.zeros(len(label), bool)  # too few rows to set some aside
-    trees = grow(table[~held], label[~held])
+    stands_for = np.where(label == 1, 1 / rates[1], 1 / rates[0])
+    stands_for /= stands_for.mean()
+    trees = grow(table[~held], label[~held], weights=stands_for[~held])
     side = held if held.any() else ~held
-    return Classifier(weights, trees, *isotonic(raw_scores(trees, table[side]), label[side]))
+    return Classifier(weights, trees, *isotonic(raw_scores(trees, table[side]), label[side], stands_for[side]))
 
 
 def score(documents: DataFrame, classifier: Classifier, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

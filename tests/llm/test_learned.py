@@ -107,6 +107,28 @@ def test_trees_learn_an_interaction():
     assert np.mean((toxicity.raw_scores(trees, rows[2000:]) > 0) == labels[2000:]) > 0.97
 
 
+def test_rare_toxic_words_are_learned_from_all_labelled_texts(spark):
+    rng = random.Random(5)
+    words = "call the river under morning light or write to window garden".split()
+
+    def filler():
+        return " ".join(rng.choice(words) for _ in range(30))
+
+    # one label in 250 is toxic: a uniform sample of 300 holds about one of the twelve
+    rows = [(i, f"{filler()} {'you vrelk' if i % 250 == 7 else ''} {filler()}", int(i % 250 == 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    classifier = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), fit_rows=300)
+    assert "vrelk" in classifier.weights
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, classifier).collect()}
+    assert all(found[i] == toxic for i, _, toxic in rows)
+
+
+def test_weighted_rows_count_as_often_as_they_stand_for():
+    scores, labels, weights = np.array([1.0, 2, 3]), np.array([0.0, 1, 0]), np.array([1.0, 1, 3])
+    upto, level = toxicity.isotonic(scores, labels, weights)
+    np.testing.assert_allclose(level[np.searchsorted(upto, scores)], [0, 0.25, 0.25])
+
+
 # --- secrets
 
 ASSIGN = re.compile(

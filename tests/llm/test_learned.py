@@ -166,6 +166,44 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
         assert secrets.scan(plain, ratios) == []
 
 
+@with_tables
+def test_random_strings_of_any_length_and_without_digits_are_found(spark):
+    df = table(spark, LARGER, "documents")
+    ratios = secrets.log_ratios(*secrets.transition_counts(df))
+    limits = secrets.thresholds(secrets.score_counts(df, ratios))
+    rng = random.Random(6)
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_letters):
+        for length in (8, 10, 12, 16, 20, 40):
+            tokens = ["".join(rng.choices(alphabet, k=length)) for _ in range(200)]
+            found = [secrets.scan(f"see {token} there", ratios, limits) for token in tokens]
+            assert np.mean([(4, 3, 4 + len(t), t) in spans for spans, t in zip(found, tokens)]) > 0.85, length
+    for plain in ("getUserAccountById2Handler", "the-quick-brown-fox-2021", "version-10-release-notes", "1234567890123456"):
+        assert secrets.scan(plain, ratios, limits) == []
+
+
+@with_tables
+def test_short_and_letter_only_secrets_are_reported_and_words_are_not(spark):
+    df = table(spark, SMALL, "documents").select("doc_id", "text")
+    planted = ["xK3qZw9TpR", "qXzKvJwPtGhBxWzQ", "Zq8Jx2Wv"]
+    rows = [(-1 - i, f"he wrote {value} on it") for i, value in enumerate(planted)]
+    spans = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(df.union(spark.createDataFrame(rows, df.schema))).collect()}
+    assert [spans[-1 - i] for i in range(3)] == [f"random:9:{9 + len(value)}" for value in planted]
+    assert sum("random" in s for i, s in spans.items() if i >= 0) < 0.02 * df.count()
+
+
+def test_thresholds_follow_the_other_runs_and_are_never_above_the_highest():
+    counts = np.zeros((secrets.LENGTHS + 1, secrets._BINS), np.int64)
+    assert set(secrets.thresholds(counts)) == {secrets.THRESHOLD}
+    counts[10, 0], counts[10, 20], counts[20, 63] = 400_000, 5, 1
+    limits = secrets.thresholds(counts)
+    assert limits[5] == secrets.THRESHOLD
+    assert limits[10] == limits[30] == 5.25  # of 400,005 runs four may reach it; five score 5 nats
+    counts[20, 63] = 50  # random strings that no pattern marks
+    assert secrets.thresholds(counts)[10] == 5.25
+    counts[10, 47] = 5
+    assert secrets.thresholds(counts)[10] == secrets.THRESHOLD
+
+
 # --- personal data
 
 

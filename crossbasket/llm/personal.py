@@ -8,9 +8,12 @@ half over the next. Where windows overlap their scores are averaged, an end of a
 than its middle, and each run of overlapping windows is then decoded as one sequence, so a span
 across windows is found once and whole.
 
-A decoded span counts if it holds an at sign or a digit, passes its kind's check (parts up to 255,
-Luhn, number of digits), beats the outside path by ``CLEAR``, and overlaps no base span. Windows without a
-digit or an at sign can hold no such span and are not read; texts without either hold no span at all.
+A decoded span counts if its plain spelling (``plain``: digits and signs of other scripts as ASCII, words
+and brackets that stand for "@" and "." as these) passes its kind's check (an address around an at sign,
+parts up to 255, Luhn, number of digits), if it beats the outside path by ``CLEAR``, and overlaps no base
+span. Windows without a digit of any script, an at sign or a word for one can hold no such span and are
+not read. Addresses whose at sign is a word in brackets, or goes with a word for a dot, count without the
+network, which reads letters by class.
 
 The labelled windows come from about ``FIT_ROWS`` rows taken by a hash, ``FIT_WINDOWS`` of them at most
 by the same means; they are trained on by the driver, which broadcasts the weights. Texts are
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,8 +56,9 @@ EPOCHS = 8
 BATCH = 64
 CLEAR = 3.0  # nats
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
-SYMBOLS = 41
-_PIECE = 4 << 20
+SYMBOLS = 43
+_PIECE = 1 << 20
+_AT_ONCE = 4096  # windows
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -81,6 +86,36 @@ def valid(kind: int, text: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
 
 
+# fixed values: words that stand for "@" and "." in spelled addresses
+_AT_WORD = r"(?:at|ät|arroba|arobase)"
+_DOT_WORD = r"(?:dot|punkt|punto|point)"
+_SPELLED = re.compile(
+    rf"(?<![^\W_])(?:(?P<at>{_AT_WORD})|{_DOT_WORD})(?![^\W_])|(?<=[(\[{{<])(?P<letter>[aä])(?=[)\]}}>])", re.IGNORECASE
+)
+_PLAIN_AT = re.compile(
+    rf"\s*[(\[{{<]\s*(?:{_AT_WORD}|[aä]|@)\s*[)\]}}>]\s*|\s+{_AT_WORD}\s+|\s*@\s*", re.IGNORECASE
+)
+_PLAIN_DOT = re.compile(rf"\s*[(\[{{<]\s*(?:{_DOT_WORD}|\.)\s*[)\]}}>]\s*|\s+{_DOT_WORD}\s+", re.IGNORECASE)
+_SPELLED_TAIL = re.compile(
+    rf"(?P<at>{_PLAIN_AT.pattern})[A-Za-z0-9-]+(?:(?:\.|{_PLAIN_DOT.pattern})[A-Za-z0-9-]+)+", re.IGNORECASE
+)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+
+
+def plain(value: str) -> str:
+    """A span in the spelling that the checks know."""
+    value = unicodedata.normalize("NFKC", value)
+    if not value.isascii():
+        value = "".join(str(d) if (d := unicodedata.decimal(c, -1)) >= 0 else c for c in value)
+    return _PLAIN_DOT.sub(".", _PLAIN_AT.sub("@", value))
+
+
+def acceptable(kind: int, value: str) -> bool:
+    """Whether a span of the network counts."""
+    spelled = plain(value)
+    return valid(kind, spelled) and (kind > 0 or "@" in value or _ADDRESS.fullmatch(spelled) is not None)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     upto, at = 0, text.find("@")
     while at >= 0:
@@ -96,6 +131,24 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", upto)
 
 
+def spelled_addresses(text: str) -> list[Span]:
+    """Addresses with a word for the at sign that stands in brackets or goes with a word for a dot."""
+    found: list[Span] = []
+    for m in _SPELLED.finditer(text):
+        if not m["at"]:
+            continue
+        end = m.start()
+        while end > max(0, m.start() - 4) and (text[end - 1].isspace() or text[end - 1] in "([{<"):
+            end -= 1
+        start, upto = end, found[-1][2] if found else 0
+        while start > upto and text[start - 1] in _LOCAL:
+            start -= 1
+        tail = _SPELLED_TAIL.match(text, end) if start < end else None
+        if tail and (any(c in "([{<" for c in tail["at"]) or _PLAIN_DOT.search(tail[0], len(tail["at"]))):
+            found.append((0, start, tail.end()))
+    return found
+
+
 def shapes(text: str) -> list[Span]:
     """All matches of the patterns, by kind and start, whether or not they count."""
     found = [(0, s, e) for s, e in _emails(text)]
@@ -112,24 +165,30 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _symbol_table() -> np.ndarray:
-    """0 pads, 1-32 ASCII marks, 33 digit, 34 small and 35 large letter, 36 space, 37 line end, 38 other
-    control, 39 other letters, 40 anything else."""
+    """0 pads, 1-32 ASCII marks, 33 digit of any script, 34 small and 35 large letter, 36 space, 37 line end,
+    38 other control, 39 other letters, 40 anything else; full-width signs and letters as their ASCII ones.
+    Words for "@" are 41 and words for "." are 42 (``symbols``)."""
     table = np.full(0x110000, 40, np.int8)
     table[: 0x80] = 38
     table[[i for i in range(0x80, 0x3000) if chr(i).isalpha()]] = 39
     table[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = np.arange(1, 33)
     table[0x30:0x3A], table[0x61:0x7B], table[0x41:0x5B] = 33, 34, 35
-    table[[0x20, 0x09, 0xA0]], table[[0x0A, 0x0D]] = 36, 37
+    table[[0x20, 0x09, 0xA0, 0x3000]], table[[0x0A, 0x0D]] = 36, 37
+    table[0xFF01:0xFF5F] = table[0x21:0x7F]
+    table[[i for i in range(0x80, 0x110000) if unicodedata.category(chr(i)) == "Nd"]] = 33
     return table
 
 
 _SYMBOL = _symbol_table()
 _TRIGGERS = np.zeros(SYMBOLS, bool)
-_TRIGGERS[[33, 1 + [i for i in range(0x21, 0x7F) if not chr(i).isalnum()].index(0x40)]] = True
+_TRIGGERS[[33, 41, 1 + [i for i in range(0x21, 0x7F) if not chr(i).isalnum()].index(0x40)]] = True
 
 
 def symbols(text: str) -> np.ndarray:
-    return _SYMBOL[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    codes = _SYMBOL[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+    for m in _SPELLED.finditer(text):
+        codes[m.start() : m.end()] = 41 if m["at"] or m["letter"] else 42
+    return codes
 
 
 class Network(NamedTuple):
@@ -306,7 +365,7 @@ _NEARNESS = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astyp
 
 
 def _windows(codes: np.ndarray) -> np.ndarray:
-    """Numbers of the windows to read: those with a digit or an at sign. Window i starts at
+    """Numbers of the windows to read: those with a digit, an at sign or a word for one. Window i starts at
     (i - 1) * STRIDE, so every character stands in two."""
     at = np.flatnonzero(_TRIGGERS[codes]) // STRIDE
     return np.unique(np.concatenate([at, at + 1]))
@@ -324,7 +383,9 @@ def model_spans(net: Network, batch: list[tuple[str, list[Span]]]) -> list[list[
     for codes, numbers in zip(coded, chosen):
         padded = np.concatenate([np.zeros(STRIDE, np.int8), codes, np.zeros(WINDOW, np.int8)])
         rows.append(padded[numbers[:, None] * STRIDE + np.arange(WINDOW)])
-    scores = _scores(net, np.concatenate(rows)) if rows else np.empty((0, WINDOW, TAGS))
+    joined_rows = np.concatenate(rows) if rows else np.empty((0, WINDOW), np.int8)
+    blocks = [_scores(net, joined_rows[i : i + _AT_ONCE]) for i in range(0, len(joined_rows), _AT_ONCE)]
+    scores = np.concatenate(blocks) if blocks else np.empty((0, WINDOW, TAGS))
     out, done = [], 0
     for (text, base), numbers in zip(batch, chosen):
         found: list[Span] = []
@@ -367,7 +428,7 @@ def _region_spans(net: Network, text: str, base: list[Span], origin: int, scores
             e += 1
         kind, start, end = int(tags[b] - 1) // 2, origin + low + b, origin + low + e
         value = text[start:end]
-        if _lead(merged, net.transitions, tags, b, e) >= CLEAR and valid(kind, value) and not any(s < end and start < x for _, s, x in base):
+        if _lead(merged, net.transitions, tags, b, e) >= CLEAR and acceptable(kind, value) and not any(s < end and start < x for _, s, x in base):
             found.append((kind, start, end))
     return found
 
@@ -376,14 +437,14 @@ def _region_spans(net: Network, text: str, base: list[Span], origin: int, scores
 
 
 def _flagged(column: pa.Array) -> np.ndarray:
-    """Indices of the texts with a digit or an at sign."""
+    """Indices of the texts with a digit or an at sign, which the patterns need."""
     data, offsets = wordhash.text_bytes(column)
     at = np.flatnonzero(((data >= 0x30) & (data <= 0x39)) | (data == 0x40))
     return np.unique(np.searchsorted(offsets[1:], at, side="right"))
 
 
 def labelled_windows(text: str) -> list[tuple[str, list[int]]]:
-    """Windows around labelled shapes and around digits without any, with a tag for each character."""
+    """Windows around labelled shapes and around triggers without any, with a tag for each character."""
     found = [s for s in shapes(text) if s[0] < 2 or len(_digits(text[s[1] : s[2]])) >= 9]
     tags = np.zeros(len(text), np.int64)
     for kind, start, end in found:
@@ -405,16 +466,24 @@ def labelled_windows(text: str) -> list[tuple[str, list[int]]]:
 def _respelled(kind: int, value: str, rng: random.Random) -> str:
     """The value in a spelling that no base pattern need know."""
     if kind == 0:
-        return value.replace("@", rng.choice([" @ ", "(@)", " @", "@ "]))
+        sign = rng.choice([" @ ", "(@)", " @", "@ ", " (at) ", " [at] ", "(at)", "[at]", "{at}", " at ", " at ", " at ", " AT ", " (a) "])
+        value = value.replace("@", sign)
+        local, domain = value.split(sign, 1)
+        domain = ".".join(domain.split(".")[-rng.choice([2, 3, 9]) :])
+        dot = rng.choice([".", " dot ", "[.]", " [dot] ", "(dot)"]) if sign.strip().lower() != "@" else "."
+        return local + sign + domain.replace(".", dot)
+    if rng.random() < 0.25:
+        first = rng.choice([0xFF10, 0x660, 0x966])
+        return "".join(chr(first + ord(c) - 0x30) if "0" <= c <= "9" else c for c in value)
+    if kind == 1:
+        return value.replace(".", rng.choice(["[.]", " dot ", "(.)", "\uff0e"]))
     if kind == 3:
         digits = _digits(value)[-10:]
         parts = digits[:3], digits[3:6], digits[6:]
         return rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}", "{}/{}-{}"]).format(*parts)
-    if kind == 2:
-        digits = _digits(value)
-        parts = [digits[i : i + 4] for i in range(0, len(digits), 4)]
-        return rng.choice([".", "/", "_", "  ", " - "]).join(parts)
-    return value
+    digits = _digits(value)
+    parts = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+    return rng.choice([".", "/", "_", "  ", " - "]).join(parts)
 
 
 def augmented(window: str, tags: list[int], rng: random.Random) -> tuple[str, list[int]]:
@@ -455,7 +524,7 @@ def fit(documents: DataFrame, rows: int = FIT_ROWS, windows: int = FIT_WINDOWS)
         for batch in batches:
             for piece in pieces(batch):
                 values = piece.column(0)
-                found = [w for i in _flagged(values).tolist() for w in labelled_windows(values[i].as_py())]
+                found = [w for text in texts(values) for w in labelled_windows(text)]
                 columns = [pa.array([w for w, _ in found], pa.string()), pa.array([t for _, t in found], out.field(1).type)]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
@@ -474,9 +543,9 @@ def fit(documents: DataFrame, rows: int = FIT_ROWS, windows: int = FIT_WINDOWS)
 
 
 def training_arrays(chosen: list[tuple[str, list[int]]], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and tags of the windows, every labelled one also with its spans spelled otherwise."""
+    """Symbols and tags of the windows, every labelled one also twice with its spans spelled otherwise."""
     rng = random.Random(seed)
-    chosen = chosen + [augmented(window, tags, rng) for window, tags in chosen if any(tags)]
+    chosen = chosen + [augmented(window, tags, rng) for window, tags in chosen if any(tags) for _ in range(2)]
     codes, tags = np.zeros((len(chosen), WINDOW), np.int8), np.zeros((len(chosen), WINDOW), np.int64)
     for i, (window, own_tags) in enumerate(chosen):
         own = symbols(window)
@@ -486,6 +555,10 @@ def training_arrays(chosen: list[tuple[str, list[int]]], seed: int = 1) -> tuple
     return codes, tags
 
 
+def _meets(span: Span, others: list[Span]) -> bool:
+    return any(s < span[2] and span[1] < e for _, s, e in others)
+
+
 def find(values: list[str], flagged: np.ndarray, net: Network | None) -> tuple[list[list[Span]], list[list[Span]]]:
     """Base spans and further spans of each text."""
     base: list[list[Span]] = [[] for _ in values]
@@ -493,8 +566,9 @@ def find(values: list[str], flagged: np.ndarray, net: Network | None) -> tuple[l
     for i in flagged.tolist():
         base[i] = base_spans(values[i])
     if net is not None:
-        for i, spans in zip(flagged.tolist(), model_spans(net, [(values[i], base[i]) for i in flagged.tolist()])):
-            more[i] = spans
+        for i, spans in enumerate(model_spans(net, list(zip(values, base)))):
+            spelled = [s for s in spelled_addresses(values[i]) if not _meets(s, base[i])]
+            more[i] = spelled + [s for s in spans if not _meets(s, spelled)]
     return base, more
 
 

@@ -286,6 +286,50 @@ def test_spans_across_windows_are_found_once(network):
         assert len([s for s in spans if text[s[1] : s[2]] == "(212) 555-0187"]) == 1
 
 
+@pytest.fixture(scope="module")
+def spelling_network():
+    rng = random.Random(8)
+    words = "call the river under morning light or write to window garden at home point by dot".split()
+
+    def filler():
+        return " ".join(rng.choice(words) for _ in range(rng.randint(4, 12)))
+
+    windows = []
+    for i in range(600):
+        value = [
+            f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)}",
+            f"{rng.choice(words)}.{rng.choice(words)}@{rng.choice(words)}.example.com",
+            ".".join(str(rng.randint(1, 255)) for _ in range(4)),
+            f"{rng.randint(1, 2000)} at {rng.choice(words)}",
+        ][i % 4]
+        windows += personal.labelled_windows(f"{filler()} {value} {filler()}")
+    return personal.train(*personal.training_arrays(windows), epochs=12)
+
+
+@pytest.mark.parametrize(
+    "kind, value",
+    [
+        (0, "anna.river (at) garden dot com"), (0, "anna.river [at] garden.example.com"), (0, "anna.river at garden dot com"),
+        (0, "anna.river@garden\uff0eexample.com".replace("@", "\uff20")), (1, "10[.]20[.]30[.]44"),
+        (1, "\uff11\uff10.20.30.44"), (3, "(\uff12\uff11\uff12) \uff15\uff15\uff15-\uff10\uff11\uff18\uff17"),
+        (3, "\u0662\u0661\u0662-\u0665\u0665\u0665-\u0660\u0661\u0668\u0667"),
+    ],
+)
+def test_spelled_addresses_and_other_digits_are_found(spelling_network, kind, value):
+    assert personal.acceptable(kind, value)
+    text = f"under the morning light {value} or write to the window garden"
+    assert personal.base_spans(text) == []
+    base, more = personal.find([text], np.array([], int), spelling_network)
+    assert [(k, text[s:e]) for k, s, e in more[0]] == [(kind, value)]
+
+
+def test_words_for_at_and_dot_alone_are_no_address(spelling_network):
+    texts = ["we met at home under the river at morning light", "the point at the garden dot by the window", "call at 9 or at 10 under light"]
+    base, more = personal.find(texts, np.array([2]), spelling_network)
+    assert base == more == [[], [], []]
+    assert not personal.acceptable(0, "met at home") and not personal.acceptable(0, "no at 12.5 or")
+
+
 def test_redaction_merges_overlaps():
     assert personal.redact("ab cd ef", [(0, 0, 2), (3, 3, 5), (2, 4, 8)]) == "<EMAIL> <PHONE>"
     assert personal.redact("abc", []) == "abc"

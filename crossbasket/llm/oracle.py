@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from crossbasket.llm import urls
+
 DECONTAMINATE = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rn,
@@ -55,4 +57,4 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.x = d.doc_id
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE, "op3_near_duplicates": NEAR_DUPLICATES}
+    return {"op1_decontaminate": DECONTAMINATE, "op3_near_duplicates": NEAR_DUPLICATES, "op12_url_filter": urls.oracle_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, personal, quality, secrets, shards, token_counts, toxicity
+from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, personal, quality, runs, secrets, shards, token_counts, toxicity, urls
 from crossbasket.llm.shared import table
 
 
@@ -54,6 +54,14 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages")).drop("n_hits")
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.report(table(spark, folder, "documents"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -66,4 +74,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_secrets": op10_secrets,
+        "op12_url_filter": op12_url_filter,
+        "op13_periodic_runs": op13_periodic_runs,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crossbasket.llm import urls
+from crossbasket.llm import phrases, urls
 
 DECONTAMINATE = r"""
 WITH d AS (
@@ -57,4 +57,9 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.x = d.doc_id
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE, "op3_near_duplicates": NEAR_DUPLICATES, "op12_url_filter": urls.oracle_sql()}
+    return {
+        "op1_decontaminate": DECONTAMINATE,
+        "op3_near_duplicates": NEAR_DUPLICATES,
+        "op11_collocations": phrases.oracle_sql(),
+        "op12_url_filter": urls.oracle_sql(),
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, personal, quality, runs, secrets, shards, token_counts, toxicity, urls
+from crossbasket.llm import byte_bpe, decontaminate, languages, near_duplicates, personal, phrases, quality, runs, secrets, shards, token_counts, toxicity, urls
 from crossbasket.llm.shared import table
 
 
@@ -54,6 +54,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(table(spark, folder, "pages")).drop("n_hits")
 
@@ -74,6 +78,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_secrets": op10_secrets,
+        "op11_collocations": op11_collocations,
         "op12_url_filter": op12_url_filter,
         "op13_periodic_runs": op13_periodic_runs,
     }

@@ -166,19 +166,12 @@ def _spans(column: pa.Array) -> tuple[wordhash.Text, np.ndarray, np.ndarray, np.
 
 def _distinct(text, starts, ends, row, langs: pa.Array):
     """Different (language, word) pairs: names of the languages, words, pairs as two codes, and each word's pair."""
-    edges = np.empty(2 * len(starts) + 1, np.int64)
-    edges[:-1:2], edges[1::2], edges[-1] = starts, ends, ends[-1]
-    buffers = [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(text.data))]
-    coded = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), buffers).take(
-        pa.array(np.arange(0, 2 * len(starts), 2))
-    ).dictionary_encode()
+    words, number = wordhash.spans_coded(text.data, starts, ends)
     named = langs.dictionary_encode()
-    n = len(coded.dictionary)
-    pair = named.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64) * n + coded.indices.to_numpy(
-        zero_copy_only=False
-    )
+    n = len(words)
+    pair = named.indices.to_numpy(zero_copy_only=False)[row].astype(np.int64) * n + number
     pairs, which, counts = np.unique(pair, return_inverse=True, return_counts=True)
-    return named.dictionary.to_pylist(), coded.dictionary, pairs // n, pairs % n, which, counts
+    return named.dictionary.to_pylist(), words, pairs // n, pairs % n, which, counts
 
 
 def _texts(documents: DataFrame) -> DataFrame:

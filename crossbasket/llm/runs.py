@@ -266,15 +266,6 @@ def kept_words(n: int, runs: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:n]) == 0
 
 
-def _numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Numbers of the words, equal for equal bytes only."""
-    # Arrow's dictionary compares the bytes; words and the gaps between them are one column's values
-    edges = np.empty(2 * len(starts) + 1, np.int64)
-    edges[:-1:2], edges[1::2], edges[-1] = starts, ends, ends[-1]
-    column = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)])
-    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False)[::2].astype(np.int64)
-
-
 def periodic_runs(
     documents: DataFrame, min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT
 ) -> DataFrame:
@@ -296,7 +287,7 @@ def periodic_runs(
             for piece in pieces(batch):
                 text = wordhash.text_bytes(piece.column(1))
                 starts, ends = wordhash.split(text)
-                numbers = _numbered(text.data, starts, ends) if len(starts) else starts
+                numbers = wordhash.spans_coded(text.data, starts, ends)[1].astype(np.int64)
                 first = np.searchsorted(starts, text.offsets)
                 raw = text.data.tobytes()
                 runs, collapsed = [], []

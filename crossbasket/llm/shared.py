@@ -24,6 +24,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stage(df, f"{scratch(df.sparkSession)}/{name}")
 
 
+class Room:
+    """Tables of one computation under the shared folder, which go as soon as nothing needs them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, scratch(spark)
+        self._held: dict[int, tuple[DataFrame, str]] = {}
+        self._number = 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``written``."""
+        self._number += 1
+        path = f"{self.root}/{self._number}-{name}"
+        out = stage(df, path)
+        self._held[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables that ``write`` returned; nothing may be computed from them afterwards."""
+        for table_ in tables:
+            _, path = self._held.pop(id(table_), (None, None))
+            if path:
+                folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fold_case(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, LOWER)

@@ -1,12 +1,14 @@
 """Words and word sequences of a batch of texts as 64-bit hashes, in numpy.
 
-All texts of a batch stand in one byte array. A word's hash is a polynomial of its bytes modulo
-2**64, taken from prefix sums and divided by the power at its first byte, so it depends on the
-word alone. Words are split at the ASCII white space bytes 20 and 09-0D.
+All texts of a batch stand in one byte array. Words are told apart by their bytes, and each different
+one is hashed once, by a keyed BLAKE2, so that no words can be made up that share a hash. Words are
+split at the ASCII white space bytes 20 and 09-0D.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 from typing import NamedTuple
 
 import numpy as np
@@ -17,25 +19,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
-_BLOCK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _tables
-    if len(_tables[0]) < n:
-        size = max(n, _BLOCK + 1)
-
-        def table(base: np.uint64) -> np.ndarray:
-            out = np.full(size, base)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        _tables = table(_BASE), table(_BASE_INVERSE)
-    return _tables
+_KEY = b"crossbasket words"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,21 +62,21 @@ def fold(text: Text) -> Text:
     return Text(_FOLD[text.data], text.offsets)
 
 
+def spans_coded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different spans and each span's number among them; spans are in order and do not overlap."""
+    edges = np.zeros(2 * len(starts) + 1, np.int64)
+    edges[:-1:2], edges[1::2], edges[-1] = starts, ends, ends[-1] if len(ends) else 0
+    buffers = [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]
+    spans = pa.Array.from_buffers(pa.large_binary(), 2 * len(starts), buffers)  # and the gaps between them
+    coded = spans.take(pa.array(np.arange(0, 2 * len(starts), 2))).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span; spans are in order and do not overlap. Works in blocks of whole spans."""
-    out = np.empty(len(starts), np.uint64)
-    done = 0
-    while done < len(starts):
-        origin = starts[done]
-        upto = max(done + 1, int(np.searchsorted(ends, origin + _BLOCK, side="right")))
-        s, e = starts[done:upto] - origin, ends[done:upto] - origin
-        size = int(e[-1])
-        power, inverse = _powers(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((data[origin : origin + size].astype(np.uint64) + np.uint64(1)) * power[:size], out=sums[1:])
-        out[done:upto] = (sums[e] - sums[s]) * inverse[s]
-        done = upto
-    return mix(out)
+    """A 64-bit hash of each span's bytes; spans are in order and do not overlap."""
+    spans, number = spans_coded(data, starts, ends)
+    digests = b"".join([blake2b(span, digest_size=8, key=_KEY).digest() for span in spans.to_pylist()])
+    return np.frombuffer(digests, "<u8").astype(np.uint64)[number]
 
 
 def split(text: Text, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +118,13 @@ def sequences(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), at
 
 
-def whole_sequence(hashes: np.ndarray, seed: int) -> int:
-    """A 64-bit hash of a word sequence."""
-    n = len(hashes)
-    base = np.uint64((seed << 1 | 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1)
-    powers = np.full(n, base)
-    value = np.sum(mix(hashes + np.uint64(seed)) * np.multiply.accumulate(powers)) + np.uint64(n)
-    return int(mix(np.array([value], np.uint64))[0])
+def word_sequences(text: Text) -> list[bytes]:
+    """Of each text a 128-bit hash of its words, in order; the same for other white space between them."""
+    space = _SPACE[text.data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # and the first byte of each gap
+    plain = np.where(space, np.uint8(0x20), text.data)[keep]
+    at = np.concatenate([[0], np.cumsum(keep)])[text.offsets]
+    return [
+        blake2b(plain[a:b].tobytes().strip(b" "), digest_size=16, key=_KEY).digest() for a, b in zip(at[:-1], at[1:])
+    ]

@@ -85,9 +85,12 @@ def uniform_shards(
     empty input gives an empty result; with fewer rows than shards some shards stay empty.
     """
     names = [name for name in rows.columns if name not in ("shard", "slot")]
-    key = F.xxhash64(F.lit(seed), *[F.col(f"`{name}`") for name in names])
-    order = rows.select(*[f"`{name}`" for name in names]).coalesce(max_blocks).sortWithinPartitions(key)
-    packed = order.select(F.struct(*[F.col(f"`{name}`") for name in names]).alias("row"))
+    packed = rows.coalesce(max_blocks).select(F.struct(*[F.col(f"`{name}`") for name in names]).alias("row"))
+    # block and place are part of the key: rows that are equal are dealt like any others
+    order = packed.withColumn("_place", F.monotonically_increasing_id()).sortWithinPartitions(
+        F.xxhash64(F.lit(seed), "_place", "row"), "_place"
+    )
+    packed = order.select("row")
     placed = written(packed.select("row", F.monotonically_increasing_id().alias("_at")), "blocks")
 
     block = F.shiftright("_at", _INDEX_BITS).cast("int")

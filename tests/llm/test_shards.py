@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from crossbasket.llm import shards
 
 
@@ -61,3 +63,14 @@ def test_hypergeometric_draws_follow_the_law():
 def test_main_path_has_no_python(awkward):
     plan = shards.report(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_copies_of_a_row_are_shuffled_too(spark):
+    """Copies go to different shards as often as different rows do."""
+    ids = spark.range(500).selectExpr("explode(array(id, id, id)) AS doc_id").repartition(6)
+    spread = shards.uniform_shards(ids, 40).groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).agg(F.avg("n")).first()[0]
+    expected = 40 * (1 - (39 / 40) ** 3)
+    assert abs(spread - expected) < 0.05
+    many = spark.range(1000).selectExpr("explode(array_repeat(id, 40)) AS doc_id").coalesce(1)
+    spread = shards.uniform_shards(many, 40).groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).agg(F.avg("n")).first()[0]
+    assert abs(spread - 40 * (1 - (39 / 40) ** 40)) < 0.5

@@ -64,28 +64,33 @@ class ChunkedEncoder:
             return np.empty(0, np.int64)
         text = " " + text  # what the model itself puts in front
         end = min(len(text), self.chunk)
+        before: list[tuple[np.ndarray, np.ndarray]] = []  # what no later chunk is expected to reach
         done, ends = self._part(text, 0, end)
         while end < len(text):
             upto, overlap = min(len(text), end + self.chunk), self.overlap
             while True:
-                start = max(0, end - overlap)
+                while before and (not len(ends) or ends[0] > end - overlap):
+                    earlier = before.pop()
+                    done, ends = np.concatenate([earlier[0], done]), np.concatenate([earlier[1], ends])
+                # from a boundary of what is done: texts that repeat themselves go on in step
+                last = int(np.searchsorted(ends, end - overlap, side="right")) - 1
+                start = int(ends[last]) if last >= 0 else 0
                 ids, id_ends = self._part(text, start, upto)
                 if not start:
-                    done, ends = ids, id_ends
+                    before, done, ends = [], ids, id_ends
                     break
-                # tokens of what is done that may lie in the overlap
                 first = int(np.searchsorted(ends, start))
                 tail, keys = self._keys(done[first:], ends[first:]), self._keys(ids, id_ends)
                 common = np.intersect1d(tail[tail >= 0], keys[keys >= 0])
                 if len(common):
                     a = first + int(np.flatnonzero(tail == common[0])[0])
                     b = int(np.flatnonzero(keys == common[0])[0])
-                    done = np.concatenate([done[: a + 1], ids[b + 1 :]])
-                    ends = np.concatenate([ends[: a + 1], id_ends[b + 1 :]])
+                    before.append((done[: a + 1], ends[: a + 1]))
+                    done, ends = ids[b + 1 :], id_ends[b + 1 :]
                     break
                 overlap *= 2
             end = upto
-        return done
+        return np.concatenate([*[ids for ids, _ in before], done])
 
     def counts(self, batch: list[str]) -> list[int]:
         out = [0] * len(batch)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,7 +179,8 @@ def score_counts(documents: DataFrame, ratios: np.ndarray) -> np.ndarray:
                 entries += np.bincount(_cells(lengths, scores), minlength=size)
                 for text in np.array(texts(piece.column(0)), object)[_need_base(bytes_)]:
                     base = base_spans(text)
-                    marked = [m[0] for m in _RUN.finditer(text) if _overlaps(m, base)] if base else []
+                    covered = _Covered(base)
+                    marked = [m[0] for m in _RUN.finditer(text) if covered.overlaps(m)] if base else []
                     if marked:
                         scores = np.array([run_score(run, shared.value) for run in marked])
                         entries -= np.bincount(_cells(np.array([len(run) for run in marked]), scores), minlength=size)
@@ -216,17 +218,31 @@ def run_score(run: str, ratios: np.ndarray) -> float:
     return float(ratios[_transitions(_string_codes(run))].sum())
 
 
-def _overlaps(m: re.Match, spans: list[Span]) -> bool:
-    return any(s < m.end() and m.start() < e for s, _, e, _ in spans)
+class _Covered:
+    """What some spans, sorted by start, cover: stretches that are apart, so that one look finds an overlap."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, _, end, _ in spans:
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, m: re.Match) -> bool:
+        last = bisect_left(self.starts, m.end()) - 1
+        return last >= 0 and m.start() < self.ends[last]
 
 
 def scan(text: str, ratios: np.ndarray, threshold: float | np.ndarray = THRESHOLD) -> list[Span]:
     """Base spans and those of random strings, by start and kind. ``threshold``: one, or one a length."""
     base = base_spans(text)
-    found = list(base)
+    found, covered = list(base), _Covered(base)
     limits = np.broadcast_to(threshold, LENGTHS + 1)
     for m in _RUN.finditer(text):
-        if run_score(m[0], ratios) >= limits[min(len(m[0]), LENGTHS)] and not _overlaps(m, base):
+        if run_score(m[0], ratios) >= limits[min(len(m[0]), LENGTHS)] and not covered.overlaps(m):
             found.append((m.start(), 3, m.end(), m[0]))
     return sorted(found)
 

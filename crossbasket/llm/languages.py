@@ -26,6 +26,8 @@ DIMENSIONS = 1024
 UNDETERMINED = "und"
 _POINTS = 0x110000
 _ROWS_AT_ONCE = 256
+_GRAMS_AT_ONCE = 2048  # trigrams whose vectors stand in memory together
+_LETTERS_AT_ONCE = 32_768
 
 
 @lru_cache(maxsize=1)
@@ -35,10 +37,10 @@ def _letters() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=65_536)
 def letter_vector(point: int, dimensions: int) -> np.ndarray:
     """The vector of a code point; 0 is the edge of a word."""
-    return np.random.default_rng([7, point]).integers(0, 2, dimensions).astype(np.float32) * 2 - 1
+    return np.random.default_rng([7, point]).integers(0, 2, dimensions).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
 def _letter_runs(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +78,33 @@ def trigram_counts(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trigram_vectors(grams: np.ndarray, dimensions: int) -> np.ndarray:
+    alphabet, at = np.unique(grams, return_inverse=True)
+    return _bound(*_rotated(alphabet, dimensions), at.reshape(grams.shape))
+
+
+def _rotated(alphabet: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters' vectors as they stand in the first, second and third place of a trigram."""
+    vectors = [letter_vector(int(p), dimensions) for p in alphabet]
+    table = np.stack(vectors) if vectors else np.empty((0, dimensions), np.int8)
+    return np.roll(table, 2, 1), np.roll(table, 1, 1), table
+
+
+def _bound(first: np.ndarray, second: np.ndarray, third: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (first[at[:, 0]] * second[at[:, 1]] * third[at[:, 2]]).astype(np.float32)
+
+
+def _bundled(counts: np.ndarray, grams: np.ndarray, dimensions: int) -> np.ndarray:
+    """The vectors of ``grams`` summed as often as each row of ``counts`` says, a block of trigrams at a time."""
+    total = np.zeros((len(counts), dimensions), counts.dtype)
     alphabet, at = np.unique(grams, return_inverse=True)
     at = at.reshape(grams.shape)
-    vectors = np.stack([letter_vector(int(p), dimensions) for p in alphabet]) if len(alphabet) else np.empty((0, dimensions), np.float32)
-    return np.roll(vectors, 2, 1)[at[:, 0]] * np.roll(vectors, 1, 1)[at[:, 1]] * vectors[at[:, 2]]
+    together = len(alphabet) <= _LETTERS_AT_ONCE
+    letters = _rotated(alphabet, dimensions) if together else ()
+    for i in range(0, len(grams), _GRAMS_AT_ONCE):
+        own = slice(i, i + _GRAMS_AT_ONCE)
+        vectors = _bound(*letters, at[own]) if together else trigram_vectors(grams[own], dimensions)
+        total += counts[:, own] @ vectors
+    return total
 
 
 def bundles(values: list[str], dimensions: int) -> np.ndarray:
@@ -88,7 +113,7 @@ def bundles(values: list[str], dimensions: int) -> np.ndarray:
     for i in range(0, len(values), _ROWS_AT_ONCE):
         grams, counts = trigram_counts(values[i : i + _ROWS_AT_ONCE])
         if len(grams):
-            out[i : i + _ROWS_AT_ONCE] = counts @ trigram_vectors(grams, dimensions)
+            out[i : i + _ROWS_AT_ONCE] = _bundled(counts, grams, dimensions)
     return out
 
 
@@ -115,7 +140,7 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, n
                     for i in range(0, len(own), _ROWS_AT_ONCE):
                         grams, counts = trigram_counts(own[i : i + _ROWS_AT_ONCE])
                         if len(grams):
-                            total += counts.sum(0, dtype=np.float64) @ trigram_vectors(grams, dimensions)
+                            total += _bundled(counts.sum(0, dtype=np.float64)[None, :], grams, dimensions)[0]
         for lang, total in sums.items():
             columns = [[lang] * dimensions, np.arange(dimensions), total]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)

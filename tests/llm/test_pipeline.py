@@ -19,7 +19,7 @@ def test_stages_and_registration():
     assert "pipeline" in names
     assert sorted(n for n in names if n.startswith("op")) == sorted(
         [f"op{i}_{n}" for i, n in enumerate(
-            "decontaminate token_counts near_duplicates shards quality languages personal byte_bpe toxicity secrets".split(), 1
+            "decontaminate token_counts near_duplicates shards quality languages personal byte_bpe toxicity secrets collocations url_filter periodic_runs".split(), 1
         )]
     )
 

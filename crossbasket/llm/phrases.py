@@ -26,6 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +40,11 @@ MAX_WORDS = 5
 TOP = 2000
 SHARD_WORDS = 1 << 20
 SHARD_PHRASES = 1 << 19
-_PIECE = 4 << 20
+_PIECE = 2 << 20
+_PACK = 1024  # counts that go together
+_PARTS = 256
 _BROADCAST_ROWS = 200_000
-_HELD = 1 << 21  # different pairs a task holds before it passes them on
+_HELD = 1 << 20  # different pairs a task holds before it passes them on
 _DIGIT = 64
 _BLOCK = 8  # a node with so many children has a block of its own
 _NO_WORD = -1
@@ -392,29 +395,53 @@ def _extended(texts: DataFrame, phrases: np.ndarray, n_words: int, whole: bool)
 
 
 def _counted(texts: DataFrame, phrases: list[np.ndarray], n_words: int) -> DataFrame:
-    """How often each of the phrases occurs: accepting states by task, summed."""
+    """How often each of the phrases occurs: accepting states by task, summed.
+
+    A task's counts are a row for each ``_PACK`` phrases, and rows are added up in two steps, so that no group has
+    more than a part of the tasks' rows.
+    """
     spark = texts.sparkSession
     known = spark.sparkContext.broadcast((double_array(phrases, n_words), phrases))
     longest = max(p.shape[1] for p in phrases)
+    size = sum(len(p) for p in phrases)
+    packed = T.StructType(
+        [
+            T.StructField("pack", T.IntegerType()), T.StructField("part", T.IntegerType()),
+            T.StructField("counts", T.ArrayType(T.LongType())),
+        ]
+    )
+    out = arrow_schema(packed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, phrases = known.value
-        total = np.zeros(sum(len(p) for p in phrases), np.int64)
+        trie, _ = known.value
+        total = np.zeros(-(-size // _PACK) * _PACK, np.int64)
         for batch in batches:
             places = Places(trie, _flat(batch))
             while places.length < longest and len(places.at):
                 places.further()
                 ended = places.accepted()
                 total += np.bincount(ended[ended >= 0], minlength=len(total))
-        first = 0
-        for matrix in phrases:
-            own = total[first : first + len(matrix)]
-            first += len(matrix)
-            seen = own > 0
-            if seen.any():
-                yield _rows(matrix[seen], own[seen])
-
-    return map_batches(texts, count, _FOUND).groupBy("phrase").agg(F.sum("f").alias("f"))
+        packs = total.reshape(-1, _PACK)
+        seen = np.flatnonzero(packs.any(axis=1))
+        part = TaskContext.get().partitionId() % _PARTS
+        columns = [pa.array(seen, pa.int32()), pa.array(np.full(len(seen), part), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(packs[seen]), out.field(2).type)], schema=out)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, phrases = known.value
+        first = np.cumsum([0] + [len(p) for p in phrases])
+        for batch in batches:
+            for pack, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                numbers = pack * _PACK + np.flatnonzero(np.array(counts))
+                for matrix, low in zip(phrases, first):
+                    own = numbers[(numbers >= low) & (numbers < low + len(matrix))]
+                    if len(own):
+                        yield _rows(matrix[own - low], np.array(counts)[own - pack * _PACK])
+
+    nothing = F.array_repeat(F.lit(0).cast("bigint"), _PACK)
+    added = F.reduce(F.collect_list("counts"), nothing, lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("counts")
+    summed = map_batches(texts, count, packed).groupBy("pack", "part").agg(added).groupBy("pack").agg(added)
+    return map_batches(summed, name, _FOUND)
 
 
 def _candidates(

@@ -1,18 +1,21 @@
 """Quality rules: counts of each text, and the perplexity of its characters.
 
-The model of a language is a modified Kneser-Ney trigram model of characters. Spark counts the
-trigrams of all texts of the language; code points are folded to ``SYMBOLS`` symbols first, so a
-model has at most ``SYMBOLS`` cubed trigrams however much text there is. It is kept as sorted arrays of
-n-gram hashes with their log probabilities and back-off weights, which go to the executors as a
-broadcast of at most ``MAX_LANGUAGES`` such models.
-
-A text's perplexity is that of its median window of about ``WINDOW_POINTS`` code points, so a passage
-in another language, an address or a licence line does not condemn a clean text. The bands of a
-language lie ``SPREAD`` interquartile ranges around the median of its documents' log perplexity, and
-``NOISE`` over the root of a text's length further out, as short texts vary more; texts above or below
-are rejected.
-
-Both passes are one scan each; what is shuffled are trigram counts, a table for each task.
+The model of a language is a modified Kneser-Ney trigram model of its code points, none of them folded, so it
+grows with the corpus and tells letters of every script apart. Spark counts the trigrams of all texts;
+discounts, continuation counts and the interpolation with shorter n-grams are aggregates and joins over the
+distinct trigrams. A language's model is kept as arrays sorted by hash (a bijection of three code points, so
+nothing collides) with the log probabilities of its trigrams. There is one for every language, however
+many there are. The arrays are broadcast in shards of at most ``SHARD_ENTRIES`` trigrams; where there are more, the
+texts are read once for each shard, and what the shards say of a window is added up.
+
+A text is judged by its windows of about ``WINDOW_POINTS`` code points: by its median one, so that a passage in
+another language, an address or a licence line does not condemn a clean text, and by its lower quartile, so that
+one of which more than a quarter is junk does not pass. The bands of a language come from the distinct texts
+that pass the base rules, so neither copies nor a source of failing texts move them: ``SPREAD`` (for the lower
+quartile ``LOW_SPREAD``, downwards only) interquartile ranges around the median, and ``NOISE`` over the root of a
+text's length further out, as short texts vary more; texts above or below are rejected.
+
+Texts are not shuffled, but for the few columns a verdict needs; trigram counts are summed in tasks first.
 """
 
 from __future__ import annotations
@@ -22,50 +25,36 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossbasket.llm import wordhash
 from crossbasket.llm.batches import arrow_schema, map_batches, pieces
-from crossbasket.llm.shared import written
+from crossbasket.llm.shared import broadcast_if, written
 
-SYMBOLS = 96
-MAX_LANGUAGES = 64
 WINDOW_POINTS = 100
 SPREAD = 1.0
+LOW_SPREAD = 2.0
 NOISE = 2.0
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 REPEAT_WIDTH = 5
-_OTHER = ""  # languages beyond the largest, and none
+SHARD_ENTRIES = 1 << 21
+UNSEEN = -20.0  # the log probability of a trigram that the model does not hold
+_NO_LANGUAGE = ""  # texts without a language
+_BROADCAST_ROWS = 200_000
+_HELD = 1 << 20  # different trigrams a task holds before it passes them on
+_BITS = 21  # of a symbol: a code point plus one, or 0 for white space and the edge of a text
+_TABLE = 1 << 22  # cells of a table of trigrams of a piece's own symbols; with more symbols they are sorted
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"#*$%&|<>")] = True
 _SPACES = wordhash._SPACE
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
-
-
-def _symbol_table() -> np.ndarray:
-    """0 is white space and the edge of a text, 1-26 letters, 27 digits, 28-59 ASCII marks, 60 controls,
-    61-94 other code points below 2000 hex by remainder (their case folded in Latin), 95 all others."""
-    table = np.full(0x110000, SYMBOLS - 1, np.uint8)
-    points = np.arange(0x2000)
-    points[0xC0:0xDF] += 0x20
-    even = np.arange(0x100, 0x180, 2)
-    points[even] += 1
-    table[:0x2000] = 61 + points % 34
-    table[:0x80] = 60
-    for first in (0x41, 0x61):
-        table[first : first + 26] = np.arange(1, 27)
-    table[0x30:0x3A] = 27
-    marks = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
-    table[marks] = 28 + np.arange(len(marks))
-    table[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]] = 0
-    return table
-
-
-_FOLDED = _symbol_table()
+_WHITE = np.zeros(0x3002, bool)
+_WHITE[[*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x2028, 0x2029, 0x3000]] = True
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -124,173 +113,213 @@ def text_counts(text: wordhash.Text) -> Counts:
     return Counts(n_words, word_chars, n_symbols, n_dup_lines, n_repeat)
 
 
-def trigrams(text: wordhash.Text) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all character trigrams, one a code point and one for the end of each text, and where texts start."""
+class Trigrams(NamedTuple):
+    """All trigrams of some texts, one a code point and one for the end of each text."""
+
+    codes: np.ndarray  # of the numbers of the three symbols in ``symbols``
+    symbols: np.ndarray
+    starts: np.ndarray  # where each text's begin
+
+    def distinct(self, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different trigrams, spelled, which of them each one is, and their counts."""
+        codes, size = self.codes[rows], len(self.symbols)
+        if size**3 <= _TABLE:
+            counts = np.bincount(codes, minlength=size**3)
+            met = np.flatnonzero(counts)
+            place = np.zeros(size**3, np.int64)
+            place[met] = np.arange(len(met))
+            which, counts = place[codes], counts[met]
+        else:
+            met, which, counts = np.unique(codes, return_inverse=True, return_counts=True)
+        spelled = self.symbols[met // size**2] << 2 * _BITS | self.symbols[met // size % size] << _BITS
+        return spelled | self.symbols[met % size], which, counts
+
+
+def trigrams(text: wordhash.Text) -> Trigrams:
     data, offsets = text
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.int64)
     starts = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=starts[1:])
     starts = starts[offsets]
     # two edges stand before each text; the first of the next text's is the end of this one
     n = len(offsets) - 1
-    symbols = np.zeros(len(points) + 2 * n + 1, np.int32)
+    symbols = np.zeros(len(points) + 2 * n + 1, np.int64)
     owner = np.repeat(np.arange(n), np.diff(starts))
-    symbols[np.arange(len(points)) + 2 * owner + 2] = _FOLDED[points]
-    codes = (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
+    symbols[np.arange(len(points)) + 2 * owner + 2] = np.where(_WHITE[np.minimum(points, 0x3001)], 0, points + 1)
+    met = np.zeros(0x110001, bool)
+    met[symbols] = True
+    number = (np.cumsum(met) - 1)[symbols]
+    size = int(met.sum())
+    codes = (number[:-2] * size + number[1:-1]) * size + number[2:]
     # the trigram over both edges belongs to no text
     keep = np.ones(len(codes), bool)
     first = starts[:-1] + 2 * np.arange(n)
     keep[first[1:] - 1] = False
-    return codes[keep], starts + np.arange(n + 1)
-
-
-class Model(NamedTuple):
-    hashes: np.ndarray  # sorted; n-grams of all orders
-    log_p: np.ndarray
-    log_backoff: np.ndarray  # of the n-gram as a context
-
-
-def _gram_hash(codes: np.ndarray, order: int) -> np.ndarray:
-    return wordhash.mix(codes.astype(np.uint64) * np.uint64(4) + np.uint64(order))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and above."""
-    n = [np.count_nonzero(counts == i) for i in range(1, 5)]
-    if min(n) == 0:  # too few to estimate from
-        return np.array([0.0, 0.5, 0.5, 0.5])
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [0.0] + [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
-    return np.array([0.0, *(min(max(x, 0.05), float(i) - 0.05) for i, x in enumerate(d[1:], 1))])
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> Model:
-    """The interpolated model of the trigrams ``codes`` with their ``counts``."""
-    s = SYMBOLS
-
-    def level(grams: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of ``grams`` given those of their endings; contexts and their back-off."""
-        d = _discounts(n)
-        contexts, at = np.unique(grams // s, return_inverse=True)
-        total = np.bincount(at, n)
-        cut = d[np.minimum(n, 3)]
-        weight = np.bincount(at, cut) / total
-        return (n - cut) / total[at] + weight[at] * lower, contexts, weight
-
-    pairs, n_pairs = np.unique(codes % (s * s), return_counts=True)
-    singles, n_singles = np.unique(pairs % s, return_counts=True)
-    p1, _, w0 = level(singles, n_singles, np.full(len(singles), 1 / s))
-    uniform = np.full(s, w0[0] / s if len(w0) else 1 / s)
-    uniform[singles] = p1
-    p2, single_contexts, w1 = level(pairs, n_pairs, uniform[pairs % s])
-    p3, pair_contexts, w2 = level(codes, counts, p2[np.searchsorted(pairs, codes % (s * s))])
-
-    every = [(np.arange(s), 1, uniform), (pairs, 2, p2), (codes, 3, p3)]
-    weights = {1: (single_contexts, w1), 2: (pair_contexts, w2)}
-    hashes, log_p, log_backoff = [], [], []
-    for grams, order, p in every:
-        backoff = np.ones(len(grams))
-        if order in weights:
-            contexts, w = weights[order]
-            known = np.isin(grams, contexts)
-            backoff[known] = w[np.searchsorted(contexts, grams[known])]
-            # a context that is no n-gram itself: the edge pair at the start of texts
-            extra = np.setdiff1d(contexts, grams)
-            hashes.append(_gram_hash(extra, order))
-            log_p.append(np.full(len(extra), -np.inf))
-            log_backoff.append(np.log(w[np.searchsorted(contexts, extra)]))
-        hashes.append(_gram_hash(grams, order))
-        log_p.append(np.log(p))
-        log_backoff.append(np.log(backoff))
-    joined = np.concatenate(hashes)
-    order = np.argsort(joined)
-    return Model(
-        joined[order], np.concatenate(log_p)[order].astype(np.float32), np.concatenate(log_backoff)[order].astype(np.float32)
-    )
-
-
-def log_probabilities(model: Model, codes: np.ndarray) -> np.ndarray:
-    """Of each trigram's last symbol after its first two, backing off where the trigram is unknown."""
-
-    def find(grams: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        wanted = _gram_hash(grams, order)
-        at = np.minimum(np.searchsorted(model.hashes, wanted), len(model.hashes) - 1)
-        return at, model.hashes[at] == wanted
-
-    s = SYMBOLS
-    out = np.zeros(len(codes), np.float64)
-    rest, grams = np.arange(len(codes)), codes
-    for order in (3, 2, 1):
-        at, known = find(grams, order)
-        known &= model.log_p[at] > -np.inf
-        out[rest[known]] += model.log_p[at[known]]
-        rest, grams = rest[~known], grams[~known]
-        if not len(rest) or order == 1:
-            break
-        at, known = find(grams // s, order - 1)
-        out[rest[known]] += model.log_backoff[at[known]]
-        grams = grams % (s ** (order - 1))
-    return out
+    return Trigrams(codes[keep], np.flatnonzero(met), starts + np.arange(n + 1))
 
 
-def window_median(log_p: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The median over a text's windows of the mean in the window; windows of a text are about equal."""
-    sizes = np.diff(starts)
-    n = np.maximum(1, sizes // WINDOW_POINTS)
-    owner = np.repeat(np.arange(len(n)), n)
-    first = np.cumsum(n) - n
-    rank = np.arange(len(owner)) - first[owner]
-    low = starts[owner] + sizes[owner] * rank // n[owner]
-    high = starts[owner] + sizes[owner] * (rank + 1) // n[owner]
-    sums = np.zeros(len(log_p) + 1)
-    np.cumsum(log_p, out=sums[1:])
-    means = (sums[high] - sums[low]) / (high - low)
-    means = means[np.lexsort((means, owner))]
-    return (means[first + (n - 1) // 2] + means[first + n // 2]) / 2
+def gram_hash(spelled: np.ndarray) -> np.ndarray:
+    return wordhash.mix(spelled.astype(np.uint64)).view(np.int64)
 
 
-def _languages(column: pa.Array, known: set[str]) -> list[str]:
-    return [x if x in known else _OTHER for x in column.to_pylist()]
+def _texts_columns() -> list[Column]:
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(_NO_LANGUAGE)).alias("lang")
+    return [F.col("text").cast("string").alias("text"), lang]
 
 
-def _trigram_counts(documents: DataFrame, known: set[str]) -> DataFrame:
-    """``lang``, ``code`` and ``n`` over all texts."""
+def trigram_counts(documents: DataFrame) -> DataFrame:
+    """``lang``, ``gram`` (three symbols in one number) and ``n`` over all texts."""
     schema = T.StructType(
-        [T.StructField("lang", T.StringType()), T.StructField("code", T.IntegerType()), T.StructField("n", T.LongType())]
+        [T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())]
     )
     out = arrow_schema(schema)
 
+    def rows(lang: str, grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(grams), np.int64)))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(grams, pa.int64()), pa.array(counts, pa.int64())], schema=out)
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        grams, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        return grams, np.bincount(which, np.concatenate([n for _, n in parts])).astype(np.int64)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             for piece in pieces(batch):
-                codes, starts = trigrams(wordhash.text_bytes(piece.column(0)))
-                langs = np.array(_languages(piece.column(1), known), object)
-                for lang in set(langs.tolist()):
-                    rows = np.repeat(langs == lang, np.diff(starts))
-                    table = tables.setdefault(lang, np.zeros(SYMBOLS**3, np.int64))
-                    table += np.bincount(codes[rows], minlength=len(table))
-        for lang, table in tables.items():
-            at = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], schema=out
-            )
-
-    partial = map_batches(documents.select("text", "lang"), count, schema)
-    return partial.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def language_models(documents: DataFrame, max_languages: int = MAX_LANGUAGES) -> dict[str, Model]:
-    """A model for each of the largest languages and one, under "", for all other texts."""
-    sizes = documents.filter("lang is not null").groupBy("lang").count()
-    largest = sizes.orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    known = {row["lang"] for row in largest}
-    counted = _trigram_counts(documents, known).toPandas()
-    models = {}
-    for lang, rows in counted.groupby("lang"):
-        order = np.argsort(rows["code"].to_numpy())
-        models[lang] = kneser_ney(rows["code"].to_numpy()[order].astype(np.int64), rows["n"].to_numpy()[order])
-    return models
+                found = trigrams(wordhash.text_bytes(piece.column(0)))
+                for lang, own in _by_language(piece.column(1), found.starts):
+                    grams, _, counts = found.distinct(own)
+                    held.setdefault(lang, []).append((grams, counts))
+                    size += len(grams)
+                if size > 2 * _HELD:
+                    held = {lang: [merged(parts)] for lang, parts in held.items()}
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                if size > _HELD:
+                    yield from (rows(lang, *merged(parts)) for lang, parts in held.items())
+                    held, size = {}, 0
+        yield from (rows(lang, *merged(parts)) for lang, parts in held.items())
+
+    return map_batches(documents.select(*_texts_columns()), count, schema).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _by_language(column: pa.Array, starts: np.ndarray) -> Iterator[tuple[str, np.ndarray | slice]]:
+    """The languages of a piece's texts and which trigrams are theirs."""
+    coded = column.dictionary_encode()
+    names, number = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    if len(names) == 1:
+        yield names[0], slice(None)
+        return
+    owner = np.repeat(number, np.diff(starts))
+    for i, name in enumerate(names):
+        yield name, np.flatnonzero(owner == i)
+
+
+def _discounts(grams: DataFrame) -> DataFrame:
+    """``lang`` and the modified Kneser-Ney discounts ``d`` for counts 1, 2 and above."""
+    n = [F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)]
+    counted = grams.groupBy("lang").agg(*n)
+    few = F.least("n1", "n2", "n3", "n4") == 0  # too few to estimate from
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = []
+    for i in (1, 2, 3):
+        estimate = i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
+        d.append(F.when(few, 0.5).otherwise(F.least(F.greatest(estimate, F.lit(0.05)), F.lit(i - 0.05))))
+    return counted.select("lang", F.array(*d).alias("d"))
+
+
+def _interpolated(grams: DataFrame, context: Column, ending: Column, lower: DataFrame) -> DataFrame:
+    """``lang``, ``gram`` and probability ``p``, given that of their endings (``lang``, ``ending``, ``p_lower``)."""
+    cut = F.col("d")[F.least(F.col("n"), F.lit(3)).cast("int") - 1]
+    placed = grams.join(_discounts(grams), "lang").select(
+        "lang", "gram", "n", cut.alias("cut"), context.alias("context"), ending.alias("ending")
+    )
+    contexts = placed.groupBy("lang", "context").agg(
+        F.sum("n").cast("double").alias("total"), F.sum("cut").alias("taken")
+    )
+    joined = placed.join(contexts, ["lang", "context"]).join(lower, ["lang", "ending"])
+    p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("taken") / F.col("total") * F.col("p_lower")
+    return joined.select("lang", "gram", p.alias("p"))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """``lang``, ``gram`` and its interpolated probability ``p`` after its first two symbols, from
+    ``counts`` (``lang``, ``gram``, ``n``; written)."""
+
+    def last(symbols: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << symbols * _BITS) - 1))
+
+    def first() -> Column:
+        return F.shiftright("gram", _BITS)
+
+    def continued(grams: DataFrame, symbols: int) -> DataFrame:
+        # how many different symbols stand before it
+        return grams.groupBy("lang", last(symbols).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+
+    pairs = continued(counts, 2)
+    singles = continued(pairs, 1)
+    uniform = singles.groupBy("lang").agg((1 / F.count(F.lit(1))).alias("p_lower")).withColumn("ending", F.lit(0))
+    nothing = F.lit(0)
+    p = _interpolated(singles, nothing, nothing, uniform)
+    for grams, symbols in ((pairs, 1), (counts, 2)):
+        lower = p.select("lang", F.col("gram").alias("ending"), F.col("p").alias("p_lower"))
+        p = _interpolated(grams, first(), last(symbols), lower)
+    return p
+
+
+Model = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def language_models(documents: DataFrame) -> DataFrame:
+    """``lang``, ``gram``, ``p`` of all trigrams of every language, written."""
+    counts = written(trigram_counts(documents), "trigrams")
+    return written(kneser_ney(counts), "models")
+
+
+def _arrays(rows: DataFrame) -> Model:
+    """Models as arrays: hashes, sorted, and log probabilities."""
+    table = rows.select("lang", "gram", "p").toArrow().combine_chunks()
+    if not len(table):
+        return {}
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    number = coded.indices.to_numpy()
+    hashes, log_p = gram_hash(table.column("gram").to_numpy()), np.log(table.column("p").to_numpy()).astype(np.float32)
+    out = {}
+    for i, lang in enumerate(coded.dictionary.to_pylist()):
+        own = np.flatnonzero(number == i)
+        own = own[np.argsort(hashes[own])]
+        out[lang] = hashes[own], log_p[own]
+    return out
+
+
+def log_probabilities(model: tuple[np.ndarray, np.ndarray], spelled: np.ndarray, shards: int = 1, shard: int = 0) -> np.ndarray:
+    """Of trigrams; 0 for those of other shards."""
+    hashes, log_p = model
+    out = np.where(spelled % shards == shard, UNSEEN, 0.0)
+    if len(hashes):
+        wanted = gram_hash(spelled)
+        at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+        known = hashes[at] == wanted
+        out[known] = log_p[at[known]]
+    return out
+
+
+def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts whose trigrams begin at ``starts``: first and end of their windows, about equal, and windows by text."""
+    sizes = np.diff(starts)
+    n = np.maximum(1, sizes // WINDOW_POINTS)
+    owner = np.repeat(np.arange(len(n)), n)
+    rank = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    low = starts[owner] + sizes[owner] * rank // n[owner]
+    high = starts[owner] + sizes[owner] * (rank + 1) // n[owner]
+    return low, high, n
+
+
+def window_quantiles(means: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The median and the lower quartile of each text's windows."""
+    first = np.cumsum(n) - n
+    means = means[np.lexsort((means, np.repeat(np.arange(len(n)), n)))]
+    return (means[first + (n - 1) // 2] + means[first + n // 2]) / 2, means[first + n // 4]
 
 
 _RESULT = [
@@ -299,74 +328,130 @@ _RESULT = [
     ("n_symbols", T.LongType(), pa.int64()),
     ("n_dup_lines", T.LongType(), pa.int64()),
     ("n_repeat_words", T.LongType(), pa.int64()),
-    ("model", T.StringType(), pa.string()),
+    ("lang", T.StringType(), pa.string()),
     ("n_points", T.LongType(), pa.int64()),
     ("log_p", T.DoubleType(), pa.float64()),
+    ("low_log_p", T.DoubleType(), pa.float64()),
 ]
 
 
-def measure(documents: DataFrame, carry: tuple[str, ...] = ("doc_id",), max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """The columns ``carry`` and a struct ``quality`` of each row's counts and log probability."""
-    text, lang = F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
-    models = language_models(documents.select(text, lang), max_languages)
-    shared = documents.sparkSession.sparkContext.broadcast(models)
+def measure(
+    documents: DataFrame, models: DataFrame, carry: tuple[str, ...] = ("doc_id",), shard_entries: int = SHARD_ENTRIES
+) -> DataFrame:
+    """A struct ``quality`` of each row's counts and log probabilities, and in the struct ``row`` the columns ``carry``."""
+    spark = documents.sparkSession
+    shards = max(1, -(-models.count() // shard_entries))
     fields = T.StructType([T.StructField(name, kind) for name, kind, _ in _RESULT])
-    carried = [documents.schema[name] for name in carry]
-    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(carried)] + [T.StructField("quality", fields)])
-    out = arrow_schema(schema)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        scratch = np.zeros(SYMBOLS**3)
-        for batch in batches:
-            for piece in pieces(batch, "text"):
-                column = piece.column(piece.num_columns - 2)
-                bytes_ = wordhash.text_bytes(column)
-                codes, starts = trigrams(bytes_)
-                langs = np.array(_languages(piece.column(piece.num_columns - 1), set(models)), object)
-                log_p = np.zeros(len(codes))
-                for lang in set(langs.tolist()):
-                    rows = np.repeat(langs == lang, np.diff(starts))
-                    own = codes[rows]
-                    met = np.flatnonzero(np.bincount(own, minlength=len(scratch)))
-                    scratch[met] = log_probabilities(models[lang], met)
-                    log_p[rows] = scratch[own]
-                values = [*text_counts(bytes_), langs.tolist(), np.diff(starts), window_median(log_p, starts)]
-                arrays = [pa.array(v, kind) for v, (_, _, kind) in zip(values, _RESULT)]
-                result = pa.StructArray.from_arrays(arrays, fields=list(out.field("quality").type))
-                yield pa.RecordBatch.from_arrays([*piece.columns[: len(carry)], result], schema=out)
-
-    names = [F.col(f"`{name}`").alias(f"c{i}") for i, name in enumerate(carry)]
-    scored = map_batches(documents.select(*names, text, lang), score, schema)
-    return scored.toDF(*carry, "quality")
+    names = [f"c{i}" for i in range(len(carry))]
+    rows = documents.select(*[F.col(f"`{name}`").alias(new) for name, new in zip(carry, names)], *_texts_columns())
+    sums = T.StructField("sums", T.ArrayType(T.DoubleType()))
+    carried = T.StructType([*rows.schema.fields, sums])
+    judged_ = T.StructType([*rows.schema.fields[: len(carry)], T.StructField("quality", fields)])
+    for shard in range(shards):
+        own = models if shards == 1 else models.filter(F.pmod("gram", F.lit(shards)) == shard)
+        known = spark.sparkContext.broadcast(_arrays(own))
+        last = shard == shards - 1
+        schema = judged_ if last else carried
+        out = arrow_schema(schema)
+
+        def score(
+            batches: Iterator[pa.RecordBatch], shard=shard, known=known, last=last, out=out
+        ) -> Iterator[pa.RecordBatch]:
+            nothing = np.empty(0, np.int64), np.empty(0, np.float32)
+            for batch in batches:
+                for piece in pieces(batch, "text"):
+                    column, langs = piece.column("text"), piece.column("lang")
+                    bytes_ = wordhash.text_bytes(column)
+                    found = trigrams(bytes_)
+                    log_p = np.zeros(len(found.codes))
+                    for lang, rows_ in _by_language(langs, found.starts):
+                        grams, which, _ = found.distinct(rows_)
+                        log_p[rows_] = log_probabilities(known.value.get(lang, nothing), grams, shards, shard)[which]
+                    total = np.concatenate([[0.0], np.cumsum(log_p)])
+                    low, high, n = windows(found.starts)
+                    sums = total[high] - total[low]
+                    if shard:
+                        sums += pa.compute.list_flatten(piece.column("sums")).to_numpy(zero_copy_only=False)
+                    if last:
+                        median, quartile = window_quantiles(sums / (high - low), n)
+                        values = [*text_counts(bytes_), langs, np.diff(found.starts), median, quartile]
+                        arrays = [v if isinstance(v, pa.Array) else pa.array(v, kind) for v, (_, _, kind) in zip(values, _RESULT)]
+                        result = pa.StructArray.from_arrays(arrays, fields=list(out.field("quality").type))
+                        yield pa.RecordBatch.from_arrays([*piece.columns[: len(carry)], result], schema=out)
+                    else:
+                        ends = np.cumsum(n).astype(np.int32)
+                        parts = pa.ListArray.from_arrays(np.append(np.int32(0), ends), pa.array(sums))
+                        columns = piece.columns if not shard else piece.columns[:-1]
+                        yield pa.RecordBatch.from_arrays([*columns, parts.cast(out.field("sums").type)], schema=out)
+
+        rows = map_batches(rows, score, schema)
+        if not last:
+            rows = written(rows, "windows")
+    packed = F.struct(*[F.col(new).alias(name) for name, new in zip(carry, names)]) if carry else F.lit(None)
+    return rows.select(packed.alias("row"), "quality")
+
+
+def _failed(q: Column) -> Column:
+    return (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
 
 
 def bands(measured: DataFrame) -> DataFrame:
-    """Quartiles of the documents' log probability by model."""
-    q = F.percentile_approx("quality.log_p", [0.25, 0.5, 0.75], 10_000)
-    return measured.groupBy(F.col("quality.model").alias("_model")).agg(q.alias("_q"))
+    """Quartiles by language of the log probabilities of the distinct texts that pass the base rules.
+
+    ``measured`` (written) has the struct ``quality`` and a 64-bit ``print`` of the text.
+    """
+    q = F.col("quality")
+    texts = measured.filter(~_failed(q)).groupBy(q["lang"].alias("_lang"), "print").agg(
+        F.min(q["log_p"]).alias("log_p"), F.min(q["low_log_p"]).alias("low")
+    )
+    at = [0.25, 0.5, 0.75]
+    quartiles = [F.percentile_approx(name, at, 10_000).alias(alias) for name, alias in (("log_p", "_q"), ("low", "_low"))]
+    return texts.groupBy("_lang").agg(*quartiles)
+
+
+def judged(measured: DataFrame, limits: DataFrame, spread: float = SPREAD, low_spread: float = LOW_SPREAD, noise: float = NOISE) -> DataFrame:
+    """``measured`` with ``base_failed``, ``perplexity`` and ``kept`` in the struct; ``limits`` (written) are its ``bands``.
+
+    Without any text of a language that passes the base rules there is no band, and none of its texts is kept.
+    """
+    q, quartiles, low = F.col("quality"), F.col("_q"), F.col("_low")
+    more = noise / F.sqrt(q["n_points"].cast("double"))
+    inside = F.abs(q["log_p"] - quartiles[1]) <= spread * (quartiles[2] - quartiles[0]) + more
+    inside = inside & (q["low_log_p"] >= low[1] - low_spread * (low[2] - low[0]) - 2 * more)
+    joined = measured.join(broadcast_if(limits, limits.count(), _BROADCAST_ROWS), q["lang"] == F.col("_lang"), "left")
+    kept = ~_failed(q) & F.coalesce(inside, F.lit(False))
+    with_verdict = q.withField("base_failed", _failed(q)).withField("perplexity", F.exp(-q["log_p"])).withField("kept", kept)
+    return joined.select(*[name for name in measured.columns if name != "quality"], with_verdict.alias("quality"))
 
 
-def judged(measured: DataFrame, spread: float = SPREAD, noise: float = NOISE) -> DataFrame:
-    """``measured`` (written) with ``base_failed``, ``perplexity`` and ``kept`` in the struct."""
-    q, quartiles = F.col("quality"), F.col("_q")
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
-    width = spread * (quartiles[2] - quartiles[0]) + noise / F.sqrt(q["n_points"].cast("double"))
-    inside = F.abs(q["log_p"] - quartiles[1]) <= width
-    # at most one row for each of MAX_LANGUAGES languages and one for the others
-    joined = measured.join(F.broadcast(bands(measured)), q["model"] == F.col("_model"))
-    more = q.withField("base_failed", failed).withField("perplexity", F.exp(-q["log_p"])).withField("kept", ~failed & inside)
-    return joined.select(*[name for name in measured.columns if name != "quality"], more.alias("quality"))
+def _printed(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", "text", "lang", F.xxhash64(F.col("text").cast("string")).alias("print"))
+
+
+def _measured(documents: DataFrame, models: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    rows = measure(_printed(documents), models, (*carry, "print"))
+    return written(rows.select(*[F.col(f"row.{name}") for name in (*carry, "print")], "quality"), "quality")
+
+
+def kept_rows(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that the rules keep, with all their columns as they are.
+
+    The bands are taken in a pass of its own, so that texts are never written beside their verdicts.
+    """
+    models = language_models(documents)
+    limits = written(bands(_measured(documents, models, ())), "bands")
+    rows = judged(measure(documents, models, tuple(documents.columns)), limits)
+    return rows.filter("quality.kept").select("row.*")
 
 
 def report(documents: DataFrame) -> DataFrame:
     """The counts and the verdict of each row.
 
-    A null text is an empty one: no words, so it fails the base rules. A null language, or one
-    beyond the ``MAX_LANGUAGES`` most frequent, is judged by the model of all such texts.
-    Repeated rows give repeated results; other columns are ignored; an empty table gives an
-    empty result.
+    A null text is an empty one: no words, so it fails the base rules. Texts of a null language have a model of
+    their own, as those of an empty one. Repeated rows give repeated results; other columns are ignored; an empty
+    table gives an empty result.
     """
-    result = judged(written(measure(documents), "quality"))
+    measured = _measured(documents, language_models(documents), ("doc_id",))
+    result = judged(measured, written(bands(measured), "bands"))
     names = [name for name, _, _ in _RESULT[:5]]
     return result.select("doc_id", *[F.col(f"quality.{n}") for n in [*names, "base_failed", "kept", "perplexity"]])

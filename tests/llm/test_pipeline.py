@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -50,3 +51,59 @@ def test_one_row_stays_of_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, SMALLEST).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
+def hits_benchmark(spark, folder):
+    """Whether a text holds a window of an item, in plain Python."""
+
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(FOLD))
+
+    items = [words(r["text"]) for r in table(spark, folder, "benchmark").collect()]
+    windows = {tuple(w[i : i + 10]) for w in items for i in range(max(1, len(w) - 9)) if w}
+
+    def hit(text):
+        w = words(text)
+        return any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+
+    return hit
+
+
+FOLD = {c: c + 32 for c in range(65, 91)}
+
+
+def test_stages_with_awkward_rows_and_clashing_columns(spark, awkward):
+    clashing = awkward.selectExpr(
+        "*", "1 AS _kept", "2 AS _hit", "'x' AS id", "named_struct('doc_id', 5) AS row", "5 AS `print`", "6 AS n", "'q' AS n_tokens_"
+    )
+    columns = clashing.columns
+    hit = hits_benchmark(spark, SMALLEST)
+    docs = clashing
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        docs = written(stage(spark, docs, SMALLEST), f"awkward-{number}")
+        rows = docs.collect()
+        if number < 4:
+            assert docs.columns == columns, name
+            assert all(r["_kept"] == 1 and r["row"]["doc_id"] == 5 for r in rows)
+        if number == 2:
+            gone = {r["doc_id"] for r in before if hit(r["text"])}
+            assert sorted(map(str, rows)) == sorted(str(r) for r in before if r["doc_id"] not in gone)
+        if number >= 3:
+            assert len(rows) == len(before)
+
+
+def test_each_stage_takes_all_awkward_rows(spark, awkward):
+    assert corpus_pipeline.near_duplicate_stage(spark, awkward, SMALLEST).filter("text IS NULL").count() == 2
+    redacted = corpus_pipeline.personal_stage(spark, awkward, SMALLEST)
+    assert redacted.columns == awkward.columns and redacted.count() == awkward.count()
+    assert redacted.filter("text IS NULL").count() == awkward.filter("text IS NULL").count()
+    assert corpus_pipeline.token_stage(spark, awkward, SMALLEST).count() == awkward.count()
+    assert corpus_pipeline.decontamination_stage(spark, awkward, SMALLEST).filter("text IS NULL").count() == 2
+
+
+def test_empty_tables_go_through(spark, nothing):
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, nothing, SMALLEST)
+        assert docs.collect() == []
+        assert number == 4 or docs.columns == nothing.columns

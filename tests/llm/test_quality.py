@@ -36,23 +36,108 @@ def test_counts_equal_brute_force_on_awkward_rows(awkward, nothing):
     assert quality.report(nothing).collect() == []
 
 
-def test_probabilities_add_up_to_one():
-    text = wordhash.text_bytes(pa.array(["the cat sat on the mat", "a cat, a hat", ""]))
-    codes, starts = quality.trigrams(text)
-    assert np.diff(starts).tolist() == [23, 13, 1]
-    distinct, counts = np.unique(codes, return_counts=True)
-    model = quality.kneser_ney(distinct.astype(np.int64), counts)
-    s = quality.SYMBOLS
-    for context in (0, int(distinct[7]) // s, 5 * s + 9, s * s - 1):  # an edge, a known and two unknown ones
-        p = np.exp(quality.log_probabilities(model, context * s + np.arange(s)))
-        assert p.sum() == pytest.approx(1, abs=1e-5)
-
-
-def test_window_median_ignores_a_foreign_passage():
-    usual, odd = np.full(900, -1.0), np.full(300, -9.0)
-    values = np.concatenate([usual, odd, [-2.0]])
-    got = quality.window_median(values, np.array([0, 1200, 1201]))
-    assert got.tolist() == [-1.0, -2.0]
+def plain_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney, with dictionaries."""
+    tri = Counter()
+    for text in texts:
+        x = [0, 0, *[0 if ord(c) < 0x3002 and quality._WHITE[ord(c)] else ord(c) + 1 for c in text], 0]
+        tri.update(zip(x, x[1:], x[2:]))
+    bi = Counter(g[1:] for g in tri)
+    uni = Counter(g[1:] for g in bi)
+
+    def level(grams, lower):
+        n = [sum(v == i for v in grams.values()) for i in range(1, 5)]
+        if min(n):
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i - 0.05) for i in (1, 2, 3)]
+        else:
+            d = [0.5] * 3
+        total, taken = Counter(), Counter()
+        for g, v in grams.items():
+            total[g[:-1]] += v
+            taken[g[:-1]] += d[min(v, 3) - 1]
+        return {
+            g: (v - d[min(v, 3) - 1]) / total[g[:-1]] + taken[g[:-1]] / total[g[:-1]] * lower[g[1:]] for g, v in grams.items()
+        }
+
+    return level(tri, level(bi, level(uni, {(): 1 / len(uni)})))
+
+
+def test_models_equal_plain_kneser_ney(spark):
+    rows = [("the cat sat on the mat", "en"), ("a cat, a hat\x00é", "en"), ("", "en"), (None, "en"), ("Ψδ 漢字漢 😀", "el"), ("x", None)]
+    rows += [(" ".join("abcdefgh"[i * j % 8] * (i % 3 + 1) for j in range(20)), "en") for i in range(40)]
+    documents = spark.createDataFrame(rows, "text string, lang string")
+    got = {(r["lang"], r["gram"]): r["p"] for r in quality.language_models(documents).collect()}
+    expected = {}
+    for lang in {lang for _, lang in rows}:
+        for (a, b, c), p in plain_kneser_ney([t or "" for t, x in rows if x == lang]).items():
+            expected[lang or "", a << 42 | b << 21 | c] = p
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(p, rel=1e-9) for k, p in expected.items())
+
+
+def test_shards_of_the_models_change_nothing(awkward):
+    models = quality.language_models(awkward)
+    assert models.count() > 100
+
+    def rows(entries):
+        found = quality.measure(awkward, models, ("doc_id", "label"), entries).collect()
+        return sorted(((r["row"], [round(x, 6) if isinstance(x, float) else x for x in r["quality"]]) for r in found), key=str)
+
+    assert rows(1 << 20) == rows(models.count() // 3)
+
+
+def test_quantiles_of_windows():
+    starts = np.array([0, 1200, 1201, 1501])
+    low, high, n = quality.windows(starts)
+    assert n.tolist() == [12, 1, 3] and low[0] == 0 and high[-1] == 1501 and (high[:-1] == low[1:]).all()
+    means = np.array([-1.0] * 9 + [-9.0] * 3 + [-2.0] + [-3.0, -4.0, -5.0])
+    median, quartile = quality.window_quantiles(means, n)
+    assert median.tolist() == [-1.0, -2.0, -4.0] and quartile.tolist() == [-1.0, -2.0, -5.0]
+    means[8] = -9.0  # more than a quarter is bad
+    assert quality.window_quantiles(means, n)[1][0] == -9.0
+
+
+def test_lines_made_to_collide_are_different(spark):
+    lines = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(4096)) for k in (0, 1)]
+    documents = spark.createDataFrame([(1, "\n".join(lines), "en"), (2, "\n".join(lines * 2), "en")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality.report(documents).collect()} == {1: 0, 2: 2}
+
+
+SCRIPTS = {
+    "ja": "これ は 日本 語 の 文章 です 東京 大阪 山川 天気 今日 明日 学校 先生 生徒 本を 読む 書く 話す".split(),
+    "ru": "время река камень под светом утро нести окно сад серебро дорога город человек слово".split(),
+    "el": "χρόνος ποτάμι πέτρα κάτω φως πρωί φέρω παράθυρο κήπος ασήμι δρόμος πόλη λόγος".split(),
+}
+
+
+def test_scrambled_texts_of_all_scripts_are_rejected(spark):
+    """Also where a source of junk, a third of all rows, repeats one text and fails the base rules otherwise."""
+    rng = np.random.default_rng(5)
+    rows, bad = [], set()
+
+    def clean(words):
+        return " ".join(" ".join(rng.permutation(words)) for _ in range(5))
+
+    for lang, words in SCRIPTS.items():
+        rows += [(len(rows) + i, clean(words), lang) for i in range(120)]
+        for _ in range(8):
+            bad.add(len(rows))
+            rows.append((len(rows), "".join(rng.permutation(list(clean(words)))), lang))
+        for i in range(64):
+            bad.add(len(rows))
+            rows.append((len(rows), "%$ " * 40 if i % 2 else "|# " + " ".join(str(x) for x in range(3)), lang))
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.report(documents).collect()}
+    assert not any(kept[i] for i in bad)
+    assert np.mean([v for i, v in kept.items() if i not in bad]) > 0.97
+    assert {r["doc_id"] for r in quality.kept_rows(documents).collect()} == {i for i, v in kept.items() if v}
+
+
+def test_as_many_models_as_languages(spark):
+    rows = [(i, f"{'abcdefgh'[i % 8]}x y{i % 7} " * 12, f"l{i % 70}") for i in range(140)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert quality.language_models(documents).select("lang").distinct().count() == 70
 
 
 def test_scrambled_text_is_rejected_and_clean_text_kept(spark):

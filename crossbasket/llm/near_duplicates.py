@@ -346,14 +346,20 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _hub_pairs(placed: DataFrame, number: int, percent: int) -> DataFrame:
-    """``a``, ``b``: each class of a bucket and the bucket's hub, which comes first in an order of all classes."""
+    """``a``, ``b``: each class with one of the hubs of its buckets, the one it shares most buckets with.
+
+    The hub of a bucket comes first in an order of all classes. Hubs that a class does not meet are left to later
+    rounds and to the prefixes, so a round makes no more pairs than there are classes.
+    """
     order = F.struct(F.xxhash64("class", F.lit(number)).alias("place"), "class", "n", "label")
     hubs = placed.groupBy("key").agg(F.min(order).alias("hub"))
     met = placed.join(hubs, "key").filter(
         (F.col("label") != F.col("hub.label"))
         & (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent)
     )
-    return met.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
+    shared = met.groupBy("class", F.col("hub.class").alias("hub")).agg(F.count(F.lit(1)).alias("keys"))
+    best = shared.groupBy("class").agg(F.max(F.struct("keys", "hub")).alias("best")).select("class", "best.hub")
+    return best.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
 
 
 class _Search:

@@ -7,7 +7,8 @@ with the other chain.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,10 @@ from crossbasket.functions.tiers import display_rank
 
 @dataclass(frozen=True)
 class Chain:
-    """A chain's labelled sales and members and the columns that play the roles."""
+    """A chain's labelled sales and members and the columns that play the roles.
+
+    ``orders``, if there, are the parts of the orders (``order_parts``), and ``bits`` the labels' bits in them.
+    """
 
     name: str
     sales: DataFrame
@@ -27,6 +31,8 @@ class Chain:
     order: str
     amount: str = "amt"
     qty: str = "qty"
+    orders: DataFrame | None = None
+    bits: Mapping[str, int] = field(default_factory=dict)
 
     def overlapping(self, label: str) -> DataFrame:
         return self.sales.filter(F.col(label) == 1)
@@ -51,37 +57,88 @@ def _units(chain: Chain) -> Column:
     return F.sum(chain.qty)
 
 
-def _orders(chain: Chain) -> Column:
-    return F.countDistinct(chain.order)
+def _has_bit(mask: str, bit: int) -> Column:
+    return F.col(mask).bitwiseAND(F.lit(1 << bit)) != 0
+
+
+def mask_of(conditions: Sequence[Column]) -> Column:
+    """Which of up to 63 conditions a row meets, as the bits of one number."""
+    bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(conditions)]
+    return reduce(Column.bitwiseOR, bits)
+
+
+def order_parts(
+    sales: DataFrame, order: str, conditions: Sequence[Column], amount: str = "amt", qty: str = "qty"
+) -> DataFrame:
+    """Sales lines by order and mask of the conditions they meet: ``order``, ``mask``, ``amt``, ``qty`` and
+    ``counted``: the bits in which this part stands for the order.
+
+    An order has one part, or a few if its lines differ. Each condition that any of its lines meets is counted in
+    exactly one of its parts, so the number of orders is a plain sum. Lines without an order are
+    in the amounts only.
+    """
+    masks = sales.groupBy(F.col(order).alias("order"), mask_of(conditions).alias("mask")).agg(
+        F.sum(amount).alias("amt"), F.sum(qty).alias("qty")
+    )
+    # at most one row for each combination of conditions
+    parts = masks.groupBy("order").agg(F.collect_list(F.struct("mask", "amt", "qty")).alias("parts"))
+    part = parts.select("order", F.posexplode("parts").alias("at", "part"), F.col("parts.mask").alias("masks"))
+    before = F.reduce(
+        F.slice("masks", F.lit(1), F.col("at")), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)
+    )
+    mask = F.col("part.mask")
+    counted = F.when(F.col("order").isNotNull(), mask.bitwiseAND(F.bitwise_not(before))).otherwise(F.lit(0))
+    return part.select("order", "part.mask", "part.amt", "part.qty", counted.cast("bigint").alias("counted"))
+
+
+def order_totals(parts: DataFrame, cases: Mapping[str, int]) -> DataFrame:
+    """``name``, ``amt``, ``qty`` and ``orders`` of each case, a bit in the masks of ``parts``; one scan, plain sums."""
+    sums = []
+    for i, bit in enumerate(cases.values()):
+        met = _has_bit("mask", bit)
+        sums += [F.sum(F.when(met, F.col(name))).alias(f"{name}_{i}") for name in ("amt", "qty")]
+        sums.append(F.coalesce(F.sum(F.when(_has_bit("counted", bit), 1)), F.lit(0)).alias(f"orders_{i}"))
+    entries = [
+        F.struct(F.lit(name).alias("name"), *[F.col(f"{k}_{i}").alias(k) for k in ("amt", "qty", "orders")])
+        for i, name in enumerate(cases)
+    ]
+    return parts.agg(*sums).select(F.inline(F.array(*entries)))
+
+
+def totals(chain: Chain, label: str) -> DataFrame:
+    """``amt``, ``qty`` and ``orders`` of the overlapping customers, in one row."""
+    if chain.orders is not None:
+        return order_totals(chain.orders, {label: chain.bits[label]}).drop("name")
+    return chain.overlapping(label).agg(
+        _amount(chain).alias("amt"), _units(chain).alias("qty"), F.countDistinct(chain.order).alias("orders")
+    )
 
 
 def aov(chain: Chain, label: str) -> DataFrame:
     """Average order value."""
-    value = ratio(_amount(chain), _orders(chain))
-    return chain.overlapping(label).agg(value.alias("aov"))
+    return totals(chain, label).select(ratio(F.col("amt"), F.col("orders")).alias("aov"))
 
 
 def upt(chain: Chain, label: str) -> DataFrame:
     """Units per transaction."""
-    return chain.overlapping(label).agg(ratio(_units(chain), _orders(chain)).alias("upt"))
+    return totals(chain, label).select(ratio(F.col("qty"), F.col("orders")).alias("upt"))
 
 
 def avg_price_point(chain: Chain, label: str) -> DataFrame:
     """Amount per unit."""
-    value = ratio(_amount(chain), _units(chain))
-    return chain.overlapping(label).agg(value.alias("avg_price_point"))
+    return totals(chain, label).select(ratio(F.col("amt"), F.col("qty")).alias("avg_price_point"))
 
 
 def avg_trans_per_cust(chain: Chain, label: str, n_customers: DataFrame) -> DataFrame:
     """Transactions per unique overlapping customer; ``n_customers`` is a single value."""
-    orders = chain.overlapping(label).agg(_orders(chain).alias("n"))
-    return orders.select(ratio(F.col("n"), n_customers.scalar()).alias("avg_trans_per_cust"))
+    per_customer = ratio(F.col("orders"), n_customers.scalar())
+    return totals(chain, label).select(per_customer.alias("avg_trans_per_cust"))
 
 
 def avg_spend_per_cust(chain: Chain, label: str, n_customers: DataFrame) -> DataFrame:
     """Amount per unique overlapping customer; ``n_customers`` is a single value."""
-    spend = chain.overlapping(label).agg(_amount(chain).alias("amt"))
-    return spend.select(ratio(F.col("amt"), n_customers.scalar()).alias("avg_spend_per_cust"))
+    per_customer = ratio(F.col("amt"), n_customers.scalar())
+    return totals(chain, label).select(per_customer.alias("avg_spend_per_cust"))
 
 
 # The figures of ``sales_behavior``, in display order.
@@ -90,27 +147,6 @@ BEHAVIOR_METRICS = [
 ]
 
 
-def totals_if(df: DataFrame, chain: Chain, conditions: Mapping[str, Column]) -> DataFrame:
-    """Amount, units and number of orders of the lines that meet each condition: ``name``, ``amt``,
-    ``qty``, ``orders``. One scan and one shuffle of one row per order, whatever the number."""
-    cases = list(conditions.items())
-    per_order = df.groupBy(chain.order).agg(
-        *[F.sum(F.when(c, F.col(chain.amount))).alias(f"amt_{i}") for i, (_, c) in enumerate(cases)],
-        *[F.sum(F.when(c, F.col(chain.qty))).alias(f"qty_{i}") for i, (_, c) in enumerate(cases)],
-        *[F.max(F.coalesce(c, F.lit(False))).alias(f"met_{i}") for i, (_, c) in enumerate(cases)],
-    )
-    known = F.col(chain.order).isNotNull()
-    one_row = per_order.agg(
-        *[F.sum(f"{kind}_{i}").alias(f"{kind}_{i}") for kind in ("amt", "qty") for i in range(len(cases))],
-        *[F.count(F.when(known & F.col(f"met_{i}"), 1)).alias(f"orders_{i}") for i in range(len(cases))],
-    )
-    entries = [
-        F.struct(F.lit(name).alias("name"), *[F.col(f"{k}_{i}").alias(k) for k in ("amt", "qty", "orders")])
-        for i, (name, _) in enumerate(cases)
-    ]
-    return one_row.select(F.inline(F.array(*entries)))
-
-
 def behavior_metrics(totals: DataFrame) -> DataFrame:
     """The six sales figures of rows (``pair``, ``side``, ``amt``, ``qty``, ``orders``, ``n``), in long form."""
     amt, qty, orders, n = (F.col(c) for c in ("amt", "qty", "orders", "n"))
@@ -127,11 +163,9 @@ def behavior_metrics(totals: DataFrame) -> DataFrame:
 
 
 def _behavior(chain: Chain, label: str, n_customers: DataFrame, pair: str) -> DataFrame:
-    totals = chain.overlapping(label).agg(
-        _amount(chain).alias("amt"), _units(chain).alias("qty"), _orders(chain).alias("orders")
-    ).withColumn("n", n_customers.scalar())
+    sums = totals(chain, label).withColumn("n", n_customers.scalar())
     return behavior_metrics(
-        totals.withColumns({"pair": F.lit(pair), "side": F.lit(chain.name)})
+        sums.withColumns({"pair": F.lit(pair), "side": F.lit(chain.name)})
     )
 
 
@@ -161,6 +195,33 @@ def count_keys_if(df: DataFrame, key: str, conditions: Mapping[str, Column]) ->
     )
 
 
+def count_keys_by_mask(df: DataFrame, key: str, conditions: Mapping[str, Column]) -> DataFrame:
+    """As ``count_keys_if`` for up to 63 conditions, as rows ``name``, ``n``.
+
+    A key's rows are combined into one number, and keys are counted by it before conditions are told apart.
+    """
+    per_key = df.groupBy(key).agg(F.bit_or(mask_of(list(conditions.values()))).alias("mask"))
+    masks = per_key.groupBy("mask").agg(F.count(F.lit(1)).alias("keys"))
+    counts = [
+        F.coalesce(F.sum(F.when(_has_bit("mask", i), F.col("keys"))), F.lit(0)).alias(f"n_{i}") for i in range(len(conditions))
+    ]
+    entries = [F.struct(F.lit(name).alias("name"), F.col(f"n_{i}").alias("n")) for i, name in enumerate(conditions)]
+    return masks.agg(*counts).select(F.inline(F.array(*entries)))
+
+
+def sums_by_mask(
+    df: DataFrame, dim: str, conditions: Mapping[str, Column], amount: str = "amt", qty: str = "qty"
+) -> DataFrame:
+    """``name``, ``dim``, ``amt``, ``qty`` over the rows that meet each condition, of which each row may meet several:
+    rows are grouped once by ``dim`` and mask, and the masks rolled up."""
+    masks = df.groupBy(dim, mask_of(list(conditions.values())).alias("mask")).agg(
+        F.sum(amount).alias("amt"), F.sum(qty).alias("qty")
+    )
+    names = F.array(*[F.when(_has_bit("mask", i), F.lit(name)) for i, name in enumerate(conditions)])
+    met = masks.withColumn("name", F.explode(F.array_compact(names)))
+    return met.groupBy("name", dim).agg(F.sum("amt").alias("amt"), F.sum("qty").alias("qty"))
+
+
 def overlap_penetration(chain: Chain, label: str) -> DataFrame:
     """Overlapping customers as a share of all customers in the sales."""
     counts = count_keys_if(
@@ -170,16 +231,21 @@ def overlap_penetration(chain: Chain, label: str) -> DataFrame:
     return counts.withColumn("penetration", share)
 
 
+def tenure_conditions(as_of, since: str = "first_purchase") -> dict[str, Column]:
+    """The tenure groups of ``tenure_share``, in their order."""
+    years = tenure_years(F.col(since), as_of)
+    groups = {"tenure1-2": years <= 2}
+    groups |= {name: years.between(low, high) for name, low, high in TENURE_GROUPS}
+    return groups | {"tenure>8": years > 8}
+
+
 def tenure_share(chain: Chain, label: str, as_of, since: str = "first_purchase") -> DataFrame:
     """Overlapping members by tenure group, as shares of all of them.
 
     Unlike ``tenure_group`` the first group takes zero and negative tenures too, and members
     without a date are in the whole only.
     """
-    years = tenure_years(F.col(since), as_of)
-    groups = {"tenure1-2": years <= 2}
-    groups |= {name: years.between(low, high) for name, low, high in TENURE_GROUPS}
-    groups |= {"tenure>8": years > 8}
+    groups = tenure_conditions(as_of, since)
     overlapping = chain.members.filter(F.col(label) == 1)
     counts = count_keys_if(overlapping, chain.key, {**groups, "_all": F.lit(True)})
     shares = [percent(F.col(f"`{name}`"), F.col("_all")).alias(name) for name in groups]
@@ -203,8 +269,7 @@ def share_of_wallet(a: Chain, b: Chain, a_label: str, b_label: str) -> DataFrame
     """Sales to overlapping customers per chain and its percentage of both together."""
 
     def side(chain: Chain, label: str) -> DataFrame:
-        spend = chain.overlapping(label).agg(_amount(chain).alias("amt"))
-        return spend.select(F.lit(chain.name).alias("side"), "amt")
+        return totals(chain, label).select(F.lit(chain.name).alias("side"), "amt")
 
     sides = side(a, b_label).unionByName(side(b, a_label))
     # missing sales on one side leave both shares missing, as a sum with NULL does

@@ -11,6 +11,7 @@ from crossbasket.functions.contact import cleanse_phone, normalise_email
 from crossbasket.functions.dates import card_date_sentinel
 from crossbasket.functions.text import trim_all
 from crossbasket.functions.tiers import BEAUTY_TIERS, display_rank, tier_whitelist, update_tier
+from crossbasket.operators.skew import spread_join
 
 
 def member_type_join(
@@ -33,6 +34,31 @@ def member_type_join(
     )
 
 
+def fetch_attribute(
+    members: DataFrame, source: DataFrame, key: str, column: str, hot: DataFrame | None = None
+) -> DataFrame:
+    """The distinct rows of ``members`` with ``column`` as the rows of ``source`` with the same ``key`` have it,
+    and ``copies``: how often a plain left join would give the row.
+
+    A member with several rows on either side fans out there, rows times rows. Both sides are counted before
+    they meet, so repeated rows, however many, are a number. A member without a row in ``source``, or with a
+    NULL key, keeps a NULL. ``hot`` are the large keys of ``members``, if known.
+    """
+    rest = [name for name in members.columns if name != column]
+    rows = members.groupBy(*rest).agg(F.count(F.lit(1)).alias("_rows"))
+    values = source.groupBy(key, column).agg(F.count(F.lit(1)).alias("_values"))
+    others = [name for name in rest if name != key]
+    joined = spread_join(rows, values, [key], "left", hot, others)
+    copies = F.col("_rows") * F.coalesce(F.col("_values"), F.lit(1))
+    return joined.groupBy(*members.columns).agg(F.sum(copies).alias("copies"))
+
+
+def repeated(rows: DataFrame, copies: str = "copies") -> DataFrame:
+    """Each row as often as its column ``copies`` says, without that column."""
+    again = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies))))
+    return again.drop("_copy", copies)
+
+
 def golden_record(members: DataFrame, key: str, rules: Mapping[str, Column]) -> DataFrame:
     """One row per key; ``rules`` gives the aggregate for each output column.
 

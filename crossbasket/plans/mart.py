@@ -11,16 +11,18 @@ and a scan of a fiscal year's lines is far cheaper than a scan of all of them wi
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossbasket.functions.text import transaction_key, trim_all
-from crossbasket.operators.kpi import Chain
+from crossbasket.operators.kpi import Chain, order_parts
 from crossbasket.operators.labels import label_overlap, label_rows
 from crossbasket.operators.matching import smallest_partners
 from crossbasket.operators.members import golden_record_a, golden_record_b
@@ -36,7 +38,7 @@ from crossbasket.operators.sales import (
     valid_transactions,
 )
 from crossbasket.operators.skew import hot_groups
-from crossbasket.session import shared_dir
+from crossbasket.session import delete_folder, folder_state, publish_text, read_text, shared_dir
 from crossbasket.sources.roles import (
     CARVEOUT_BRAND,
     DUMMY_ITEM,
@@ -169,6 +171,20 @@ def _active(members: DataFrame, key: str, buyers: dict[str, DataFrame]) -> DataF
 OTHERS = {"a": ("b", "c"), "cos": ("b", "c"), "b": ("a", "c", "cos"), "c": ("a", "b", "cos")}
 
 
+def order_bits(chain: str) -> dict[str, int]:
+    """The bit of each label in the masks of a chain's orders; those of the unit are in chain A's."""
+    first = len(OTHERS["a"]) if chain == UNIT_SLICE else 0
+    return {f"in_{other}": first + i for i, other in enumerate(OTHERS[chain])}
+
+
+def _order_conditions(chain: str, unit: str) -> list[Column]:
+    """What the bits say, in their order."""
+    labels = [F.col(f"in_{other}") == 1 for other in OTHERS[chain]]
+    if chain == "a":
+        labels += [(F.col(f"in_{other}") == 1) & (F.col("bu_desc") == unit) for other in OTHERS[UNIT_SLICE]]
+    return labels
+
+
 def key_of(chain: str) -> str:
     return "vip_main_no" if chain in ("b", "c") else "vip_no"
 
@@ -191,18 +207,25 @@ def _labelled_members(tables: dict[str, DataFrame], chain: str) -> DataFrame:
 
 
 class Mart:
-    """A written datamart; the attributes are scans of its tables."""
+    """A written datamart; the attributes are scans of its tables.
+
+    Tables are read by the schemas in its manifest, so opening one runs no Spark job.
+    """
 
     TABLES = (
-        "members_a", "members_b", "sales_a", "sales_b", "sales_c", "keys_c", "history_b",
-        "hot_number", "hot_key", "hot_order", "hot_a", "hot_b",
+        "members_a", "members_b", "sales_a", "sales_b", "sales_c", "orders_a", "orders_b", "orders_c",
+        "keys_c", "history_b", "hot_number", "hot_key", "hot_order", "hot_a", "hot_b",
     )
 
     def __init__(self, spark: SparkSession, root: str, source: str, what: Scope = Scope()):
         self.spark = spark
         self.root = root
         self.source = source
-        self.tables = read_datamart(spark, root, self.TABLES)
+        manifest = read_text(spark, f"{root}/{MANIFEST}")
+        if manifest is None:
+            raise FileNotFoundError(f"{root} is no finished datamart")
+        schemas = {name: T.StructType.fromJson(schema) for name, schema in json.loads(manifest)["schemas"].items()}
+        self.tables = read_datamart(spark, root, self.TABLES, schemas)
         self.tables["sales_cos"] = self.tables["sales_a"].filter(F.col("bu_desc") == what.unit)
         self.n_unique = read_metrics(spark, f"{root}/n_unique")
 
@@ -224,6 +247,8 @@ class Mart:
             members=self.members(name),
             key=key_of(name),
             order="sales_main_key" if name in ("b", "c") else "order_no",
+            orders=self.tables["orders_a" if name == UNIT_SLICE else f"orders_{name}"],
+            bits=order_bits(name),
         )
 
     def unique(self, a: str, b: str) -> DataFrame:
@@ -329,47 +354,61 @@ def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope
         )
 
     # the unit's sales have the labels of chain A's
-    written = ("a", "b", "c")
-    write_datamart(
-        {f"sales_{chain}": marked(chain) for chain in written},
+    chains = ("a", "b", "c")
+    labelled = write_datamart(
+        {f"sales_{chain}": marked(chain) for chain in chains},
         root,
         # the two labels most figures filter on become folders a scan can skip
-        {f"sales_{chain}": [f"in_{o}" for o in OTHERS[chain][:2]] for chain in written},
+        {f"sales_{chain}": [f"in_{o}" for o in OTHERS[chain][:2]] for chain in chains},
     )
+    orders = {
+        f"orders_{chain}": order_parts(
+            labelled[f"sales_{chain}"],
+            "sales_main_key" if chain in ("b", "c") else "order_no",
+            _order_conditions(chain, what.unit),
+        )
+        for chain in chains
+    }
+    tables = first | scoped | hot | matched | labelled | write_datamart(orders, root)
+    schemas = {name: tables[name].schema.jsonValue() for name in Mart.TABLES}
+    publish_text(spark, f"{root}/{MANIFEST}", json.dumps({"schemas": schemas}))
     return Mart(spark, root, roles.folder, what)
 
 
-def _source_version(spark: SparkSession, folder: str) -> str:
-    """Changes whenever a file of the source tables does; reads file listings only."""
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-        [f"{folder}/{name}.parquet" for name in names]
-    )
-    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
-    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("mark")).first()
-    return f"{row['n']}:{row['mark']}"
+# Part of a datamart's name; raise it when its tables or their rules change.
+LAYOUT = 3
+MANIFEST = "_manifest.json"  # written last within a build
+_OPEN: dict[tuple[str, str], Mart] = {}
 
 
-# Part of a datamart's name; raise it when its tables or their rules change.
-LAYOUT = 2
-_VERSIONS: dict[tuple[str, str], str] = {}
+def _source_version(spark: SparkSession, folder: str) -> str:
+    """Changes whenever a file of the source tables does; asks the file system only."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    return " ".join(folder_state(spark, f"{folder}/{name}.parquet") for name in names)
 
 
 def mart_for(spark: SparkSession, folder: str) -> Mart:
-    """The datamart over the tables in ``folder``, loaded from the shared folder if an application
-    has built it there from the same files, and built otherwise.
+    """The datamart over the tables in ``folder``, opened if an application has built it from the same files,
+    and built otherwise.
 
-    Files are listed once per application. The root is named after them; a manifest, written
-    last, tells that it is complete.
+    Each build has a folder of its own; a pointer, named after the source files and put there as a whole when the
+    build is finished, tells which one is valid. So a build that was killed is never read, two that run at once
+    do not touch each other, and one of them becomes the datamart. An application keeps what it
+    opened; opening runs no Spark job.
     """
-    application = (spark.sparkContext.applicationId, folder)
-    if application not in _VERSIONS:
-        _VERSIONS[application] = _source_version(spark, folder)
-    name = hashlib.sha256(f"{LAYOUT} {folder} {_VERSIONS[application]}".encode()).hexdigest()[:16]
-    root = f"{shared_dir(spark)}/crossbasket/mart-{name}"
-    try:
-        read_metrics(spark, f"{root}/manifest")
-    except AnalysisException:  # none yet, or cleared meanwhile
-        build_mart(spark, Roles(spark, folder), root)
-        write_metrics(spark.range(1).selectExpr("'complete' AS pair", "id AS n"), f"{root}/manifest")
-    return Mart(spark, root, folder)
+    name = hashlib.sha256(f"{LAYOUT} {folder} {_source_version(spark, folder)}".encode()).hexdigest()[:16]
+    pointer = f"{shared_dir(spark)}/crossbasket/mart-{name}"
+    application = (spark.sparkContext.applicationId, pointer)
+    if application in _OPEN and read_text(spark, f"{_OPEN[application].root}/{MANIFEST}"):
+        return _OPEN[application]
+    root = read_text(spark, pointer)
+    if root is None or read_text(spark, f"{root}/{MANIFEST}") is None:  # none yet, or cleared meanwhile
+        if root is not None:
+            delete_folder(spark, pointer)
+        own = f"{pointer}-{uuid.uuid4().hex}"
+        build_mart(spark, Roles(spark, folder), own)
+        root = publish_text(spark, pointer, own)
+        if root != own:
+            delete_folder(spark, own)
+    _OPEN[application] = Mart(spark, root, folder)
+    return _OPEN[application]

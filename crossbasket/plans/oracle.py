@@ -669,6 +669,11 @@ SELECT vip_main_no, vip_sex, region_key, tier AS viptyp_desc_cleaned FROM (
     'ICARD Silver', 'ICARD Gold', 'ICARD Diamond', 'ICARD Diamond - Taiwan') THEN t.viptyp_desc
     ELSE 'OTHERS' END AS tier
   FROM members_b m LEFT JOIN types t ON m.vip_type = t.viptyp_code WHERE t.region_key = 'HK')""",
+    "member_attribute_fetch": """
+SELECT a.vip_main_no, a.vip_type, a.vip_sex, a.region_key, b.vip_birth_iyy, COUNT(*) AS copies
+FROM members_b a LEFT JOIN types t ON a.vip_type = t.viptyp_code
+LEFT JOIN members_b b ON a.vip_main_no = b.vip_main_no
+WHERE t.region_key = 'HK' GROUP BY ALL""",
     "active_members": """
 SELECT DISTINCT g.* EXCLUDE (email, mobile) FROM golden_a g JOIN scope_a s USING (vip_no)""",
     "enrich_sales": f"""

@@ -320,6 +320,15 @@ def member_type_join(roles: Roles) -> DataFrame:
     return typed.select("vip_main_no", "vip_sex", "region_key", "viptyp_desc_cleaned")
 
 
+@_raw("member_attribute_fetch")
+def member_attribute_fetch(roles: Roles) -> DataFrame:
+    """Typed members with the birth years of all their raw rows, as often as a self join repeats them."""
+    names = ["vip_main_no", "vip_type", "vip_sex", "region_key", "vip_birth_iyy"]
+    raw = roles.members_b().select(*names)
+    types = roles.types().filter("region_key = 'HK'").select(F.col("viptyp_code").alias("vip_type"))
+    return members.fetch_attribute(raw.join(types, ["vip_type"]), raw, "vip_main_no", "vip_birth_iyy")
+
+
 @_raw("active_members")
 def active_members(roles: Roles) -> DataFrame:
     golden = marts.golden_a(roles).drop("email", "mobile")

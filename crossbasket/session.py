@@ -33,14 +33,59 @@ def build_session(app: str = "crossbasket", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Where that is unset it is a folder of the warehouse, which driver and executors share too.
+    Where that is unset, one process that does all work itself takes a folder of the warehouse; on a cluster that
+    could be a folder of the driver's machine, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/crossbasket-stages"
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def folder_state(spark: SparkSession, path: str) -> str:
+    """Changes when files below ``path`` are added, removed or replaced: time, number and size. No Spark job."""
+    where, files = _file_system(spark, path)
+    whole = files.getContentSummary(where)
+    return f"{files.getFileStatus(where).getModificationTime()}:{whole.getFileCount()}:{whole.getLength()}"
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text, None if there is none. No Spark job."""
+    where, files = _file_system(spark, path)
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> str:
+    """Puts a small file there as a whole and returns what is there afterwards: it appears by a renaming, so that
+    no one ever reads a part of it, and where another was earlier that one may stay."""
+    part, files = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(part, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    where, _ = _file_system(spark, path)
+    if not files.rename(part, where):
+        files.delete(part, False)
+    return read_text(spark, path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder of its own for tables of this application."""
     application = spark.sparkContext.applicationId

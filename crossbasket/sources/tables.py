@@ -74,7 +74,7 @@ def read_datamart(
     names: Iterable[str],
     schemas: Mapping[str, T.StructType] | None = None,
 ) -> dict[str, DataFrame]:
-    """The named tables of a datamart, by declared schema where one is given."""
+    """The named tables of a datamart, by declared schema where one is given, which needs no Spark job."""
     schemas = schemas or {}
 
     def load(name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,38 @@ def test_listings(chain, rows):
         "Alpha",
         "Beta",
     ]
+
+
+def test_order_parts_count_each_order_once_for_each_condition(spark):
+    rng = random.Random(1)
+    lines = [
+        (rng.choice([None, "o1", "o2", "o3", "o4"]), rng.random() < 0.5, rng.random() < 0.3, rng.randint(1, 9), 1)
+        for _ in range(40)
+    ]
+    sales = spark.createDataFrame(lines, "o string, x boolean, y boolean, amt long, qty long")
+    conditions = [F.col("x"), F.col("y"), F.col("x") & F.col("y"), F.lit(False)]
+    parts = kpi.order_parts(sales, "o", conditions)
+    got = {r["name"]: tuple(r)[1:] for r in kpi.order_totals(parts, {"x": 0, "y": 1, "both": 2, "none": 3}).collect()}
+
+    def expected(met):
+        kept = [line for line in lines if met(line)]
+        return sum(line[3] for line in kept) or None, len(kept) or None, len({line[0] for line in kept} - {None})
+
+    assert got == {
+        "x": expected(lambda r: r[1]), "y": expected(lambda r: r[2]), "both": expected(lambda r: r[1] and r[2]),
+        "none": (None, None, 0),
+    }
+
+
+def test_counts_and_sums_by_mask(spark):
+    rows = [("k1", "c", 1, True), ("k1", None, 2, False), (None, "c", 3, True), ("k2", "d", 4, None), ("k3", "c", 5, False)]
+    df = spark.createDataFrame(rows, "k string, dim string, amt long, flag boolean").withColumn("qty", F.lit(1))
+    conditions = {"flag": F.col("flag"), "all": F.lit(True), "big": F.col("amt") > 3, "never": F.lit(None).cast("boolean")}
+    got = {r["name"]: r["n"] for r in kpi.count_keys_by_mask(df, "k", conditions).collect()}
+    assert got == kpi.count_keys_if(df, "k", conditions).first().asDict() == {"flag": 2, "all": 4, "big": 2, "never": 0}
+    assert {r["n"] for r in kpi.count_keys_by_mask(df.limit(0), "k", conditions).collect()} == {0}
+    sums = {(r["name"], r["dim"]): (r["amt"], r["qty"]) for r in kpi.sums_by_mask(df, "dim", conditions).collect()}
+    assert sums == {
+        ("flag", "c"): (4, 2), ("all", "c"): (9, 3), ("all", None): (2, 1), ("all", "d"): (4, 1),
+        ("big", "d"): (4, 1), ("big", "c"): (5, 1),
+    }

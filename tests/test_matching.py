@@ -1,10 +1,12 @@
 """Matching against the literal definition: a join with a disjunction."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from crossbasket.operators import members
 from crossbasket.operators.cohort import cohort_retention, pivot_retention
 from crossbasket.operators.labels import label_fanout, label_overlap, segment_keys
 from crossbasket.operators.matching import (
@@ -216,3 +218,21 @@ def test_cohort_retention_equals_full_outer_joins(chains, spark, seed):
     assert {(r[0], r[1]): r[2] for r in got.collect()} == expected
     grid = pivot_retention(got).collect()
     assert sum(v or 0 for row in grid for v in row[1:]) == sum(expected.values())
+
+
+@pytest.mark.parametrize("largest", [1, 40])
+def test_fetched_attribute_repeats_as_a_self_join_does(spark, rows, largest):
+    rng = random.Random(largest)
+    raw = [(rng.choice(["k1", "k2", "k3", None]), rng.choice(["x", "y", None]), rng.choice(["10", "20", None])) for _ in range(30)]
+    raw += [("hot", "x", str(i % 5)) for i in range(largest)] + [("alone", "x", "1")]
+    source = spark.createDataFrame(raw[:-1], "key string, other string, age string")
+    left = spark.createDataFrame(raw, "key string, other string, age string")
+    got = members.fetch_attribute(left, source, "key", "age")
+    literal = [
+        (k, o, age)
+        for k, o, _ in raw
+        for age in ([a for key, _, a in raw[:-1] if key == k and k is not None] or [None])
+    ]
+    counted = Counter(literal)
+    assert {tuple(r)[:3]: r["copies"] for r in got.collect()} == counted
+    assert rows(members.repeated(got)) == sorted(literal, key=lambda r: [(v is None, str(v)) for v in r])

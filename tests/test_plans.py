@@ -39,9 +39,13 @@ def test_no_query_multiplies_rows_leaves_the_jvm_or_broadcasts_unbounded(spark):
 def test_figures_skip_the_folders_of_other_customers(spark):
     if not os.path.isdir(SMALLEST):
         pytest.skip("no test tables")
-    plan = _plan(driver.queries()["kpi_price_point"](spark, SMALLEST))
+    plan = _plan(driver.queries()["pricepoint_table"](spark, SMALLEST))
     assert "in_b" in re.search(r"PartitionFilters: \[(.*?)\]", plan).group(1)
-    assert "ReadSchema: struct<amt:decimal(18,4),qty:decimal(18,0)>" in plan
+    assert "ReadSchema: struct<amt:decimal(18,4),qty:decimal(18,0),arti_cate_name:string>" in plan
+    # figures by order read the table of orders, which has no line
+    assert re.search(r"ReadSchema: struct<mask:bigint,amt:decimal\(\d+,4\),qty:decimal\(\d+,0\)", _plan(
+        driver.queries()["kpi_price_point"](spark, SMALLEST)
+    ))
 
 
 SPLIT = {
@@ -157,7 +161,7 @@ def test_the_datamart_is_loaded_not_built_again(spark, monkeypatch):
 
     built = mart.mart_for(spark, SMALLEST)
     monkeypatch.setattr(mart, "build_mart", lambda *_: pytest.fail("built again"))
-    monkeypatch.setattr(mart, "_VERSIONS", {})  # as a new application would start
+    monkeypatch.setattr(mart, "_OPEN", {})  # as a new application would start
     assert mart.mart_for(spark, SMALLEST).root == built.root
 
 
@@ -188,3 +192,37 @@ def test_lines_do_not_multiply_with_the_carve_outs_mapping(spark):
     assert lines(lambda codes: codes.union(codes)) == once
     twice = lines(lambda codes: codes.union(codes.withColumn("arti_cate_code", F.lit(2))))
     assert twice[0] == once[0] and twice[1] == 2 * once[1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
+def test_opening_a_datamart_runs_no_job(spark, monkeypatch):
+    from crossbasket.plans import mart
+
+    mart.mart_for(spark, SMALLEST)
+    for opened in ({}, mart._OPEN):
+        monkeypatch.setattr(mart, "_OPEN", opened)
+        spark.sparkContext.setJobGroup("opening", "opening")
+        found = mart.mart_for(spark, SMALLEST)
+        found.chain("a"), found.unique("a", "b"), found.members("c")
+        assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("opening"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
+def test_reports_of_all_pairs_scan_each_table_once(spark):
+    for name, sales, members in (("pair_demo_report", 6, 4), ("pair_price_report", 3, 0)):
+        plan = registered()[name](spark, SMALLEST)._jdf.queryExecution().optimizedPlan().toString()
+        # shares are a join of counts with counts, which Spark computes once where it can
+        assert _leaves(plan) <= sales + members, name
+
+
+def _leaves(plan):
+    return sum(bool(re.search(r"Relation \[", line)) for line in plan.splitlines())
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
+def test_order_figures_count_no_lines(spark):
+    for name in ("kpi_aov", "kpi_upt", "sales_behavior", "pair_report", "share_of_wallet"):
+        plan = registered()[name](spark, SMALLEST)._jdf.queryExecution().optimizedPlan().toString()
+        relations = re.findall(r"Relation \[([^\]]*)", plan)
+        assert not any("in_b#" in r or "in_a#" in r for r in relations) and "count(distinct" not in plan.lower(), name

@@ -1,12 +1,13 @@
 import os
 import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.parquet as pq
 import pytest
 
 from crossbasket.plans import mart
 from crossbasket.plans.mart import Mart, mart_for
-from crossbasket.session import shared_dir, stage
+from crossbasket.session import publish_text, read_text, shared_dir, stage
 from crossbasket.sources import tables
 from crossbasket.sources.schemas import ISSUE_LIST, MAINCAT_MAPPING
 
@@ -70,7 +71,7 @@ def test_staged_scan_prunes(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
-def test_mart_is_reused_until_its_sources_change(spark, tmp_path, monkeypatch):
+def test_mart_is_reused_until_its_sources_change(spark, tmp_path):
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
         shutil.copyfile(f"{SMALLEST}/{name}.parquet", tmp_path / f"{name}.parquet")
     folder = str(tmp_path)
@@ -80,7 +81,54 @@ def test_mart_is_reused_until_its_sources_change(spark, tmp_path, monkeypatch):
     assert rebuilt.tables["sales_a"].count() == first.tables["sales_a"].count()
     orders = pq.read_table(tmp_path / "orders.parquet")
     pq.write_table(orders.slice(0, 800), tmp_path / "orders.parquet")
-    monkeypatch.setattr(mart, "_VERSIONS", {})  # files are listed once an application
     changed = mart_for(spark, folder)
     assert changed.root != first.root
     assert changed.tables["sales_a"].count() < first.tables["sales_a"].count()
+
+
+def test_of_several_that_publish_one_file_stays(spark, tmp_path):
+    path = f"{tmp_path}/pointer"
+    assert read_text(spark, path) is None
+    first = publish_text(spark, path, "first \u00e9")
+    assert first == read_text(spark, path) == "first \u00e9"
+    second = publish_text(spark, path, "second")
+    assert second == read_text(spark, path) and second in ("first \u00e9", "second")
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["pointer"]
+
+
+@pytest.fixture
+def own_tables(spark, tmp_path):
+    if not os.path.isdir(SMALLEST):
+        pytest.skip("no test tables")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        shutil.copyfile(f"{SMALLEST}/{name}.parquet", tmp_path / f"{name}.parquet")
+    return str(tmp_path)
+
+
+def test_builds_at_once_leave_one_whole_mart(spark, own_tables, monkeypatch):
+    monkeypatch.setattr(mart, "_OPEN", {})
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda _: mart_for(spark, own_tables), range(2)))
+    sums = [m.tables["orders_a"].agg({"amt": "sum"}).first()[0] for m in both]
+    assert sums[0] == sums[1]
+    monkeypatch.setattr(mart, "_OPEN", {})
+    assert mart_for(spark, own_tables).root in {m.root for m in both}
+
+
+def test_a_killed_build_leaves_the_datamart_readable(spark, own_tables, monkeypatch):
+    first = mart_for(spark, own_tables)
+    rows = first.tables["sales_a"].count()
+    orders = pq.read_table(f"{own_tables}/orders.parquet")
+    pq.write_table(orders.slice(0, 700), f"{own_tables}/orders.parquet")
+    whole = mart.write_metrics
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(mart, "write_metrics", killed)
+    with pytest.raises(KeyboardInterrupt):
+        mart_for(spark, own_tables)
+    assert Mart(spark, first.root, own_tables).tables["sales_a"].count() == rows
+    monkeypatch.setattr(mart, "write_metrics", whole)
+    again = mart_for(spark, own_tables)
+    assert again.root != first.root and again.tables["sales_a"].count() < rows

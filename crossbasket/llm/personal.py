@@ -6,7 +6,8 @@ trained in numpy on windows around what the patterns' shapes label, as they are
 spans in other spellings, and on windows without labels, by the likelihood of a conditional random field. Texts are read in windows of ``WINDOW`` characters, each
 half over the next. Where windows overlap their scores are averaged, an end of a window counting less
 than its middle, and each run of overlapping windows is then decoded as one sequence, so a span
-across windows is found once and whole.
+across windows is found once and whole. Regions in which no span can be as clear as is asked for, by a bound
+on what any path gains, are not decoded.
 
 A decoded span counts if its plain spelling (``plain``: digits and signs of other scripts as ASCII, words
 and brackets that stand for "@" and "." as these) passes its kind's check (an address around an at sign,
@@ -26,6 +27,7 @@ import hashlib
 import random
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -389,10 +391,11 @@ def model_spans(net: Network, batch: list[tuple[str, list[Span]]]) -> list[list[
     out, done = [], 0
     for (text, base), numbers in zip(batch, chosen):
         found: list[Span] = []
+        covered = _Covered(base)
         for region in _regions(numbers):
             own = scores[done : done + len(region)]
             done += len(region)
-            found += _region_spans(net, text, base, (int(region[0]) - 1) * STRIDE, own)
+            found += _region_spans(net, text, covered, (int(region[0]) - 1) * STRIDE, own)
         out.append(found)
     return out
 
@@ -407,7 +410,52 @@ def _lead(scores: np.ndarray, transitions: np.ndarray, tags: np.ndarray, begin:
     return float(path(tags[begin:end]) - path(np.zeros(end - begin, np.int64)))
 
 
-def _region_spans(net: Network, text: str, base: list[Span], origin: int, scores: np.ndarray) -> list[Span]:
+class _Covered:
+    """What some spans cover, as stretches that are apart, so that one look finds an overlap."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1]):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def within(self, start: int, end: int) -> range:
+        """The numbers of the stretches that meet a span."""
+        return range(bisect_right(self.ends, start), bisect_left(self.starts, end))
+
+    def meets(self, span: Span) -> bool:
+        return len(self.within(span[1], span[2])) > 0
+
+
+def _clearest(net: Network, scores: np.ndarray, base: _Covered, origin: int) -> float:
+    """The most by which a path through a span of one kind, which overlaps none of ``base``, can beat the outside path:
+    exact within the span, and with the best neighbours at its ends."""
+    t = net.transitions.astype(np.float64)
+    outside = scores[:, 0].astype(np.float64)
+    free = np.ones(len(scores), bool)
+    for i in base.within(origin, origin + len(scores)):
+        free[max(0, base.starts[i] - origin) : max(0, base.ends[i] - origin)] = False
+    best = -np.inf
+    for kind in range(len(KINDS)):
+        begin, inside = 2 * kind + 1, 2 * kind + 2
+        enter = max(0.0, float((t[:, begin] - t[:, 0]).max()))
+        leave = [max(0.0, float((t[tag] - t[0])[_ALLOWED[0] == 0].max())) for tag in (begin, inside)]
+        first = np.where(free, scores[:, begin] - outside, -1e9) + enter
+        more = np.where(free, scores[:, inside] - outside, -1e9) + t[inside, inside] - t[0, 0]
+        sums = np.cumsum(more)
+        best = max(best, float(first.max()) + leave[0])
+        if len(sums) > 1:
+            ahead = np.maximum.accumulate(first - sums)[:-1]
+            longest = float((sums[1:] + ahead).max()) + t[begin, inside] - t[inside, inside]
+            best = max(best, longest + leave[1])
+    return best
+
+
+def _region_spans(net: Network, text: str, base: _Covered, origin: int, scores: np.ndarray) -> list[Span]:
     size = (len(scores) + 1) * STRIDE
     merged, weight = np.zeros((size, TAGS), np.float32), np.zeros((size, 1), np.float32)
     for i, window in enumerate(scores):
@@ -416,6 +464,9 @@ def _region_spans(net: Network, text: str, base: list[Span], origin: int, scores
     merged /= weight
     low, high = max(0, -origin), min(size, len(text) - origin)
     merged = merged[low:high]
+    # with a little more for what is added up in another order
+    if _clearest(net, merged, base, origin + low) < CLEAR - 0.01:
+        return []  # what would be decoded does not count
     tags = decode(merged, net.transitions)
     if not tags.any():
         return []
@@ -428,7 +479,7 @@ def _region_spans(net: Network, text: str, base: list[Span], origin: int, scores
             e += 1
         kind, start, end = int(tags[b] - 1) // 2, origin + low + b, origin + low + e
         value = text[start:end]
-        if _lead(merged, net.transitions, tags, b, e) >= CLEAR and acceptable(kind, value) and not any(s < end and start < x for _, s, x in base):
+        if _lead(merged, net.transitions, tags, b, e) >= CLEAR and acceptable(kind, value) and not base.meets((kind, start, end)):
             found.append((kind, start, end))
     return found
 
@@ -555,10 +606,6 @@ def training_arrays(chosen: list[tuple[str, list[int]]], seed: int = 1) -> tuple
     return codes, tags
 
 
-def _meets(span: Span, others: list[Span]) -> bool:
-    return any(s < span[2] and span[1] < e for _, s, e in others)
-
-
 def find(values: list[str], flagged: np.ndarray, net: Network | None) -> tuple[list[list[Span]], list[list[Span]]]:
     """Base spans and further spans of each text."""
     base: list[list[Span]] = [[] for _ in values]
@@ -567,8 +614,10 @@ def find(values: list[str], flagged: np.ndarray, net: Network | None) -> tuple[l
         base[i] = base_spans(values[i])
     if net is not None:
         for i, spans in enumerate(model_spans(net, list(zip(values, base)))):
-            spelled = [s for s in spelled_addresses(values[i]) if not _meets(s, base[i])]
-            more[i] = spelled + [s for s in spans if not _meets(s, spelled)]
+            covered = _Covered(base[i])
+            spelled = [s for s in spelled_addresses(values[i]) if not covered.meets(s)]
+            covered = _Covered(spelled)
+            more[i] = spelled + [s for s in spans if not covered.meets(s)]
     return base, more
 
 

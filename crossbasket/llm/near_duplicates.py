@@ -348,10 +348,13 @@ def _prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def _hub_pairs(placed: DataFrame, number: int, percent: int) -> DataFrame:
     """``a``, ``b``: each class with one of the hubs of its buckets, the one it shares most buckets with.
 
-    The hub of a bucket comes first in an order of all classes. Hubs that a class does not meet are left to later
-    rounds and to the prefixes, so a round makes no more pairs than there are classes.
+    The hub of a bucket comes first in an order of all classes: in the first round the class with the fullest buckets,
+    as what copies were made from meets more of them than they meet each other; later by a hash. Hubs
+    that a class does not meet are left to later rounds and to the prefixes, so a round makes no more pairs than there
+    are classes.
     """
-    order = F.struct(F.xxhash64("class", F.lit(number)).alias("place"), "class", "n", "label")
+    place = F.xxhash64("class", F.lit(number)) if number else -F.col("weight")
+    order = F.struct(place.alias("place"), "class", "n", "label")
     hubs = placed.groupBy("key").agg(F.min(order).alias("hub"))
     met = placed.join(hubs, "key").filter(
         (F.col("label") != F.col("hub.label"))
@@ -394,10 +397,14 @@ class _Search:
         """All links that the buckets of bands bring about; components, not every link, are made whole."""
         room = self.room
         buckets = self.classes.select(F.explode("bands").alias("key"), "class", "n")
-        shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+        shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         members = room.write(buckets.join(shared, "key"), "buckets")
+        weights = members.groupBy("class").agg(F.sum("size").alias("weight"))
+        weighted = room.write(members.drop("size").join(weights, "class"), "buckets")
+        room.drop(members)
+        members = weighted
         for number in range(rounds + 1):
-            placed = _labelled(members.select("key", "class", "n"), self.labels)
+            placed = _labelled(members.select("key", "class", "n", "weight"), self.labels)
             state = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
             placed = room.write(placed.join(state.filter("low <> high").select("key"), "key"), "members")
             room.drop(members)

@@ -145,15 +145,33 @@ def brand_info(
     date: str,
     by_year: bool = False,
 ) -> DataFrame:
-    """Members, transactions and first and last date of each brand, optionally per year."""
-    groups: list[Column] = [F.col(brand)]
+    """Members, transactions and first and last date of each brand, optionally per year.
+
+    Lines shrink to one row for each member and order of a group first; its members and its orders are then
+    counted by themselves, each row once, instead of repeating every line for either count.
+    """
+    groups: dict[str, Column] = {brand: F.col(brand)}
     if by_year:
-        groups.append(F.year(date).alias("year"))
-    return sales.groupBy(*groups).agg(
-        F.countDistinct(key).alias("n_member"),
-        F.countDistinct(order).alias("n_trans"),
-        F.min(date).alias("min_date"),
-        F.max(date).alias("max_date"),
+        groups["year"] = F.year(date)
+    names = list(groups)
+    rows = sales.select(
+        *[c.alias(n) for n, c in groups.items()], F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(date).alias("_date")
+    ).groupBy(*names, "_key", "_order").agg(F.min("_date").alias("first"), F.max("_date").alias("last"))
+
+    def counted(what: str, members: bool) -> DataFrame:
+        per_value = rows.groupBy(*names, what).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        n, none = F.count(what).alias("n"), F.lit(None).cast("bigint")
+        out = per_value.groupBy(*names).agg(n, F.min("first").alias("first"), F.max("last").alias("last"))
+        n_member, n_trans = (F.col("n"), none) if members else (none, F.col("n"))
+        return out.select(*names, n_member.alias("n_member"), n_trans.alias("n_trans"), "first", "last")
+
+    # one row of either kind for each group
+    both = counted("_key", True).unionByName(counted("_order", False))
+    return both.groupBy(*names).agg(
+        F.max("n_member").alias("n_member"),
+        F.max("n_trans").alias("n_trans"),
+        F.min("first").alias("min_date"),
+        F.max("last").alias("max_date"),
     )
 
 

@@ -112,25 +112,27 @@ def enrich_sales_b(
 ) -> DataFrame:
     """Valid lines with brand, SKU, member key, shop, category and transaction key; distinct.
 
+    Repeated lines go before the joins, while a line is narrow, and so do repeated rows of what is looked up:
+    different lines stay different, and a line meets different rows only.
+
     ``skus`` holds the current versions (``latest_per_key``). With ``sku_brand_match`` a line
     only meets its SKU if its brand code is known to ``brands``. ``hot``: see ``spread_join``.
     """
-    lines = trim_all(valid_transactions(sales))
-    brands = trim_all(brands).withColumnRenamed("brand_code", "prod_brand")
+    lines = trim_all(valid_transactions(sales)).distinct()
+    brands = trim_all(brands).withColumnRenamed("brand_code", "prod_brand").distinct()
     lines = lines.join(brands.withColumn("_known", F.lit(True)), ["prod_brand"], "left")
     sku_key = F.when(F.col("_known"), F.col("item_code")) if sku_brand_match else F.col("item_code")
     # what hangs on the SKU is joined to it first, not line by line
     categories = trim_all(categories).withColumnRenamed("maincat_code", "item_cat")
     items = skus.drop("last_modified_date", "brand_code").withColumnRenamed("item_code", "_sku")
     items = items.join(categories, ["item_cat"], "left").join(mapping, ["maincat_desc"], "left")
+    items = items.withColumn("arti_cate_name", category_default(F.col("arti_cate_name"))).distinct()
     lines = lines.withColumn("_sku", sku_key).join(items, ["_sku"], "left").drop("_sku", "_known")
     lines = enrich_member(lines, member_map, "vip_no", "vip_main_no", hot, ["invoice_no", "item_code"])
-    lines = lines.join(trim_all(shops), ["shop_code"], "left")
-    return (
-        lines.withColumn("sales_main_key", transaction_key(F.col("shop_code"), F.col("invoice_no")))
-        .withColumn("arti_cate_name", category_default(F.col("arti_cate_name")))
-        .distinct()
-    )
+    lines = lines.join(trim_all(shops).distinct(), ["shop_code"], "left")
+    return lines.withColumn(
+        "sales_main_key", transaction_key(F.col("shop_code"), F.col("invoice_no"))
+    ).withColumn("arti_cate_name", category_default(F.col("arti_cate_name")))
 
 
 def enrich_sales_a(
@@ -141,13 +143,19 @@ def enrich_sales_a(
     With ``unit_value`` only lines of that business unit use the category mapping, the
     others show their unit; without it all lines use the mapping.
     """
-    lines = trim_all(sales).join(
-        trim_all(stores).withColumnRenamed("store_id", "loc_code"), ["loc_code"], "left"
-    )
-    lines = lines.join(mapping, ["category_desc"], "left")
+    stores = trim_all(stores).withColumnRenamed("store_id", "loc_code").distinct()
+    lines = trim_all(sales).distinct().join(stores, ["loc_code"], "left")
     unit = None if unit_value is None else F.col("bu_desc")
     category = category_default(F.col("arti_cate_name"), unit, unit_value or "")
-    return lines.withColumn("arti_cate_name", category).distinct()
+    if set(mapping.columns) != {"category_desc", "arti_cate_name"}:  # other units would show the rest
+        return lines.join(mapping, ["category_desc"], "left").withColumn("arti_cate_name", category).distinct()
+    # lines of other units meet no category, so a word with several does not repeat them
+    word = F.col("category_desc") if unit is None else F.when(unit == unit_value, F.col("category_desc"))
+    names = mapping.select(
+        F.col("category_desc").alias("_word"), category_default(F.col("arti_cate_name")).alias("arti_cate_name")
+    ).distinct()
+    mapped = lines.withColumn("_word", word).join(names, ["_word"], "left").drop("_word")
+    return mapped.withColumn("arti_cate_name", category)
 
 
 def carveout_keys(

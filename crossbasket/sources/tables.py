@@ -21,20 +21,55 @@ def read_table(
     return df if cols is None else df.select(*cols)
 
 
+MALFORMED = "_malformed"
+
+
+def _plain_name(name: str) -> str:
+    return "_".join(name.split()).lower()
+
+
+def _mapping_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV lookup's declared columns, found by the names in its header, and the text of each malformed row."""
+    header = [_plain_name(name) for name in spark.read.csv(path, header=True).columns]
+    missing = [name for name in schema.fieldNames() if name not in header]
+    if missing or any(header.count(name) > 1 for name in schema.fieldNames()):
+        raise ValueError(f"{path} must have each column once: {', '.join(schema.fieldNames())}; it has {', '.join(header)}")
+    declared = {f.name: f.dataType for f in schema.fields}
+    # in the file's order, whatever else it holds
+    fields = [T.StructField(f"_{i}", declared.get(name, T.StringType())) for i, name in enumerate(header)]
+    # without column pruning whole rows are parsed, whatever columns a plan needs
+    reader = spark.read.option("columnPruning", "false").options(
+        header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED,
+        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
+    )
+    rows = reader.schema(T.StructType([*fields, T.StructField(MALFORMED, T.StringType())])).csv(path)
+    columns = [F.col(f"_{header.index(name)}").alias(name) for name in schema.fieldNames()]
+    # Spark reads the text of broken rows only beside other columns; this text of a row is never null
+    named = F.to_json(F.struct(*[f.name for f in fields])).isNotNull()
+    return rows.filter(named).select(*columns, MALFORMED)
+
+
 def read_mapping(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV lookup with a header, read under a declared schema.
+    """A CSV lookup with a header, read under a declared schema; its well-formed rows.
 
-    Columns go by position; header names are not compared, since such files carry stray
-    blanks in them. Values are trimmed.
+    Columns go by their names in the header, as ``snake_case`` makes them plain, in whatever order; others are
+    left out, and a missing or repeated one is an error. Values are trimmed. Rows with too few or too many values, or
+    with one that is not of the declared type, are in ``malformed_rows``.
     """
-    df = spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
+    rows = _mapping_rows(spark, path, schema).filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
     text = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
-    return df.select([F.trim(c).alias(c) if c in text else F.col(c) for c in df.columns])
+    return rows.select([F.trim(c).alias(c) if c in text else F.col(c) for c in rows.columns])
+
+
+def malformed_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The text of the rows that ``read_mapping`` leaves out: ``line``."""
+    rows = _mapping_rows(spark, path, schema)
+    return rows.filter(F.col(MALFORMED).isNotNull()).select(F.col(MALFORMED).alias("line"))
 
 
 def snake_case(df: DataFrame) -> DataFrame:
     """Column names trimmed, lower-cased and with underscores for blanks."""
-    return df.toDF(*["_".join(name.split()).lower() for name in df.columns])
+    return df.toDF(*[_plain_name(name) for name in df.columns])
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:

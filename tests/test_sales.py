@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from crossbasket.functions.text import category_default
 from crossbasket.operators import members, sales
 from crossbasket.operators.sales import scope
 
@@ -271,3 +272,27 @@ def test_golden_records(spark):
     assert row["first_purchase"] == dt.date(2000, 1, 1)
     ranked = members.golden_record_b(df, types, "HK", tier_order=["OTHERS", "ICARD Gold"]).first()
     assert ranked["tier"] == "OTHERS"
+
+
+def test_no_aggregate_stands_above_the_joins(spark, dims):
+    lines = spark.createDataFrame([], "vip_no string, shop_code string, invoice_no string, prod_brand string, item_code string, valid_tx_flag int, void_flag string, amt long")
+    plan = sales.enrich_sales_b(lines, *dims)._jdf.queryExecution().analyzed().toString()
+    assert "Distinct" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_repeated_lookup_rows_repeat_no_line(spark, rows):
+    lines = spark.createDataFrame(
+        [("s1", "soap", "COS", 1)] * 3 + [("s1", "soap", "WW", 1), ("s9", None, "COS", 2)],
+        "loc_code string, category_desc string, bu_desc string, amt int",
+    )
+    stores = spark.createDataFrame([("s1 ", "north"), ("s1", "north"), ("s1", "south")], "store_id string, region string")
+    mapping = spark.createDataFrame([("soap", "Care"), ("soap", "Care"), ("soap", None), ("soap", "Bath")], "category_desc string, arti_cate_name string")
+    got = sales.enrich_sales_a(lines, stores, mapping)
+    literal = (
+        lines.join(stores.selectExpr("trim(store_id) AS loc_code", "region"), ["loc_code"], "left")
+        .join(mapping, ["category_desc"], "left")
+        .withColumn("arti_cate_name", category_default(F.col("arti_cate_name"), F.col("bu_desc"), "COS"))
+        .distinct()
+    )
+    assert rows(got.select(*literal.columns)) == rows(literal)
+    assert got.count() == 2 * 3 + 2 + 1

@@ -4,6 +4,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import types as T
 
 from crossbasket.plans import mart
 from crossbasket.plans.mart import Mart, mart_for
@@ -22,6 +23,27 @@ def test_mapping_file_with_stray_blanks(spark, tmp_path, rows):
     assert rows(got) == [("HAIR", None, None), ("SKIN", "Skincare", "WW")]
 
 
+def test_mapping_goes_by_name_and_sets_broken_rows_apart(spark, tmp_path, rows):
+    path = tmp_path / "mapping.csv"
+    path.write_text(
+        ' bu_desc ,note, arti_cate_code,maincat_desc,arti_cate_name\n'
+        'WW, x,7, SKIN ,Skincare\n'
+        'WW,,seven,HAIR,Haircare\n'
+        'MW,,8\n'
+        'MW,"a,b",9,NAIL,"Nails, hands"\n'
+        'MW,,9,NAIL,Nails,more\n'
+    )
+    schema = T.StructType.fromDDL("maincat_desc string, arti_cate_name string, bu_desc string, arti_cate_code int")
+    got = tables.read_mapping(spark, str(path), schema)
+    assert got.columns == schema.fieldNames()
+    assert rows(got) == [("NAIL", "Nails, hands", "MW", 9), ("SKIN", "Skincare", "WW", 7)]
+    assert rows(got.select("bu_desc")) == [("MW",), ("WW",)] and got.count() == 2
+    bad = tables.malformed_rows(spark, str(path), schema)
+    assert rows(bad) == [("MW,,8",), ("MW,,9,NAIL,Nails,more",), ("WW,,seven,HAIR,Haircare",)] and bad.count() == 3
+    with pytest.raises(ValueError):
+        tables.read_mapping(spark, str(path), T.StructType.fromDDL("maincat_desc string, other string"))
+
+
 def test_issue_list_file(spark, tmp_path, rows):
     path = tmp_path / "issue.csv"
     path.write_text("Member No,Issue Location,Issue Location Name\n007,S1,Shop one\n")

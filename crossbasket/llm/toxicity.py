@@ -33,8 +33,8 @@ from crossbasket.llm.shared import broadcast_if, written
 
 FIT_ROWS = 30_000
 BROADCAST_LABELS = 200_000
-LEXICON = 4_000
-MIN_TOXIC_TEXTS = 5
+MIN_TOXIC_SHARE = 0.001  # of the toxic texts, that hold a term of the lexicon
+MIN_TOXIC_TEXTS = 3  # so that no single text makes a term
 MIN_ODDS = 3.0  # of a term's rate in toxic texts to that in others, as a logarithm
 PREFIXES = (4, 5, 6)
 NEAR = 5
@@ -334,16 +334,20 @@ def _term_counts(labelled: DataFrame) -> DataFrame:
     )
 
 
-def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """The terms with the highest log odds for toxic texts. ``labelled``: ``text``, ``toxic``."""
+def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
+    """The terms of high log odds for toxic texts. ``labelled``: ``text``, ``toxic``.
+
+    A term has to be in a fixed share of the toxic texts, so there are at most so many times as a text has terms on
+    average as that share goes into one, however many texts there are.
+    """
     totals = labelled.agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = totals["t"], totals["n"] - totals["t"]
     if not toxic or not clean:
         return {}
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    scored = _term_counts(labelled).filter(F.col("toxic") >= MIN_TOXIC_TEXTS).withColumn("odds", odds)
-    top = scored.filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(size)
-    return {row["term"]: float(row["odds"]) for row in top.collect()}
+    least = max(MIN_TOXIC_TEXTS, math.ceil(MIN_TOXIC_SHARE * toxic))
+    scored = _term_counts(labelled).filter(F.col("toxic") >= least).withColumn("odds", odds)
+    return {row["term"]: float(row["odds"]) for row in scored.filter(F.col("odds") >= MIN_ODDS).orderBy("term").collect()}
 
 
 def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
@@ -352,13 +356,19 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     labelled = broadcast_if(labelled, toxic + clean, BROADCAST_LABELS)
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(labelled, "doc_id")
     weights = learn_lexicon(rows.select("text", "toxic"))
-    rates = _rates(toxic, clean, fit_rows)
-    unit = (F.xxhash64(F.lit(11), "doc_id").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    sample = labelled.filter(unit < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]))
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    # a row for each id and text: repeated rows are sampled, and brought to the driver, once
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    sizes = rows.select("doc_id", "print", "toxic").distinct().groupBy("toxic").count().collect()
+    sizes = {row["toxic"]: row["count"] for row in sizes}
+    rates = _rates(sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0), fit_rows)
+    unit = (F.xxhash64(F.lit(11), "doc_id", "print").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    rows = rows.filter(unit < F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]))
     shared = documents.sparkSession.sparkContext.broadcast(weights)
     schema = T.StructType(
-        [T.StructField("part", T.IntegerType()), T.StructField("toxic", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))]
+        [
+            T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("print", T.LongType()),
+            T.StructField("toxic", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType())),
+        ]
     )
     out = arrow_schema(schema)
 
@@ -367,12 +377,12 @@ def learn(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         for batch in batches:
             for piece in pieces(batch):
                 table = feature_rows(piece.column(0), lexicon)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(1), piece.column(2), pa.array(table.tolist(), out.field("row").type)], schema=out
-                )
+                columns = [*piece.columns[1:], pa.array(table.tolist(), out.field("row").type)]
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
+    made = map_batches(rows.select("text", "doc_id", "print", "toxic"), features, schema).dropDuplicates(["doc_id", "print"])
     part = F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(4)).cast("int")
-    found = map_batches(rows.select("text", part.alias("part"), "toxic"), features, schema).toPandas()
+    found = made.select(part.alias("part"), "toxic", "row").orderBy("doc_id", "print").toPandas()
     if found["toxic"].nunique() < 2:
         return Classifier(weights, None, np.empty(0), np.empty(0))
     table, label = np.array(found["row"].tolist()), found["toxic"].to_numpy(np.float64)

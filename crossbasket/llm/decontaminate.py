@@ -46,11 +46,10 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     cut = items.select("_item", "_words", m.alias("_m"), F.explode(starts).alias("_at")).select(
         "_item", "_m", F.array_join(F.slice("_words", F.col("_at"), F.col("_m")), " ").alias("_text")
     )
-    owners = cut.groupBy("_text", "_m").agg(F.collect_set("_item").alias("_items"))
-    owners = written(owners.withColumn("_window", F.monotonically_increasing_id()), "windows")
-    return owners.select("_window", "_text", "_m"), owners.select(
-        "_window", F.explode("_items").alias("_item")
-    )
+    # a window is named by its text, so neither windows nor the items of one ever meet in one row
+    name = F.substring(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)), 1, 16).alias("_window")
+    owners = written(cut.select(name, "_item", "_m", "_text").distinct(), "windows")
+    return owners.select("_window", "_text", "_m").distinct(), owners.filter("_item IS NOT NULL").select("_window", "_item")
 
 
 def _item_shingles(windows: DataFrame, shingle: int) -> DataFrame:
@@ -108,19 +107,12 @@ def find_items(
     n_shingles = shingles.count()
     widths = sorted(row[0] for row in shingles.select("_width").distinct().collect()) or [shingle]
 
+    if n_shingles > BROADCAST_ROWS:
+        return _collected(_hits_by_place(documents, windows, shingles, widths), owners)
     rows = _document_shingles(documents, widths)
-    known = broadcast_if(shingles.select("_hash").distinct(), n_shingles, BROADCAST_ROWS)
-    rarity = rows.join(known, "_hash").groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
-    # a window with a shingle that no document has cannot occur
-    ranked = shingles.join(rarity, "_hash", "left").groupBy("_window").agg(
-        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_offset", "_hash")).alias("_rarest")
-    )
-    prefixes = ranked.filter(F.col("_rarest.n") > 0).join(windows, "_window").select(
-        "_window", "_text", "_m", F.col("_rarest._offset").alias("_offset"), F.col("_rarest._hash").alias("_hash")
-    )
-    prefixes = written(prefixes, "prefixes")
-
-    joined = rows.join(broadcast_if(prefixes, n_shingles, BROADCAST_ROWS), "_hash", "left")
+    known = F.broadcast(shingles.select("_hash").distinct())
+    prefixes = written(_prefixes(windows, shingles, rows.join(known, "_hash")), "prefixes")
+    joined = rows.join(F.broadcast(prefixes), "_hash", "left")
     start = F.col("_at") - F.col("_offset")
     size = F.size("_words")
     same = F.col("_text") == fold_case(F.array_join(F.slice("_words", start + 1, F.col("_m")), " "))
@@ -137,6 +129,59 @@ def find_items(
         F.array_sort(F.collect_set("_span")).alias("starts"),
         F.collect_set("_window").alias("_windows"),
     )
+    return _collected(grouped, owners)
+
+
+def _prefixes(windows: DataFrame, shingles: DataFrame, met: DataFrame) -> DataFrame:
+    """Each window with its rarest shingle; ``met`` are the documents' shingles (``_hash``) that windows have."""
+    rarity = met.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    # a window with a shingle that no document has cannot occur
+    ranked = shingles.join(rarity, "_hash", "left").groupBy("_window").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_offset", "_hash")).alias("_rarest")
+    )
+    return ranked.filter(F.col("_rarest.n") > 0).join(windows, "_window").select(
+        "_window", "_text", "_m", F.col("_rarest._offset").alias("_offset"), F.col("_rarest._hash").alias("_hash")
+    )
+
+
+def _hits_by_place(
+    documents: DataFrame, windows: DataFrame, shingles: DataFrame, widths: list[int]
+) -> DataFrame:
+    """What is found per document and text where the windows are too many to be broadcast.
+
+    Shingles are shuffled as places, without words. Words are looked up for the few places where a window's rarest
+    shingle stands, once for each document and text; documents without any take no part in that.
+    """
+    places = _document_shingles(documents, widths).filter("_at >= 0").select("doc_id", "_print", "_at", "_hash")
+    prefixes = written(_prefixes(windows, shingles, places.join(shingles.select("_hash").distinct(), "_hash")), "prefixes")
+    start = (F.col("_at") - F.col("_offset")).alias("_start")
+    found = places.join(prefixes, "_hash").select("doc_id", "_print", start, "_m", "_window", "_text").filter("_start >= 0")
+    found = written(found.distinct(), "places")
+
+    text = F.col("text").cast("string")
+    docs = documents.select("doc_id", F.xxhash64(F.lit(7), text).alias("_print"), _words(text).alias("_words"))
+    ids = found.select(F.col("doc_id").alias("_id"), F.col("_print").alias("_of")).distinct()
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_of"))
+    wanted = docs.join(ids, own, "left_semi").dropDuplicates(["doc_id", "_print"])
+    wanted = wanted.withColumnsRenamed({"doc_id": "_id", "_print": "_of"})
+    same = F.col("_text") == fold_case(F.array_join(F.slice("_words", F.col("_start") + 1, F.col("_m")), " "))
+    hits = found.join(wanted, own).filter((F.col("_start") + F.col("_m") <= F.size("_words")) & same)
+    hits = hits.groupBy("doc_id", "_print").agg(
+        F.array_sort(F.collect_set(F.struct(F.col("_start").alias("at"), F.col("_m").alias("m")))).alias("starts"),
+        F.collect_set("_window").alias("_windows"),
+    ).withColumnsRenamed({"doc_id": "_id", "_print": "_of"})
+    whole = docs.groupBy("doc_id", "_print").agg(
+        F.max(F.size("_words")).cast("bigint").alias("n_words"), F.count(F.lit(1)).alias("_copies")
+    )
+    empty = F.array().cast(hits.schema["starts"].dataType), F.array().cast(hits.schema["_windows"].dataType)
+    return whole.join(hits, own, "left").select(
+        "doc_id", "_print", "n_words", "_copies",
+        F.coalesce("starts", empty[0]).alias("starts"), F.coalesce("_windows", empty[1]).alias("_windows"),
+    )
+
+
+def _collected(grouped: DataFrame, owners: DataFrame) -> DataFrame:
+    """Words hit and items of each document and text, a row for each copy."""
     ends = F.aggregate(
         "starts",
         F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end")),
@@ -147,7 +192,7 @@ def find_items(
         lambda s: s["hit"].cast("bigint"),
     )
     listed = grouped.withColumn("n_hit", ends).withColumn("_window", F.explode_outer("_windows"))
-    listed = listed.join(broadcast_if(owners, n_shingles, BROADCAST_ROWS), "_window", "left")
+    listed = listed.join(broadcast_if(owners, owners.count(), BROADCAST_ROWS), "_window", "left")
     per_text = listed.groupBy("doc_id", "_print").agg(
         F.max("n_words").alias("n_words"), F.max("n_hit").alias("n_hit"), F.max("_copies").alias("_copies"),
         F.max("starts").alias("starts"), F.array_sort(F.collect_set("_item")).alias("items"),

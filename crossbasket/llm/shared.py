@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossbasket.session import scratch, stage
+from crossbasket.session import delete_folder, scratch, stage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -45,8 +45,7 @@ class Room:
         for table_ in tables:
             _, path = self._held.pop(id(table_), (None, None))
             if path:
-                folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+                delete_folder(self.spark, path)
 
 
 def fold_case(text: Column) -> Column:

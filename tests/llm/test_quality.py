@@ -2,10 +2,9 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from crossbasket.llm import quality, wordhash
+from crossbasket.llm import quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

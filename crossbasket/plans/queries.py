@@ -17,7 +17,6 @@ from crossbasket.functions import (
     tenure_group,
     tenure_years,
     tier_whitelist,
-    transaction_key,
     trim_all,
     update_tier,
 )

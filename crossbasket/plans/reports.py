@@ -82,9 +82,14 @@ def demo_report(mart: Mart, as_of: str) -> DataFrame:
     def shares(counts: DataFrame) -> DataFrame:
         """Each count as a percentage of the side's count of all."""
         split = counts.select(parts[0].alias("pair"), parts[1].alias("side"), parts[2].alias("metric"), "n")
-        whole = split.filter("metric = 'all'").select("pair", "side", F.col("n").alias("whole"))
-        joined = split.filter("metric <> 'all'").join(whole, ["pair", "side"])
-        return joined.select("pair", "side", "metric", kpi.percent(F.col("n"), F.col("whole")).alias("pct"))
+        everyone = F.col("metric") == "all"
+        # a few rows for each side
+        sides = split.groupBy("pair", "side").agg(
+            F.max(F.when(everyone, F.col("n"))).alias("whole"),
+            F.collect_list(F.when(~everyone, F.struct("metric", "n"))).alias("counts"),
+        )
+        rows = sides.select("pair", "side", "whole", F.inline("counts"))
+        return rows.select("pair", "side", "metric", kpi.percent(F.col("n"), F.col("whole")).alias("pct"))
 
     bought = shares(_by_sales(mart, _labelled_line, buyers))
     joined = members("a", ("a", UNIT_SLICE)).unionByName(members("b", ("b", "c")))

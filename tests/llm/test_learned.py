@@ -60,6 +60,44 @@ def test_bundles_equal_the_sum_of_bound_letters():
     np.testing.assert_allclose(languages.bundles(texts, 64), [slow(t) for t in texts])
 
 
+def test_predictions_equal_cosines_of_slow_bundles(spark):
+    d = languages.DIMENSIONS
+
+    def slow(text):
+        total = np.zeros(d)
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            points = [0, *map(ord, word), 0]
+            for a, b, c in zip(points, points[1:], points[2:]):
+                v = [languages.letter_vector(p, d).astype(float) for p in (a, b, c)]
+                total += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return total
+
+    rng = random.Random(4)
+    words = {
+        "en": "the time and river of stone under light in morning".split(),
+        "fr": "le temps et la rivière de pierre sous lumière à l'été".split(),
+        "ru": "время и река под камень в утро свет".split(),
+    }
+    rows = [(i, " ".join(rng.choices(words[lang], k=8)), lang) for i, lang in enumerate(list(words) * 12)]
+    rows += [(100, None, "en"), (101, "12 + 3", "fr"), (102, "the rivière under the pierre", None), (103, "REKA river", "ru"), (104, "", "zz")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learned = {}
+    for doc_id, text, lang in rows:
+        if lang and not held_out(doc_id, 4, 2):
+            learned[lang] = learned.get(lang, 0) + slow(text)
+    learned = {lang: v / np.linalg.norm(v) for lang, v in learned.items() if np.any(v)}
+    texts = {doc_id: text for doc_id, text, _ in rows}
+    for r in languages.report(documents).collect():
+        own = slow(texts[r["doc_id"]])
+        if not own.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosines = {lang: own @ v / np.linalg.norm(own) for lang, v in learned.items()}
+        best = max(cosines, key=cosines.get)
+        assert r["lang_pred"] == best
+        assert r["score"] == pytest.approx(min(max(cosines[best], 0), 1), abs=1e-5)
+
+
 # --- toxicity
 
 

@@ -1,7 +1,12 @@
+import hashlib
 import os
 import re
+import struct
 
+import public_tokenizers
 import pytest
+import tiktoken
+from tiktoken.load import load_tiktoken_bpe
 
 import __spark_entry__ as driver
 import corpus_pipeline
@@ -70,6 +75,67 @@ def hits_benchmark(spark, folder):
 
 
 FOLD = {c: c + 32 for c in range(65, 91)}
+LARGE = {c + 32: c for c in range(65, 91)}
+
+
+def similar_groups(texts):
+    """The smallest id of each document's group, by comparing all sets of five-word shingles."""
+
+    def shingles(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(FOLD))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(text) for i, text in texts.items()}
+    first = {i: i for i in texts}
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b]) if a < b else 0
+            if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((root(a), root(b)))
+                first[high] = low
+    return {i: root(i) for i in texts}
+
+
+def test_stages_equal_brute_force(spark):
+    """Near duplicates by all pairs, benchmark windows one by one, tokens by the library; planted copies and passages."""
+    docs = table(spark, SMALLEST, "documents")
+    rows = docs.collect()
+    top = max(r["doc_id"] for r in rows) + 1
+    item = max((r["text"] or "" for r in table(spark, SMALLEST, "benchmark").collect()), key=len)
+    long = [r for r in rows if len((r["text"] or "").split()) > 30][:6]
+    planted = [r.asDict() | {"doc_id": top + i, "text": r["text"].translate(LARGE)} for i, r in enumerate(long[:2])]
+    planted += [r.asDict() | {"doc_id": top + 2 + i, "text": r["text"] + " more"} for i, r in enumerate(long[2:4])]
+    planted += [r.asDict() | {"doc_id": top + 4 + i, "text": f"{r['text']} {item} {r['text']}"} for i, r in enumerate(long[4:])]
+    docs = written(docs.unionByName(spark.createDataFrame([tuple(p[c] for c in docs.columns) for p in planted], docs.schema)), "planted")
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    unique = written(corpus_pipeline.near_duplicate_stage(spark, docs, SMALLEST), "unique")
+    kept = {r["doc_id"] for r in unique.collect()}
+    assert kept == {i for i, group in similar_groups(texts).items() if i == group}
+    assert not kept & set(range(top, top + 4))
+
+    hit = hits_benchmark(spark, SMALLEST)
+    clean = written(corpus_pipeline.decontamination_stage(spark, unique, SMALLEST), "clean")
+    left = {r["doc_id"] for r in clean.collect()}
+    assert left == {i for i in kept if not hit(texts[i])}
+    assert not left & {top + 4, top + 5}
+
+    bpe = tiktoken.Encoding(
+        "ranks", pat_str=public_tokenizers.PATTERN, special_tokens={},
+        mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
+    )
+    for r in corpus_pipeline.token_stage(spark, clean, SMALLEST).collect():
+        text = texts[r["doc_id"]] or ""
+        ids = bpe.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_stages_with_awkward_rows_and_clashing_columns(spark, awkward):

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -75,6 +76,62 @@ def test_models_equal_plain_kneser_ney(spark):
     assert all(got[k] == pytest.approx(p, rel=1e-9) for k, p in expected.items())
 
 
+def plain_verdicts(rows):
+    """``perplexity`` and ``kept`` of each (text, lang), in plain Python."""
+    own = {lang or "" for _, lang in rows}
+    models = {name: plain_kneser_ney([t or "" for t, lang in rows if (lang or "") == name]) for name in own}
+
+    def measured(text, lang):
+        x = [0, 0, *[0 if ord(c) < 0x3002 and quality._WHITE[ord(c)] else ord(c) + 1 for c in text or ""], 0]
+        log_p = [math.log(models[lang or ""][g]) for g in zip(x, x[1:], x[2:])]
+        n = max(1, len(log_p) // quality.WINDOW_POINTS)
+        cuts = [len(log_p) * i // n for i in range(n + 1)]
+        means = sorted(sum(log_p[a:b]) / (b - a) for a, b in zip(cuts, cuts[1:]))
+        return (means[(n - 1) // 2] + means[n // 2]) / 2, means[n // 4], len(log_p)
+
+    found = [measured(*row) for row in rows]
+
+    def quartiles(lang, which):
+        texts = {t or "": f[which] for (t, own_lang), f in zip(rows, found) if (own_lang or "") == lang and not base(t)[-1]}
+        values = sorted(texts.values())
+        return [values[math.ceil(len(values) * q) - 1] for q in (0.25, 0.5, 0.75)] if values else None
+
+    limits = {lang: (quartiles(lang, 0), quartiles(lang, 1)) for lang in own}
+    out = []
+    for (text, lang), (median, low, n) in zip(rows, found):
+        q, l = limits[lang or ""]
+        kept = not base(text)[-1]
+        if kept:
+            more = quality.NOISE / math.sqrt(n)
+            kept = abs(median - q[1]) <= quality.SPREAD * (q[2] - q[0]) + more
+            kept = kept and low >= l[1] - quality.LOW_SPREAD * (l[2] - l[0]) - 2 * more
+        out.append((math.exp(-median), kept))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    """Perplexities, bands and verdicts, with copies, junk, scrambled texts, null languages and odd rows."""
+    rng = np.random.default_rng(11)
+
+    def clean(words):
+        return " ".join(" ".join(rng.permutation(words)) for _ in range(rng.integers(1, 9)))
+
+    rows = []
+    for lang, words in [*SCRIPTS.items(), (None, "time river stone under light morning carry window garden silver".split())]:
+        good = [clean(words) for _ in range(50)]
+        rows += [(text, lang) for text in good + good[:5]]
+        rows += [("".join(rng.permutation(list(text))), lang) for text in good[:6]]
+        rows += [(good[i] + " " + "".join(rng.permutation(list(good[i + 1]))), lang) for i in range(6)]
+        rows += [("%$ " * 40, lang), (" ".join(words[:9]), lang), ("", lang), (None, lang), (words[0] * 200, lang)]
+    rows.append(("only text of its language and much too short", "xx"))
+    documents = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["perplexity"], r["kept"]) for r in quality.report(documents.repartition(5)).collect()}
+    expected = dict(enumerate(plain_verdicts(rows)))
+    assert {i: v[1] for i, v in got.items()} == {i: v[1] for i, v in expected.items()}
+    assert all(got[i][0] == pytest.approx(p, rel=1e-4) for i, (p, _) in expected.items())
+    assert 100 < sum(v[1] for v in got.values()) < len(rows) - 30
+
+
 def test_shards_of_the_models_change_nothing(awkward):
     models = quality.language_models(awkward)
     assert models.count() > 100

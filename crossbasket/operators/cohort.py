@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossbasket.operators.matching import pair_counts, pairs_per_member
+from crossbasket.operators.skew import growing
 
 BOTH, ONLY_A, ONLY_B, NEITHER = "both", "a_only", "b_only", "inactive"
 
@@ -17,7 +18,7 @@ def _label(in_a: Column, in_b: Column) -> Column:
 
 def _flagged(members: DataFrame, key: str, buyers: DataFrame, flag: str) -> DataFrame:
     wanted = buyers.select(F.col(buyers.columns[0]).alias(key)).dropna().distinct()
-    return members.join(wanted.withColumn(flag, F.lit(True)), [key], "left").withColumn(
+    return members.join(growing(wanted.withColumn(flag, F.lit(True))), [key], "left").withColumn(
         flag, F.coalesce(F.col(flag), F.lit(False))
     )
 
@@ -31,7 +32,7 @@ def _alone(
     buyers = first.select(F.col(first.columns[0]).alias(key)).dropna().distinct()
     known = members.filter("_one")
     pairs = pairs_per_member(known, others, key, {"n_idle": ~F.col("_one")})
-    counted = buyers.join(pairs, [key], "left")
+    counted = buyers.join(growing(pairs), [key], "left")
     alone = counted.filter(F.col("n_pairs").isNull() | (F.col("n_idle") > 0))
     return _flagged(alone.select(key), key, second, "stays")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crossbasket.functions.dates import tenure_group, tenure_labels, tenure_years
 from crossbasket.operators.kpi import percent, ratio
 from crossbasket.operators.matching import pair_counts
-from crossbasket.operators.skew import spread_join
+from crossbasket.operators.skew import growing, spread_join
 
 
 def top_by(sales: DataFrame, dim: str, key: str, n: int | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ def customers_by_order_content(
     buyers = lines.select(order, key, *own).distinct()
     wanted = buyers.select(order).distinct()
     contents = spread_join(raw.select(order, *dims), wanted, [order], "left_semi", hot, dims).distinct()
-    return customers_by(buyers.join(contents, [order], "left"), [*own, *dims], key, n)
+    return customers_by(buyers.join(growing(contents), [order], "left"), [*own, *dims], key, n)
 
 
 def sow_by(sales: DataFrame, dim: str, amount: str = "amt") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossbasket.operators.kpi import count_keys_if
+from crossbasket.operators.skew import growing
 
 
 def store_lookup(sales: DataFrame, stores: DataFrame, store: str) -> DataFrame:
@@ -64,7 +65,7 @@ def issue_right_join(
     )
     listed = issue.select(F.col(member).alias("_key"), F.col(location).alias("_loc")).distinct()
     at_shops = F.col("_loc").isin(*shops)
-    rows = listed.join(buyers, ["_key"], "left").withColumn("_sold", F.col("_window").isNotNull())
+    rows = listed.join(growing(buyers), ["_key"], "left").withColumn("_sold", F.col("_window").isNotNull())
     return count_keys_if(
         rows.filter(F.col("_key").isNotNull()),
         "_key",
@@ -123,6 +124,6 @@ def issue_counts(
         "joined_in_shop_both": j_in & s_in & s_out,
         "joined_out_unlabelled": j_out & F.col("plain"),
     }
-    both = joined.join(shopped, ["_key"])
+    both = joined.join(growing(shopped), ["_key"])
     counts = both.agg(*[F.count(F.when(c, 1)).alias(name) for name, c in cases.items()])
     return counts.unpivot([], None, "case", "n_members")

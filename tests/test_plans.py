@@ -8,9 +8,12 @@ import pytest
 import __spark_entry__ as driver
 from pyspark.sql import functions as F
 
-from crossbasket.operators import sales
-from crossbasket.operators.skew import hot_groups
+from crossbasket.operators import matching, sales
+from crossbasket.operators.labels import label_overlap
+from crossbasket.operators.members import active_members
+from crossbasket.operators.skew import hot_groups, spread_join
 from crossbasket.plans.queries import registered
+from crossbasket.sources.roles import Roles
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -36,6 +39,29 @@ def test_no_query_multiplies_rows_leaves_the_jvm_or_broadcasts_unbounded(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_what_grows_with_the_data_is_not_broadcast_even_where_it_is_small(spark):
+    """Members, keys and the source tables are dealt by key at every size; looked at after the run, which
+    may turn a join into a broadcast by itself."""
+    a = spark.range(200).selectExpr("CAST(id AS STRING) AS a", "CAST(id % 90 AS STRING) AS email", "'' AS mobile")
+    b = a.withColumnRenamed("a", "b")
+    frames = {
+        "pairs by attribute": matching.pair_counts(a.withColumnRenamed("a", "x"), b, ["x"], ["b"]),
+        "active members": active_members(a, b.withColumnRenamed("b", "a"), "a"),
+        "labels": label_overlap(a, "a", {"in_b": a.select("a").limit(50)}, unique_key=True),
+        "spread join": spread_join(a, b, ["email"], by=["a"]),
+        "pair join": matching.match_customers(a, b, "a", "b", "a", "b"),
+        "current versions": sales.latest_per_key(a, "a", "email"),
+    }
+    if os.path.isdir(SMALLEST):
+        frames["lines of a"] = Roles(spark, SMALLEST).sales_a()
+        frames["tenures"] = registered()["tenure_matrix"](spark, SMALLEST)
+    for name, df in frames.items():
+        assert df.collect(), name
+        final = _plan(df).split("== Initial Plan ==")[0]
+        for broadcast in final.split("BroadcastExchange")[1:]:
+            assert re.search("_salts|_p#", broadcast[:3000]), name
+
+
 def test_figures_skip_the_folders_of_other_customers(spark):
     if not os.path.isdir(SMALLEST):
         pytest.skip("no test tables")

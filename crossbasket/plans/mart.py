@@ -260,15 +260,19 @@ def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope
     """Builds all tables under ``root``; runs Spark jobs.
 
     What later plans need of the whole history - the carve-out's keys, the hot keys, who bought
-    which brand when - is written first, so that no figure scans the raw lines for it again.
+    which brand when - is written first, so that no figure scans the raw lines for it again. Chain
+    B's raw lines, which six tables start from, are put together once and kept until those are written.
     """
+    raw = write_datamart(
+        {"raw_b": roles.sales_b(), "hot_order": hot_groups(roles.order_numbers_a(), ["order_no"])}, root
+    )
+    roles = roles.with_sales_b(raw.pop("raw_b"))
     lines_b = valid_sales_b(roles)
-    first = write_datamart(
+    first = raw | write_datamart(
         {
             "keys_c": keys_of_c(roles),
             "hot_number": hot_groups(lines_b, ["vip_no"]),
             "hot_key": hot_groups(lines_b, ["sales_main_key"]),
-            "hot_order": hot_groups(roles.sales_a(), ["order_no"]),
         },
         root,
     )
@@ -286,6 +290,7 @@ def build_mart(spark: SparkSession, roles: Roles, root: str, what: Scope = Scope
         root,
         {"scope_bc": ["carved_out"]},
     )
+    delete_folder(spark, f"{root}/raw_b")
     hot = write_datamart(
         {
             "hot_a": hot_groups(scoped["scope_a"], ["vip_no"]),

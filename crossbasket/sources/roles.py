@@ -9,6 +9,8 @@ is shared by a fixed part of the members of both chains.
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ class Roles:
         self.spark = spark
         self.folder = folder
         self._tables: dict[str, DataFrame] = {}
+        self._staged_b: DataFrame | None = None
 
     def _table(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -92,6 +95,11 @@ class Roles:
             )
         )
 
+    def order_numbers_a(self) -> DataFrame:
+        """The order number of each of chain A's lines, before orders and parts are joined to it."""
+        lines = self._table("lineitem").where("l_linestatus = 'F'")
+        return lines.selectExpr("CAST(l_orderkey AS STRING) AS order_no")
+
     def stores(self) -> DataFrame:
         return self._suppliers().selectExpr(
             "CAST(s_suppkey AS STRING) AS store_id",
@@ -99,8 +107,16 @@ class Roles:
             "s_name AS store_name",
         )
 
+    def with_sales_b(self, staged: DataFrame) -> Roles:
+        """The same roles with chain B's raw lines read from where they were written."""
+        roles = copy.copy(self)
+        roles._staged_b = staged
+        return roles
+
     def sales_b(self) -> DataFrame:
         """Raw lines of chain B, the carve-out's included."""
+        if self._staged_b is not None:
+            return self._staged_b
         regions = self._suppliers().selectExpr(
             "s_suppkey AS l_suppkey",
             """CASE r_name WHEN 'ASIA' THEN 'HK' WHEN 'EUROPE' THEN 'IH'

@@ -220,6 +220,24 @@ def test_lines_do_not_multiply_with_the_carve_outs_mapping(spark):
     assert twice[0] == once[0] and twice[1] == 2 * once[1]
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
+def test_a_build_joins_the_raw_lines_of_each_chain_once(spark, tmp_path):
+    from crossbasket.plans import mart
+
+    joined = []
+
+    class Counted(Roles):
+        def _lines(self):
+            joined.append(1)
+            return super()._lines()
+
+    built = mart.build_mart(spark, Counted(spark, SMALLEST), str(tmp_path / "mart"))
+    assert len(joined) == 2
+    assert not (tmp_path / "mart" / "raw_b").exists()
+    keys = mart.keys_of_c(Roles(spark, SMALLEST))
+    assert not keys.exceptAll(built.tables["keys_c"]).take(1) and not built.tables["keys_c"].exceptAll(keys).take(1)
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALLEST), reason="no test tables")
 def test_opening_a_datamart_runs_no_job(spark, monkeypatch):
     from crossbasket.plans import mart

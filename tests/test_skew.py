@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossbasket.operators import matching
-from crossbasket.operators.skew import hot_groups, hot_pairs, pair_join, spread_join
+from crossbasket.operators.skew import CELLS_PER_TASK, hot_groups, hot_pairs, pair_join, spread_join
 
 
 @pytest.fixture
@@ -96,6 +96,39 @@ def test_the_pairs_of_one_contact_fill_all_tasks(spark):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def test_the_pairs_of_one_contact_keep_their_tasks_though_their_rows_are_small(spark):
+    """Spark merges shuffle partitions by the bytes read, here a few MB for 9 million pairs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        def side(key):
+            # a literal would be taken out of the join's keys
+            return spark.range(3000).selectExpr(
+                f"id AS {key}", "CAST(NULL AS STRING) AS email", "IF(id >= 0, '1', '2') AS mobile"
+            )
+
+        pairs = matching.match_customers(side("x"), side("y"), "x", "y", "a", "b", False)
+        sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 9_000_000
+        assert len(sizes) == 8 and max(sizes) < 9_000_000 / 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pair_join_deals_a_key_that_is_large_on_one_side(spark, rows):
+    """Many rows without a partner, or with a single one, are cut too, into no more parts than cells are asked for."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = spark.range(9000).selectExpr("CASE WHEN id < 4000 THEN 'none' WHEN id < 8000 THEN 'one' ELSE 'k' || id END AS k", "id AS a")
+    right = spark.range(500).selectExpr("CASE WHEN id = 0 THEN 'one' ELSE 'k' || CAST(8000 + id AS STRING) END AS k", "id AS b")
+    for x, y, wide in ((left, right, "_p"), (right, left, "_q")):
+        hot = {r["k"]: r for r in hot_pairs(x, y, ["k"]).collect()}
+        assert sorted(hot) == ["none", "one"]
+        assert all(1 < r[wide] <= CELLS_PER_TASK * parts for r in hot.values())
+        assert all(r["_p"] * r["_q"] <= CELLS_PER_TASK * parts for r in hot.values())
+    assert rows(pair_join(left, right, ["k"], ["a"], ["b"])) == rows(left.join(right, ["k"]))
+
+
 def test_spread_join_deals_copies_and_null_keys_over_tasks(spark):
     """One group of identical rows, and keyless rows, must not end up in one partition."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

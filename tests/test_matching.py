@@ -89,6 +89,19 @@ def test_pairs_equal_the_disjunctive_join(chains, rows):
     assert rows(got) == rows(expected)
 
 
+def test_an_email_never_meets_the_same_text_as_mobile(spark, rows):
+    a = spark.createDataFrame([("a1", "7", "8"), ("a2", "x", "x")], "key string, email string, mobile string")
+    b = spark.createDataFrame([("b1", "8", "7"), ("b2", "x", "y"), ("b3", "y", "x")], "key string, email string, mobile string")
+    pairs = match_customers(a, b, "key", "key", "a", "b", with_contacts=False)
+    assert rows(pairs.drop("overlap_name")) == [("a2", "b2"), ("a2", "b3")]
+
+
+def test_pairs_of_both_contacts_come_from_one_join(chains):
+    """The members of a side are dealt once for both contacts, with the pairs' own number of tasks."""
+    plan = match_customers(*chains, "key", "key", "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+
+
 def test_everything_derived_equals_the_pair_list(chains, rows):
     a, b = chains
     pairs = _literal_pairs(a, b).cache()

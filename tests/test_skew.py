@@ -116,6 +116,20 @@ def test_the_pairs_of_one_contact_keep_their_tasks_though_their_rows_are_small(s
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_the_cells_of_a_contact_are_dealt_in_turn(spark):
+    """Hashed to tasks, some got several times the cells of others."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        left = spark.range(3000).selectExpr("IF(id >= 0, '1', '2') AS k", "id AS a")
+        pairs = pair_join(left, left.withColumnRenamed("a", "b"), ["k"], ["a"], ["b"])
+        sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 9_000_000 and len(sizes) == 16
+        assert max(sizes) < 1.4 * 9_000_000 / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_pair_join_deals_a_key_that_is_large_on_one_side(spark, rows):
     """Many rows without a partner, or with a single one, are cut too, into no more parts than cells are asked for."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
